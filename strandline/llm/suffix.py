@@ -13,7 +13,7 @@ don't fit one machine, so strings that can be equal are brought together first,
    others are induced from them in linear passes, bucket by bucket. Common prefixes of neighbours, permuted to text order, tell
    which windows repeat; a segment that occurs more than once repeats as a whole.
 4. An anchor with more than ``CROWD`` different segments (a passage that begins or ends in very many contexts) would make a shard too large. Its
-   windows are compared by 128-bit keys, counted with partial sums, instead.
+   windows are compared by 128-bit keys instead, counted with partial sums: blocks of them first, single ones where blocks only partly agree.
 
 All of it is judged on the input. Texts are told apart by a 128-bit key, so ids may be null or repeated. Null text counts as empty. Texts shorter than
 ``LENGTH`` keep all bytes. An empty table gives no rows; other columns are ignored by ``removed_spans`` and kept by ``scrub``.
@@ -33,8 +33,8 @@ from strandline.llm import _common
 from strandline.llm.quality import _power
 
 LENGTH, GRAM = 200, 32
-#: Different segments of an anchor that a shard takes, bytes that a suffix array is built over, and bytes of a text that are hashed at once.
-CROWD, SHARD_BYTES, PIECE = 256, 1 << 20, 1 << 22
+#: Different segments of an anchor that a shard takes, windows that a crowd compares at once, bytes that a suffix array is built over, and bytes of a text that are hashed at once.
+CROWD, STEP, SHARD_BYTES, PIECE = 64, 16, 1 << 20, 1 << 22
 _PLACE = 24  # bits of a place in a piece
 
 
@@ -59,10 +59,11 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Segments of texts that lie end to end in ``data``: text, hash of the anchor, first and last window (places in the text)."""
+    """Segments of texts that lie end to end in ``data``: text, hash of the anchor, first and last window (places in
+    the text), and the anchor's distance from the first window."""
     empty = np.zeros(0, np.int64)
     if len(data) < length or not ((ends - starts) >= length).any():
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     h = _grams(data, GRAM)
     keys = (h >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
     at = (_sliding_least(keys, length - GRAM + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
@@ -74,7 +75,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     new = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return text[first], h[at[first]].view(np.int64), window[first] - starts[text[first]], window[last] - starts[text[first]]
+    return text[first], h[at[first]].view(np.int64), window[first] - starts[text[first]], window[last] - starts[text[first]], at[first] - window[first]
 
 
 def _split(texts: list[bytes], length: int):
@@ -93,7 +94,7 @@ def _split(texts: list[bytes], length: int):
 
 
 def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """text, anchor, digest, first and last window of the segments of ``texts``."""
+    """text, anchor, digest, first and last window, and the anchor's distance from the first, of the segments of ``texts``."""
     import xxhash
 
     digest, out = xxhash.xxh3_64_intdigest, []
@@ -101,12 +102,12 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
         joined = b"".join(p for _, _, p in group)
         sizes = np.array([len(p) for _, _, p in group])
         ends = np.cumsum(sizes)
-        text, h, first, last = anchors(np.frombuffer(joined, np.uint8), ends - sizes, ends, length)
+        text, h, first, last, far = anchors(np.frombuffer(joined, np.uint8), ends - sizes, ends, length)
         at = (ends - sizes)[text]
         marks = [digest(joined[s:e]) for s, e in zip((at + first).tolist(), (at + last + length).tolist(), strict=True)]
         owner, lead = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-        out.append((owner[text], h, np.array(marks, np.uint64).view(np.int64), first + lead[text], last + lead[text]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
+        out.append((owner[text], h, np.array(marks, np.uint64).view(np.int64), first + lead[text], last + lead[text], far))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 6
 
 
 def _scatter(chars: np.ndarray, heads: np.ndarray, kinds: int) -> np.ndarray:
@@ -262,7 +263,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _KEY = ["u1", "u2"]
-_SEG = "a bigint, d bigint, u1 bigint, u2 bigint, first int, last int"
+_SEG = "a bigint, d bigint, u1 bigint, u2 bigint, first int, last int, anchor int"
 
 
 def _keyed(docs: DataFrame, *extra) -> DataFrame:
@@ -273,9 +274,9 @@ def _keyed(docs: DataFrame, *extra) -> DataFrame:
 def _segments_of(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for b in _common.slices(batches):
-            text, h, mark, first, last = segments(b.column("text").to_pylist(), length)
+            text, h, mark, first, last, far = segments(b.column("text").to_pylist(), length)
             at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(mark), b.column("u1").take(at), b.column("u2").take(at), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["a", "d", "u1", "u2", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(mark), b.column("u1").take(at), b.column("u2").take(at), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(far.astype(np.int32))], names=["a", "d", "u1", "u2", "first", "last", "anchor"])
 
     return keyed.mapInArrow(run, _SEG)
 
@@ -292,19 +293,19 @@ def _candidates(spark: SparkSession, keyed: DataFrame, length: int) -> DataFrame
 
 def _with_bytes(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The text of each wanted segment, read from one copy of its document."""
-    lists = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("a", "d", "n", "crowd", "first", "last")).alias("w"))
+    lists = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("a", "d", "n", "crowd", "anchor", "first", "last")).alias("w"))
     texts = keyed.groupBy(*_KEY).agg(F.first("text").alias("text"))
 
     def run(batches):
         for b in _common.slices(batches):
             rows = []
             for u1, u2, text, w in zip(*(b.column(c).to_pylist() for c in ("u1", "u2", "text", "w")), strict=True):
-                rows += [(x["a"], x["d"], x["n"], x["crowd"], u1, u2, x["first"], text[x["first"] : x["last"] + length]) for x in w]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            columns = [*zip(*rows, strict=True)] or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "d", "n", "crowd", "u1", "u2", "first", "segment"])
+                rows += [(x["a"], x["d"], x["n"], x["crowd"], x["anchor"], u1, u2, x["first"], text[x["first"] : x["last"] + length]) for x in w]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            columns = [*zip(*rows, strict=True)] or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "d", "n", "crowd", "anchor", "u1", "u2", "first", "segment"])
 
-    return texts.join(lists, _KEY).select(*_KEY, "text", "w").mapInArrow(run, "a bigint, d bigint, n bigint, crowd boolean, u1 bigint, u2 bigint, first int, segment binary")
+    return texts.join(lists, _KEY).select(*_KEY, "text", "w").mapInArrow(run, "a bigint, d bigint, n bigint, crowd boolean, anchor int, u1 bigint, u2 bigint, first int, segment binary")
 
 
 def _shards(rows: DataFrame, length: int) -> DataFrame:
@@ -334,23 +335,59 @@ def _shards(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("a", "u1", "u2", "first", "segment", "n").repartition("a").sortWithinPartitions("a").mapInArrow(run, "u1 bigint, u2 bigint, first int, last int")
 
 
-def _crowds(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many segments: windows by 128-bit keys."""
+def _crowds(spark: SparkSession, rows: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with very many segments, by 128-bit keys counted with partial sums.
 
-    def run(batches):
+    Windows are taken in blocks of ``STEP`` by their distance from the anchor. All windows of a block share a core; where a core occurs once, none of them
+    repeats. Where a block's whole text occurs twice, all of them do. Only blocks that share the core but not the whole are compared window by window.
+    """
+
+    def blocks(batches):
         for b in _common.slices(batches, "segment"):
             parts = b.column("segment").to_pylist()
             data, sizes = np.frombuffer(b"".join(parts), np.uint8), np.array([len(x) for x in parts])
+            start, n, place = np.cumsum(sizes) - sizes, sizes - length + 1, b.column("anchor").to_numpy()
+            near, far = (place - n + 1) // STEP, place // STEP  # numbers of the nearest and the farthest block
+            owner = np.repeat(np.arange(len(parts)), far - near + 1)
+            block = np.arange(len(owner)) - np.repeat(np.cumsum(far - near + 1) - (far - near + 1), far - near + 1) + near[owner]
+            lo, hi = np.maximum(0, place[owner] - STEP * block - STEP + 1), np.minimum(n[owner] - 1, place[owner] - STEP * block)
+            up, down = _power(len(data) + 1)
+            core, whole = (start + place)[owner] - STEP * block, start[owner] + lo
+            keys = []
+            for seed in (0, 0x5851F42D):
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1 + seed)) * up[:-1])])
+                for s, e in ((core, core + length - STEP + 1), (whole, start[owner] + hi + length)):
+                    h = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + block.astype(np.uint64)
+                    keys.append((h ^ (h >> np.uint64(31))).view(np.int64))
+            take = pa.array(owner)
+            piece = [data[s:e].tobytes() for s, e in zip(whole.tolist(), (start[owner] + hi + length).tolist(), strict=True)]
+            first = b.column("first").to_numpy()[owner]
+            columns = [*(pa.array(k) for k in keys), b.column("u1").take(take), b.column("u2").take(take), pa.array((first + lo).astype(np.int32)), pa.array((first + hi).astype(np.int32)), b.column("n").take(take), pa.array(piece, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["c1", "w1", "c2", "w2", "u1", "u2", "first", "last", "n", "piece"])
+
+    def windows(batches):
+        for b in _common.slices(batches, "piece"):
+            parts = b.column("piece").to_pylist()
+            data, sizes = np.frombuffer(b"".join(parts), np.uint8), np.array([len(x) for x in parts])
             n = sizes - length + 1
             at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             take = pa.array(np.repeat(np.arange(len(parts)), n))
             first = np.repeat(b.column("first").to_numpy(), n) + at - np.repeat(np.cumsum(sizes) - sizes, n)
-            keys = [_grams(data, length, seed)[at].view(np.int64) for seed in (0, 0x5851F42D4C957F2D)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), b.column("u1").take(take), b.column("u2").take(take), pa.array(first.astype(np.int32)), b.column("n").take(take)], names=["k1", "k2", "u1", "u2", "first", "n"])
-
-    windows = rows.select("u1", "u2", "first", "segment", "n").mapInArrow(run, "k1 bigint, k2 bigint, u1 bigint, u2 bigint, first int, n bigint")
-    twice = windows.groupBy("k1", "k2").agg(F.sum("n").alias("times")).filter("times > 1").select("k1", "k2")
-    return windows.filter("n = 1").join(twice, ["k1", "k2"], "left_semi").select("u1", "u2", "first", F.col("first").alias("last"))
+            keys = [_grams(data, length, seed)[at].view(np.int64) for seed in (0, 0x5851F42D)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), b.column("u1").take(take), b.column("u2").take(take), pa.array(first.astype(np.int32)), b.column("times").take(take)], names=["k1", "k2", "u1", "u2", "first", "times"])
+
+    four, where = ["c1", "c2", "w1", "w2"], ["u1", "u2", "first", "last"]
+    rows = rows.select("u1", "u2", "first", "segment", "anchor", "n").repartition("u1", "u2", "first")
+    found = _common.materialize(spark, rows.mapInArrow(blocks, "c1 bigint, w1 bigint, c2 bigint, w2 bigint, u1 bigint, u2 bigint, first int, last int, n bigint, piece binary"), "suffix-blocks")
+    kinds = found.groupBy(*four).agg(F.sum("n").alias("times"), F.min(F.struct(*where)).alias("r")).select(*four, "times", "r.*")
+    several = kinds.groupBy("c1", "c2").agg(F.count("*").alias("m")).filter("m > 1").select("c1", "c2")
+    whole = found.filter("n = 1").join(kinds.filter("times > 1").select(*four), four, "left_semi").select(*where)
+    mixed = kinds.join(several, ["c1", "c2"], "left_semi").join(found.select(*where, "piece"), where)
+    each = mixed.select("u1", "u2", "first", "piece", "times").mapInArrow(windows, "k1 bigint, k2 bigint, u1 bigint, u2 bigint, first int, times bigint")
+    each = _common.materialize(spark, each, "suffix-windows")
+    twice = each.groupBy("k1", "k2").agg(F.sum("times").alias("all")).filter(F.col("all") > 1).select("k1", "k2")
+    single = each.filter("times = 1").join(twice, ["k1", "k2"], "left_semi").select("u1", "u2", "first", F.col("first").alias("last"))
+    return whole.unionByName(single)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -358,7 +395,7 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataF
     keyed = _keyed(docs)
     found = _candidates(spark, keyed, length)
     _common.release(spark)
-    kinds = found.groupBy("a", "d").agg(F.count("*").alias("n"), F.min(F.struct("u1", "u2", "first", "last")).alias("r"), F.first("alone").alias("alone"))
+    kinds = found.groupBy("a", "d").agg(F.count("*").alias("n"), F.min(F.struct("u1", "u2", "first", "last", "anchor")).alias("r"), F.first("alone").alias("alone"))
     # Equal segments in different places: all their windows repeat.
     whole = found.join(kinds.filter("n > 1").select("a", "d"), ["a", "d"], "left_semi").select(*_KEY, "first", "last")
     open_ = kinds.filter("not alone").select("a", "d", "n", "r.*")
@@ -366,7 +403,7 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataF
     wanted = open_.join(crowds, "a", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
     shown = _common.materialize(spark, _with_bytes(keyed, wanted, length), "suffix-shards")
     _common.release(spark)
-    some = _shards(shown.filter("not crowd"), length).unionByName(_crowds(shown.filter("crowd").repartition("d"), length))
+    some = _shards(shown.filter("not crowd"), length).unionByName(_crowds(spark, shown.filter("crowd"), length))
     spans = _common.materialize(spark, some.unionByName(whole).distinct().groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "suffix-spans")
     _common.discard(spark, found)
     _common.discard(spark, shown)
