@@ -18,6 +18,7 @@ Null text counts as empty: its sequence of ids is the closing id alone. Ids may
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql.window import Window
 from strandline.llm import _common, bpe
 
 WINDOW = 4096
-#: Chunks that a worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED, LONGEST = 300_000, 64
+#: Pieces that a worker remembers before it starts anew, and the longest that it remembers.
+REMEMBERED, LONGEST = 500_000, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, chunk long, bin int, place long"
 
 
@@ -56,56 +57,62 @@ class _WordMerges(bpe.ByteBPE):
         return ids
 
 
+#: A character outside the plain ones: these are lower-cased one by one and composed already, so that a text of them can be split here.
+_OTHER = re.compile(r"[^\x09-\x0d\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
+#: The split pattern of this family of tokenizers over lower-case plain characters.
+_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
 class WordIds:
-    """Ids of texts by a tokenizer file whose tokens never hold white space: each distinct part between blanks is encoded once.
+    """Ids of texts by a tokenizer file whose tokens never hold white space, each distinct piece encoded once while it is remembered.
 
-    Parts that are a word of plain letters, with or without marks, share the ids of the lower-case word, merged in numpy; the library
-    encodes the marks and all other parts.
+    Texts of plain characters are split here and words merged in numpy; the library encodes marks, and what stands between blanks in other texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.pieces = Tokenizer.from_file(path), {}, {}
         with open(path, encoding="utf-8") as f:
             self.merges = _WordMerges(json.load(f)["model"])
 
     def _by_library(self, parts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        known, words = self.known, self.words
-        if len(words) > REMEMBERED:
-            words.clear()
-        split = [(m[1].lower(), m[2]) if (m := bpe.WORD.fullmatch(w)) else (None, w) for w in new]
-        fresh = list({a for a, _ in split if a is not None} - words.keys())
-        words.update(zip(fresh, self.merges.merge([a.encode() for a in fresh]), strict=True))
-        other = list({b for _, b in split if b})
-        marks = dict(zip(other, self._by_library(other), strict=True))
-        for w, (a, b) in zip(new, split, strict=True):
-            known[w] = (words[a] if a is not None else b"") + (marks[b] if b else b"")
+    def _learn(self, new: set[str]) -> None:
+        words, marks = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        self.pieces.update(zip(words, self.merges.merge([w.encode() for w in words]), strict=True))
+        self.pieces.update(zip(marks, self._by_library(marks), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        known, cut, new = self.known, [], set()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        out, late = [], []
+        fresh: tuple[set[str], set[str]] = (set(), set())
         for t in texts:
-            parts = t.split(" ")
-            got = list(map(known.get, parts))
+            plain = not _OTHER.search(t)
+            table, parts = (self.pieces, _PLAIN.findall(t.lower())) if plain else (self.known, t.split(" "))
+            got = list(map(table.get, parts))
             if None in got:
-                new.update(w for w, x in zip(parts, got, strict=True) if x is None)
-                cut.append(parts)
-            else:
-                cut.append(b"".join(got))
-        self._learn(list(new))
-        out = [c if isinstance(c, bytes) else b"".join(map(known.__getitem__, c)) for c in cut]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-                if m := bpe.WORD.fullmatch(w):
-                    self.words.pop(m[1].lower(), None)
-        return out
+                missing = [(i, parts[i]) for i, x in enumerate(got) if x is None]
+                fresh[plain].update([w for _, w in missing])
+                late.append((got, table, missing))
+            out.append(got)
+        self._learn(fresh[True])
+        rest = list(fresh[False])
+        self.known.update(zip(rest, self._by_library(rest), strict=True))
+        for got, table, missing in late:
+            for i, w in missing:
+                got[i] = table[w]
+        done = [b"".join(got) for got in out]
+        for table, new in ((self.known, fresh[False]), (self.pieces, fresh[True])):
+            for w in new:
+                if len(w) > LONGEST:
+                    del table[w]
+        return done
 
 
 _loaded: dict[str, WordIds] = {}
