@@ -380,12 +380,13 @@ def _crowds(spark: SparkSession, rows: DataFrame, length: int) -> DataFrame:
     rows = rows.select("u1", "u2", "first", "segment", "anchor", "n").repartition("u1", "u2", "first")
     found = _common.materialize(spark, rows.mapInArrow(blocks, "c1 bigint, w1 bigint, c2 bigint, w2 bigint, u1 bigint, u2 bigint, first int, last int, n bigint, piece binary"), "suffix-blocks")
     kinds = found.groupBy(*four).agg(F.sum("n").alias("times"), F.min(F.struct(*where)).alias("r")).select(*four, "times", "r.*")
+    kinds = _common.materialize(spark, kinds, "suffix-block-kinds")
     several = kinds.groupBy("c1", "c2").agg(F.count("*").alias("m")).filter("m > 1").select("c1", "c2")
     whole = found.filter("n = 1").join(kinds.filter("times > 1").select(*four), four, "left_semi").select(*where)
     mixed = kinds.join(several, ["c1", "c2"], "left_semi").join(found.select(*where, "piece"), where)
     each = mixed.select("u1", "u2", "first", "piece", "times").mapInArrow(windows, "k1 bigint, k2 bigint, u1 bigint, u2 bigint, first int, times bigint")
     each = _common.materialize(spark, each, "suffix-windows")
-    twice = each.groupBy("k1", "k2").agg(F.sum("times").alias("all")).filter(F.col("all") > 1).select("k1", "k2")
+    twice = _common.materialize(spark, each.groupBy("k1", "k2").agg(F.sum("times").alias("all")).filter(F.col("all") > 1).select("k1", "k2"), "suffix-twice")
     single = each.filter("times = 1").join(twice, ["k1", "k2"], "left_semi").select("u1", "u2", "first", F.col("first").alias("last"))
     return whole.unionByName(single)
 
@@ -396,6 +397,8 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataF
     found = _candidates(spark, keyed, length)
     _common.release(spark)
     kinds = found.groupBy("a", "d").agg(F.count("*").alias("n"), F.min(F.struct("u1", "u2", "first", "last", "anchor")).alias("r"), F.first("alone").alias("alone"))
+    # Written, so that both sides of the joins below are plain exchanges, whose large partitions Spark can split.
+    kinds = _common.materialize(spark, kinds, "suffix-kinds")
     # Equal segments in different places: all their windows repeat.
     whole = found.join(kinds.filter("n > 1").select("a", "d"), ["a", "d"], "left_semi").select(*_KEY, "first", "last")
     open_ = kinds.filter("not alone").select("a", "d", "n", "r.*")
