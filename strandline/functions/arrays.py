@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, where an expression inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def doubles(a: Column | str) -> Column:
@@ -29,8 +32,7 @@ def sum_squares(a: Column) -> Column:
 
 def variance(a: Column) -> Column:
     """Population variance, from the mean and the mean of squares about it."""
-    m = mean(a)
-    return total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a)
+    return let(mean(a), lambda m: total(F.transform(a, lambda x: (x - m) * (x - m))) / F.size(a))
 
 
 def stdev(a: Column) -> Column:
@@ -117,7 +119,10 @@ def resample(a: Column, length: int) -> Column:
 
 def deinterleave(a: Column, dims: int) -> Column:
     """An array for each of ``dims`` interleaved dimensions."""
-    return F.array(*(F.filter(a, lambda x, i, k=k: i % dims == k) for k in range(dims)))
+    def every(k: int) -> Column:
+        return F.filter(a, lambda x, i: i % dims == k)
+
+    return F.array(*map(every, range(dims)))
 
 
 def pad_columns(a: Column, multiple: int) -> Column:
@@ -128,16 +133,15 @@ def pad_columns(a: Column, multiple: int) -> Column:
 def normalize(a: Column, kind: str = "z", threshold: float = 1e-3) -> Column:
     """Normalized by ``z``, ``mean``, ``l1`` (sum of magnitudes), ``sum``, ``l2``, ``max`` or ``zero_one``; unchanged below the threshold."""
     if kind == "mean":
-        m = mean(a)
-        return F.transform(a, lambda x: x - m)
+        return let(mean(a), lambda m: F.transform(a, lambda x: x - m))
     if kind == "z":
         m, s = mean(a), stdev(a)
-        return F.when(s < threshold, a).otherwise(F.transform(a, lambda x: (x - m) / s))
+        return let(F.struct(m.alias("m"), s.alias("s")), lambda p: F.when(p["s"] < threshold, a).otherwise(F.transform(a, lambda x: (x - p["m"]) / p["s"])))
     if kind == "zero_one":
-        lo, hi = F.array_min(a), F.array_max(a)
-        return F.when(hi - lo < threshold, a).otherwise(F.transform(a, lambda x: (x - lo) / (hi - lo)))
+        ends = F.struct(F.array_min(a).alias("lo"), F.array_max(a).alias("hi"))
+        return let(ends, lambda p: F.when(p["hi"] - p["lo"] < threshold, a).otherwise(F.transform(a, lambda x: (x - p["lo"]) / (p["hi"] - p["lo"]))))
     by = {"l1": lambda: norm(a, 1), "sum": lambda: total(a), "l2": lambda: norm(a), "max": lambda: F.array_max(a)}[kind]()
-    return F.when(F.abs(by) < threshold, a).otherwise(F.transform(a, lambda x: x / by))
+    return let(by, lambda n: F.when(F.abs(n) < threshold, a).otherwise(F.transform(a, lambda x: x / n)))
 
 
 def augment_for_inner_product(a: Column, scale: Column | float, query: bool = False) -> Column:
