@@ -14,8 +14,8 @@ from strandline.llm import _common, langid, packing, pii, queries, simhash, suff
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language can't be told, go."""
-    found = langid.identify(spark, docs)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.ACCEPT)).select(docs.columns)
+    found = langid.identify(spark, docs, names=("__language", "__likely"))
+    return found.filter((F.col("__language") != langid.UNKNOWN) & (F.col("__likely") >= langid.ACCEPT)).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

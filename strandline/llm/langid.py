@@ -83,6 +83,8 @@ def train(docs: DataFrame, buckets: int = BUCKETS, bound: int = TRAINING_ROWS, s
     rows = _common.training_rows(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), bound)
     table = counts(rows, buckets).toPandas()  # languages x buckets at most
     langs = sorted(table["lang"].unique().tolist())
+    if not langs:
+        return [], np.zeros((0, buckets)), np.zeros(0)
     n, priors = np.zeros((len(langs), buckets)), np.zeros(len(langs))
     at = table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)
     bucket, seen = table["bucket"].to_numpy(), table["n"].to_numpy()
@@ -112,17 +114,17 @@ def score(texts: list[str], langs: list[str], logs: np.ndarray, priors: np.ndarr
     return [UNKNOWN if no else langs[i] for i, no in zip(best.tolist(), none.tolist(), strict=True)], np.where(none, 0.0, posterior)
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """``docs`` with lang_pred and score; the model is trained on ``docs`` where none is given."""
+def identify(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its probability under ``names``; the model is trained on ``docs`` where none is given."""
     shared = spark.sparkContext.broadcast(model or train(docs))
-    kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name not in ("lang_pred", "score")]
+    kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name not in names]
 
     def run(batches):
         for b in _common.slices(batches):
             langs, likely = score(_common.texts_of(b.column("text")), *shared.value)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in kinds), pa.array(langs, pa.string()), pa.array(likely)], names=[*(n for n, _ in kinds), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in kinds), pa.array(langs, pa.string()), pa.array(likely)], names=[*(n for n, _ in kinds), *names])
 
-    return docs.select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, ("lang_pred", "string"), ("score", "double")]))
+    return docs.select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (names[0], "string"), (names[1], "double")]))
 
 
 def predictions(spark: SparkSession, docs: DataFrame) -> DataFrame:

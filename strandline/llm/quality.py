@@ -69,6 +69,8 @@ def _bag(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(texts: list[str], labels: list[int], buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
     """The number of each bucket, and the bias."""
+    if not texts:
+        return np.zeros(buckets), 0.0
     rng = np.random.default_rng(seed)
     vectors, layer, bias = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (buckets, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.1, (2, DIMENSIONS)).astype(np.float32), np.zeros(2)
     bags, steps = [_bag(t, buckets) for t in texts], 0

@@ -209,9 +209,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return edges
 
 
-def clusters(spark: SparkSession, docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint, component_id of every document."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _grouped(spark: SparkSession, docs: DataFrame, words: int, seed: int, radius: int) -> DataFrame:
+    """doc_id, th (hash of the text), fp, root (fingerprint that stands for the component), component_id of every document."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     marked = _common.materialize(spark, add_fingerprint(slim, words, seed), "simhash")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = components(spark, links(spark, classes.select("fp"), radius))
@@ -219,13 +219,24 @@ def clusters(spark: SparkSession, docs: DataFrame, words: int = WORDS, seed: int
     # Only classes that are linked need their component's smallest id; a star's size has no bound, so it is found by partial sums.
     grouped = rooted.withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = grouped.join(smallest, "root").select("fp", "component_id")
-    return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = grouped.join(smallest, "root").select("fp", "root", "component_id")
+    return marked.join(ids, "fp")
+
+
+def clusters(spark: SparkSession, docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
+    return _grouped(spark, docs, words, seed, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents without the near copies: of each component the row of the smallest id stays, of rows that share it one. Rows without an id stay."""
-    found = clusters(spark, docs.filter(F.col("doc_id").isNotNull())).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").select(docs.columns)
-    first = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text"), "text"))).filter("_n = 1").drop("_n")
-    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+def keep_one(spark: SparkSession, docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """The documents without the near copies: of each component the row of the smallest id stays, of rows that share it one. Rows without an id stay.
+
+    Ids needn't be unique: rows of one id whose texts lie in different components are different documents.
+    """
+    found = _grouped(spark, docs.filter(F.col("doc_id").isNotNull()), words, seed, radius)
+    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*").distinct()
+    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
+    kept = marked.join(chosen, ["__id", "__th"], "left_semi")
+    first = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__th").orderBy("text"))).filter("__n = 1")
+    return first.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
