@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators import linear
 from strandline.operators.search import rank_within
 
 
@@ -47,34 +48,36 @@ class Codec:
         return cls(spark, np.stack(books), rotation)
 
     @classmethod
-    def fit_rotated(cls, spark: SparkSession, data: DataFrame, subspaces: int, centroids: int = 16, turns: int = 5, **kw) -> Codec:
-        """Alternate codebooks with the rotation that fits their reconstruction best (singular vectors of a sum over all rows of size D x D)."""
-        dim = len(data.select("embedding").first()[0])
-        codec = cls.fit(spark, data, subspaces, centroids, rotation=np.eye(dim), **kw)
+    def fit_rotated(cls, spark: SparkSession, data: DataFrame, subspaces: int, centroids: int = 16, turns: int = 5, start: str = "identity", blocks: int = 1, **kw) -> Codec:
+        """Alternate codebooks with the rotation that fits their reconstruction best (singular vectors of a sum over all rows of size D x D).
+
+        start: a name of ``linear.initial_rotation``; blocks: stretches of dimensions that are rotated each by itself.
+        """
+        cov = linear.covariance_matrix(data)[1]
+        rotation = linear.initial_rotation(cov, subspaces, start, kw.get("seed", 0))
+        codec = cls.fit(spark, data, subspaces, centroids, rotation=rotation, **kw)
         for _ in range(turns):
-            total = codec._moment(data)
-            u, _, vt = np.linalg.svd(total)
-            codec = cls.fit(spark, data, subspaces, centroids, rotation=u @ vt, **kw)
+            total, rotation = linear.moment_matrix(codec.reconstruct(codec.encode(data)), "approx", "embedding")[:-1, :-1], np.zeros_like(cov)
+            if len(cov) % blocks:
+                raise ValueError("the length of a vector must be a multiple of the number of blocks")
+            for at in np.split(np.arange(len(cov)), blocks):
+                u, _, vt = np.linalg.svd(total[np.ix_(at, at)])
+                rotation[np.ix_(at, at)] = u @ vt
+            codec = cls.fit(spark, data, subspaces, centroids, rotation=rotation, **kw)
         return codec
 
-    def _moment(self, data: DataFrame) -> np.ndarray:
-        dim, shared = self.books.shape[0] * self.books.shape[2], self.spark.sparkContext.broadcast((self.books, self.rotation))
-
-        def run(batches):
-            books, rotation = shared.value
-            total = np.zeros((dim, dim))
-            for b in batches:
-                if b.num_rows:
-                    x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-                    codes = _encode(x @ rotation.T if rotation is not None else x, books)
-                    total += _decode(codes, books).T @ x
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "v"])
-
-        out = np.zeros((dim, dim))
-        for r in data.select("embedding").mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-            out[r["i"], r["j"]] = r["v"]
-        return out
+    @classmethod
+    def fit_permuted(cls, spark: SparkSession, data: DataFrame, subspaces: int, centroids: int = 16, **kw) -> Codec:
+        """Codebooks over the order of dimensions that ``linear.swap_order`` finds."""
+        order = linear.swap_order(linear.covariance_matrix(data)[1], subspaces)
+        return cls.fit(spark, data, subspaces, centroids, rotation=linear.permutation_rotation(order), **kw)
+
+    def fit_mixing(self, data: DataFrame, keep: int) -> np.ndarray:
+        """A sparse matrix (``keep`` nonzeros in a column) that takes reconstructions, in rotated space, nearer to the rotated vectors."""
+        coded = self.reconstruct(self.encode(data))
+        gram = linear.moment_matrix(coded, "approx", "approx")[:-1, :-1]
+        cross = linear.moment_matrix(coded, "approx", "embedding")[:-1, :-1]
+        return linear.hard_threshold_pursuit(gram, cross @ self.rotation.T if self.rotation is not None else cross, keep)
 
     def encode(self, data: DataFrame, int_round: bool = False) -> DataFrame:
         """``data`` with codes; ``int_round`` compares distances rounded to whole numbers. Ties go to the smaller code."""
@@ -112,12 +115,31 @@ class Codec:
 
         return queries.select("qid", "q").mapInArrow(run, "qid long, lut array<array<double>>")
 
+    def distances(self, coded: DataFrame, tables: DataFrame, modes: tuple[str, ...] = ("safe",), block: int = 1024) -> DataFrame:
+        """qid, vec_id and a column for each mode of ``scan``: all queries against all codes, the queries' tables in blocks."""
+        names = ["qid", "vec_id", *modes]
+        schema, out = "qid long, vec_id long, " + ", ".join(f"{m} double" for m in modes), None
+        for ids, luts in _table_blocks(tables, block):
+            shared = self.spark.sparkContext.broadcast((ids, luts))
+
+            def run(batches, shared=shared):
+                ids, luts = shared.value
+                for b in batches:
+                    if b.num_rows:
+                        codes, vec = b.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(int), b.column("vec_id").to_numpy()
+                        for i, lut in zip(ids, luts, strict=True):
+                            found = lut[np.arange(len(lut)), codes]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), i)), pa.array(vec), *(pa.array(_sums(found, m)) for m in modes)], names=names)
+
+            part = coded.select("vec_id", "codes").mapInArrow(run, schema)
+            out = part if out is None else out.unionAll(part)
+        return out if out is not None else self.spark.createDataFrame([], schema)
+
     def knn(self, coded: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", block: int = 1024) -> DataFrame:
         """qid, rank, vec_id, dist: compressed search. Tables go out block by block; each batch of codes keeps its best for each query."""
-        tables = [(r["qid"], r["lut"]) for r in self.tables(queries, metric).toLocalIterator()]
         out = None
-        for lo in range(0, len(tables), block):
-            shared = self.spark.sparkContext.broadcast((np.array([t[0] for t in tables[lo : lo + block]]), np.array([t[1] for t in tables[lo : lo + block]])))
+        for some in _table_blocks(self.tables(queries, metric), block):
+            shared = self.spark.sparkContext.broadcast(some)
 
             def run(batches, shared=shared):
                 ids, lut = shared.value
@@ -138,6 +160,28 @@ class Codec:
         return rank_within(out, "qid", [d.desc() if metric == "dot" else d, F.col("vec_id")], k).select("qid", "rank", "vec_id", "dist")
 
 
+def _table_blocks(tables: DataFrame, block: int):
+    ids, luts = [], []
+    for r in tables.select("qid", "lut").toLocalIterator():
+        ids.append(r["qid"])
+        luts.append(r["lut"])
+        if len(ids) == block:
+            yield np.array(ids, np.int64), np.array(luts, float)
+            ids, luts = [], []
+    if ids:
+        yield np.array(ids, np.int64), np.array(luts, float)
+
+
+def _sums(found: np.ndarray, mode: str) -> np.ndarray:
+    """What ``scan`` gives, for rows of table entries."""
+    if mode == "u8":
+        return np.minimum(found.sum(1), 255)
+    if mode == "u16":
+        even = np.pad(found, ((0, 0), (0, found.shape[1] % 2)))
+        return np.minimum(np.minimum(even[:, ::2] + even[:, 1::2], 255).sum(1), 65535)
+    return found.sum(1)
+
+
 def _encode(x: np.ndarray, books: np.ndarray, int_round: bool = False) -> np.ndarray:
     parts = x.reshape(len(x), books.shape[0], 1, -1)
     d = ((parts - books) ** 2).sum(3)
@@ -168,6 +212,12 @@ def quantize_tables(tables: DataFrame, alpha: float) -> DataFrame:
     return tables.join(F.broadcast(one)).select("qid", F.transform("lut", lambda row, m: scaled(row, F.get(F.col("floors"), m), F.col("scale"))).alias("lut"), "floors", "scale")  # one row
 
 
+def quantize_tables_between(tables: DataFrame, low: float, high: float) -> DataFrame:
+    """lut as bytes, such that a total distance of ``low`` comes near 0 and one of ``high`` near 255: the offset is shared by the subspaces."""
+    scaled = lambda row, n: F.transform(row, lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.rint((v - low / n) * 255 / (high - low)).cast("int"))))
+    return tables.withColumn("lut", F.transform("lut", lambda row: scaled(row, F.size("lut"))))
+
+
 def thresholds_quantile(data: DataFrame, cuts: list[float]) -> DataFrame:
     """dim, thresholds: percentiles of each dimension."""
     each = data.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "v"))
@@ -206,3 +256,48 @@ def reconstruction_error(pairs: DataFrame) -> DataFrame:
 
     x = F.col("embedding").cast("array<double>")
     return pairs.agg((F.avg(l2_squared(x, F.col("approx")) / F.size(x)) / F.avg(variance(x))).alias("error"))
+
+
+def overlapped(vector: Column, subspaces: int, extra: int) -> Column:
+    """The subspaces' stretches one after the other, each begun ``extra`` dimensions early; the first one's come from the vector's end."""
+    n = F.size(vector)
+    width = (n / subspaces).cast("int")
+    at = lambda m, j: F.get(vector, F.pmod(m * width + j - extra, n))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(subspaces - 1)), lambda m: F.transform(F.sequence(F.lit(0), width + extra - 1), lambda j: at(m, j))))
+
+
+def merged(stretches: Column, subspaces: int, extra: int) -> Column:
+    """The vector of ``overlapped`` stretches: a dimension that stands in several is their mean."""
+    each = (F.size(stretches) / subspaces).cast("int")
+    n = (each - extra) * subspaces
+    place = lambda m, j: F.pmod(m * (each - extra) + j - extra, n)
+    inside = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(subspaces - 1)), lambda m: F.transform(F.sequence(F.lit(0), each - 1), lambda j: place(m, j))))
+    pairs = F.zip_with(inside, stretches, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
+
+    def mean(d: Column) -> Column:
+        here = F.filter(pairs, lambda s: s["p"] == d)
+        return F.aggregate(here, F.lit(0.0), lambda t, s: t + s["v"]) / F.size(here)
+
+    return F.transform(F.sequence(F.lit(0), n - 1), mean)
+
+
+def chained_codes(distances: np.ndarray, shared_bits: int) -> np.ndarray:
+    """Codes (rows x subspaces) of least total distance among those whose last ``shared_bits`` are the first of the next code: a shortest path.
+
+    distances: rows x subspaces x centroids, the number of centroids a power of two. Shared bits need storing once only.
+    """
+    n, parts, k = distances.shape
+    states, bits = 1 << shared_bits, k.bit_length() - 1
+    codes = np.arange(k)
+    begins, ends = codes >> (bits - shared_bits), codes & (states - 1)
+    cost, back = np.zeros((n, states)), []
+    for m in range(parts):
+        reach = cost[:, begins] + distances[:, m]
+        into = np.stack([np.where(ends == s, reach, np.inf).argmin(1) for s in range(states)], 1)
+        back.append(into)
+        cost = np.take_along_axis(reach, into, 1)
+    out, state = np.zeros((n, parts), int), cost.argmin(1)
+    for m in range(parts - 1, -1, -1):
+        out[:, m] = back[m][np.arange(n), state]
+        state = begins[out[:, m]]
+    return out

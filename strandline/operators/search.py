@@ -35,6 +35,11 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.stack([np.abs(x - v).sum(1) for v in q])
 
 
+def products(spark: SparkSession, data: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """qid, vec_id, dist: the inner product of each query with each vector, a product of two matrices in long form."""
+    return _scan(spark, data, queries, "dot", lambda d, vec: np.nonzero(np.ones(d.shape, bool)), block)
+
+
 def _scan(spark: SparkSession, data: DataFrame, queries: DataFrame, metric: str, keep, block: int) -> DataFrame:
     schema, parts = "qid long, vec_id long, dist double", []
     for ids, q in _blocks(queries, block):
@@ -131,9 +136,9 @@ def lloyd(data: DataFrame, centroids: DataFrame, rounds: int = 1) -> DataFrame:
     return centroids
 
 
-def classify(spark: SparkSession, examples: DataFrame, queries: DataFrame, metric: str = "l2sq") -> DataFrame:
-    """qid, label of the nearest example (vec_id, embedding, label); a warped distance goes through ``distances.dtw`` instead."""
-    near = knn_join(spark, examples.select("vec_id", "embedding"), queries, 1, metric)
+def classify(spark: SparkSession, examples: DataFrame, queries: DataFrame, metric: str = "l2sq", exclude_self: bool = False) -> DataFrame:
+    """qid, label of the nearest example (vec_id, embedding, label), the query's own row aside on request; a warped distance goes through ``distances.dtw`` instead."""
+    near = knn_join(spark, examples.select("vec_id", "embedding"), queries, 1, metric, exclude_self)
     return near.join(examples.select("vec_id", "label"), "vec_id").select("qid", "label")
 
 
@@ -142,3 +147,93 @@ def recall(found: DataFrame, truth: DataFrame, at: list[int]) -> DataFrame:
     best = truth.filter("rank = 1").select("qid", "vec_id")
     hit = best.join(found.select("qid", "vec_id", "rank"), ["qid", "vec_id"], "left")
     return hit.select(F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.coalesce((F.col("rank") <= r).cast("double"), F.lit(0.0)).alias("h")) for r in at))).alias("x")).groupBy(F.col("x.r").alias("r")).agg(F.avg("x.h").alias("recall"))
+
+
+def grouped_cells(data: DataFrame, fine: DataFrame) -> DataFrame:
+    """``data`` (with cell) with the nearest of its cell's own ``fine`` centroids (cell, sub, centroid): sub, ties to the smaller one."""
+    models: dict = {}
+    for r in fine.select("cell", "sub", "centroid").orderBy("cell", "sub").collect():
+        models.setdefault(r["cell"], ([], []))[0].append(r["sub"])
+        models[r["cell"]][1].append(list(r["centroid"]))
+    models = {c: (np.array(s), np.array(v, float)) for c, (s, v) in models.items()}
+    fields = [(f.name, f.dataType.simpleString()) for f in data.schema if f.name != "sub"]
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, cell = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1), b.column("cell").to_numpy()
+                sub = np.zeros(len(x), np.int32)
+                for c in np.unique(cell):
+                    names, centres = models[int(c)]
+                    at = np.flatnonzero(cell == c)
+                    sub[at] = names[np.stack([((x[at] - v) ** 2).sum(1) for v in centres], 1).argmin(1)]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in fields), pa.array(sub)], names=[*(n for n, _ in fields), "sub"])
+
+    return data.select(*(n for n, _ in fields)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, ("sub", "int")]))
+
+
+def two_level_knn_join(spark: SparkSession, data: DataFrame, queries: DataFrame, coarse: DataFrame, fine: DataFrame, k: int, share: float, fine_share: float) -> DataFrame:
+    """kNN over the nearest fine cells of the nearest coarse cells: one equi-join on both. The centroids are models of bounded size."""
+    from strandline.functions.distances import l2_squared
+
+    vec = lambda c: F.col(c).cast("array<double>")
+    near = knn_join(spark, coarse.select(F.col("cell").cast("long").alias("vec_id"), F.col("centroid").alias("embedding")), queries, probes(coarse.count(), share))
+    met = near.select("qid", F.col("vec_id").cast("int").alias("cell")).join(fine, "cell").join(queries, "qid").withColumn("d", l2_squared(vec("centroid"), vec("q")))
+    count = F.count("*").over(Window.partitionBy("qid"))
+    wanted = met.withColumn("most", count).withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "cell", "sub")))
+    wanted = wanted.filter(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("most") * (fine_share if fine_share > 0 else 1.0)))).select("qid", "q", "cell", "sub")
+    placed = grouped_cells(assign_cells(data, coarse), fine)
+    found = placed.join(wanted, ["cell", "sub"]).select("qid", "vec_id", l2_squared(vec("embedding"), vec("q")).alias("dist"))
+    return rank_within(found, "qid", [F.col("dist"), F.col("vec_id")], k).select("qid", "rank", "vec_id", "dist")
+
+
+class ProjectionIndex:
+    """Vectors in bins of their principal axes. A range query meets only the bins of the first axis that it reaches (an equi-join); the other axes
+    bound the distance from below before it is computed. Fitted on moments of all rows, so its model has a fixed size."""
+
+    def __init__(self, spark: SparkSession, data: DataFrame, axes: int = 16, bins: int = 16):
+        from strandline.operators import linear
+
+        self.spark, (self.mean, self.axes, variances) = spark, linear.principal_axes(data, axes)
+        self.width = max(float(np.sqrt(max(variances[0], 0.0))) * 4 / bins, 1e-9) if len(variances) else 1.0
+        self.data = self._project(data.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding"), "embedding").withColumn("bin", self._bin(F.get("p", F.lit(0))))
+
+    def _bin(self, p: Column) -> Column:
+        return F.floor(p / self.width).cast("long")
+
+    def _project(self, df: DataFrame, vec: str) -> DataFrame:
+        mean, axes = self.mean, self.axes  # bounded by the dimensions
+        fields = [(f.name, f.dataType.simpleString()) for f in df.schema]
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    x = b.column(vec).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                    yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in fields), pa.array(((x - mean) @ axes.T).tolist(), pa.list_(pa.float64()))], names=[*(n for n, _ in fields), "p"])
+
+        return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, ("p", "array<double>")]))
+
+    def within(self, queries: DataFrame, radius: float | Column) -> DataFrame:
+        """qid, vec_id, dist (squared) of all vectors at most ``radius`` away; a column of ``queries`` may hold the radius."""
+        from strandline.functions.distances import l2_squared
+
+        reach = F.lit(float(radius)) if not isinstance(radius, Column) else radius
+        rows = self._project(queries.withColumn("reach", reach).select("qid", "q", "reach"), "q").withColumnRenamed("p", "pq")
+        first, slack = F.get("pq", F.lit(0)), F.col("reach") * (1 + 1e-9) + 1e-9
+        asked = rows.withColumn("bin", F.explode(F.sequence(self._bin(first - slack), self._bin(first + slack))))
+        vec = lambda c: F.col(c).cast("array<double>")
+        met = self.data.join(asked, "bin").filter(l2_squared(F.col("p"), F.col("pq")) <= slack * slack)
+        out = met.withColumn("dist", l2_squared(vec("embedding"), vec("q"))).filter(F.col("dist") <= F.col("reach") * F.col("reach"))
+        return out.select("qid", "vec_id", "dist")
+
+    def knn(self, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+        """qid, rank, vec_id, dist. The k-th nearest of each query in a bounded sample is an upper bound of its radius; then a range query."""
+        rows = self.data.count()
+        some = self.data.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, max(4096, 8 * k) / max(rows, 1)) * (1 << 20)) + 1)
+        bound = knn_join(self.spark, some, queries, k, exclude_self=exclude_self).groupBy("qid").agg(F.max("dist").alias("far"), F.count("*").alias("n"))
+        asked = queries.join(bound, "qid", "left").withColumn("radius", F.when(F.col("n") == k, F.sqrt("far") * (1 + 1e-9)))
+        near = self.within(asked.filter("radius is not null"), F.col("radius"))
+        near = near.filter("qid != vec_id") if exclude_self else near
+        found = rank_within(near, "qid", [F.col("dist"), F.col("vec_id")], k).select("qid", "rank", "vec_id", "dist")
+        # too few in the sample to bound the radius: all rows are met
+        return found.unionByName(knn_join(self.spark, self.data, asked.filter("radius is null").select("qid", "q"), k, exclude_self=exclude_self).select(*found.columns))

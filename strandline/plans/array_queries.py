@@ -108,10 +108,10 @@ def t06_top_k(spark, d):
     return table(spark, d, "orders").withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("o_custkey", F.col("rank").cast("long").alias("rank"), "o_orderkey")
 
 
-@register("select word, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(string_split(lower(text), ' ')) as word from documents) where word <> '' group by word having count(*) > 20")
+@register("select word, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(string_split(lower(text), ' ')) as word from documents) where word <> '' group by word")
 def a11_unique_words(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ", -1)).alias("word")).filter("word <> ''")
-    return words.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).filter("n > 20")
+    return words.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @register(f"with {_A} select l_orderkey, pos::bigint as pos, round(total, 4) as total from (select l_orderkey, unnest(range(0, len(a) - 1)) as pos, unnest(list_transform(range(1, len(a)), lambda i: a[i] + a[i + 1])) as total from o)")

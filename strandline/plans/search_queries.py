@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
 from strandline.functions import distances as D
-from strandline.operators import quantize, search
+from strandline.operators import linear, quantize, search
 from strandline.plans._register import Register, table
 
 register = Register()
@@ -18,7 +18,7 @@ def _data(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "embedding", "label")
 
 
-def _queries(spark, d, every=50):
+def _queries(spark, d, every=100):
     return table(spark, d, "embeddings").filter(f"vec_id % {every} = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
@@ -26,7 +26,7 @@ def _centroids(spark, d, n=8):
     return table(spark, d, "embeddings").filter(f"vec_id < {n}").select(F.col("vec_id").cast("int").alias("cell"), F.col("embedding").cast("array<double>").alias("centroid"))
 
 
-_V = "v as (select vec_id, embedding::double[] as e, label from embeddings), q as (select vec_id as qid, e as q from v where vec_id % 50 = 0)"
+_V = "v as (select vec_id, embedding::double[] as e, label from embeddings), q as (select vec_id as qid, e as q from v where vec_id % 100 = 0)"
 _PAIRS = f"with {_V}, p as (select qid, vec_id, round(list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) as dist, label from v, q)"
 _TOP = "select qid, rank, vec_id, dist from (select qid, vec_id, dist, row_number() over (partition by qid order by {order}, vec_id) as rank from p {where}) where rank <= {k}"
 
@@ -65,12 +65,9 @@ def n06_cells_half_probed(spark, d):
 
 @register(f"{_PAIRS} select qid, vec_id, dist from p where dist <= 1.3")
 def j08_range_join(spark, d):
-    """Band predicates on the first four components bound the squared distance from below, then the whole distance decides."""
-    data = _data(spark, d).select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    q = _queries(spark, d, 50).select("qid", F.col("q").cast("array<double>").alias("q"))
-    near = sum(F.pow(F.get("e", F.lit(i)) - F.get("q", F.lit(i)), 2) for i in range(4)) <= 1.3
-    met = data.join(q, near).withColumn("dist", F.round(D.l2_squared(F.col("e"), F.col("q")), 6))
-    return met.filter("dist <= 1.3").select("qid", "vec_id", "dist")
+    """Bins of the first principal axes bound the distance from below, then the whole distance decides."""
+    index = search.ProjectionIndex(spark, _data(spark, d), axes=8)
+    return index.within(_queries(spark, d), 1.3**0.5).select("qid", "vec_id", F.round("dist", 6).alias("dist"))
 
 
 @register(f"with {_V}, p as (select qid, vec_id, round(list_inner_product(e, q), 6) as dist from v, q) " + _TOP.format(order="dist desc", where="", k=10))
@@ -83,9 +80,9 @@ def t07_knn_by_l1(spark, d):
     return _out(search.knn_join(spark, _data(spark, d), _queries(spark, d), 5, metric="l1"))
 
 
-@register(f"{_PAIRS} select qid, label from (select qid, label, row_number() over (partition by qid order by dist, vec_id) as r from p where vec_id % 50 <> 0) where r = 1")
+@register(f"{_PAIRS} select qid, label from (select qid, label, row_number() over (partition by qid order by dist, vec_id) as r from p where vec_id <> qid) where r = 1")
 def d15_nearest_label(spark, d):
-    return search.classify(spark, _data(spark, d).filter("vec_id % 50 <> 0"), _queries(spark, d))
+    return search.classify(spark, _data(spark, d), _queries(spark, d), exclude_self=True)
 
 
 @register(f"""with {_V}, c as (select vec_id as cell, e as c from v where vec_id < 8),
@@ -145,8 +142,7 @@ def v05_scan_modes(spark, d):
     """Sums of byte tables: saturating, saturating in pairs, and plain."""
     codec = quantize.Codec(spark, _books(spark, d))
     luts = codec.tables(_queries(spark, d)).withColumn("lut", F.transform("lut", lambda r: F.transform(r, lambda v: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint(v * 200))))))
-    met = codec.encode(_data(spark, d)).select("vec_id", "codes").crossJoin(F.broadcast(luts))  # the stated queries: a fixed share of a small set
-    return met.select("qid", "vec_id", *(quantize.scan(F.col("codes"), F.col("lut"), m).alias(m) for m in ("safe", "u8", "u16")))
+    return codec.distances(codec.encode(_data(spark, d)), luts, ("safe", "u8", "u16"))
 
 
 @register(f"""{_B} select round(avg(err) / avg(var), 6) as error from (select v.vec_id, list_sum(list_transform(list_zip(e, approx), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 64 as err, list_var_pop(e) as var
@@ -191,17 +187,18 @@ def p10_variance_order(spark, d):
     return one.select(F.posexplode("o").alias("place", "s")).select(F.col("s.dim").cast("long").alias("dim"), F.col("place").cast("long").alias("place"))
 
 
-@register(f"with {_V}, u as (select vec_id, generate_subscripts(e, 1) - 1 as dim, unnest(e) as x from v where true), w as (select * from u where dim < 8) select a.dim as i, b.dim as j, round(covar_pop(a.x, b.x), 6) as cov from w a join w b using (vec_id) group by all")
+@register(f"with {_V}, u as (select vec_id, generate_subscripts(e, 1) - 1 as dim, unnest(e) as x from v) select a.dim as i, b.dim as j, round(covar_pop(a.x, b.x), 6) + 0.0 as cov from u a join u b using (vec_id) group by all")
 def a08_covariance(spark, d):
-    e = _data(spark, d).select(F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("e"))
-    pairs = e.select(F.posexplode("e").alias("i", "x"), "e").select("i", "x", F.posexplode("e").alias("j", "y"))
-    return pairs.groupBy("i", "j").agg(F.round(F.covar_pop("x", "y"), 6).alias("cov")).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "cov")
+    m = linear.co_moments(_data(spark, d))
+    last = len(_data(spark, d).first()["embedding"])
+    sums, n = m.filter(f"j = {last} and i < {last}").select("i", F.col("v").alias("s")), m.filter(f"i = {last} and j = {last}").select(F.col("v").alias("n"))
+    out = m.filter(f"i < {last} and j < {last}").join(F.broadcast(sums.withColumnRenamed("s", "si")), "i").join(F.broadcast(sums.select(F.col("i").alias("j"), F.col("s").alias("sj"))), "j").join(F.broadcast(n))  # one row for each dimension, and one
+    return out.select("i", "j", (F.round(F.col("v") / F.col("n") - F.col("si") / F.col("n") * F.col("sj") / F.col("n"), 6) + 0.0).alias("cov"))
 
 
 @register(f"with {_V} select qid, vec_id, round(list_inner_product(e, q), 6) as product from v, q")
 def v31_products(spark, d):
-    every = search._scan(spark, _data(spark, d), _queries(spark, d), "dot", lambda x, vec: np.nonzero(np.ones(x.shape, bool)), search.BLOCK)
-    return every.select("qid", "vec_id", F.round("dist", 6).alias("product"))
+    return search.products(spark, _data(spark, d), _queries(spark, d)).select("qid", "vec_id", F.round("dist", 6).alias("product"))
 
 
 @register(f"""with {_V} select vec_id, round(list_sum(list_transform(e, lambda x: abs(x))), 6) as l1, round(sqrt(list_inner_product(e, e)), 6) as l2, round(list_avg(e), 6) as mean, round(list_stddev_pop(e), 6) as sd,
@@ -220,32 +217,33 @@ def p12_normalized(spark, d):
     return _data(spark, d).select("vec_id", third("z").alias("z"), third("l1").alias("l1"), third("zero_one").alias("zo"), F.round(F.get(aug, F.lit(63)), 6).alias("half"), F.round(F.get(aug, F.lit(64)), 6).alias("rest"))
 
 
-@register("""with p as (select a.vec_id as i, b.vec_id as j, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a, embeddings b where a.vec_id < 40 and b.vec_id < 40)
- select i, j, round(list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2]))), 6) as l1, round(list_distance(x, y), 6) as l2, round(list_inner_product(x, y), 6) as dot,
- round((list_inner_product(x, y) / 64 - list_avg(x) * list_avg(y)) / (list_stddev_pop(x) * list_stddev_pop(y)), 5) as corr, bit_count(xor(i, j))::int as bits from p""")
+def _against_means(spark, d):
+    """Each vector (x) with the mean vector (y) of its label."""
+    e = _data(spark, d).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    means = e.select("label", F.posexplode("x").alias("dim", "v")).groupBy("label", "dim").agg(F.avg("v").alias("v")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("y"))
+    return e.join(means, "label")
+
+
+_MEANS = f"{_V}, u as (select label, generate_subscripts(e, 1) as dim, unnest(e) as x from v), m as (select label, list(mx order by dim) as y from (select label, dim, avg(x) as mx from u group by all) group by label), p as (select vec_id, v.label, e as x, y from v join m on v.label = m.label)"
+
+
+@register(f"""with {_MEANS} select vec_id, round(list_sum(list_transform(list_zip(x, y), lambda z: abs(z[1] - z[2]))), 6) as l1, round(list_distance(x, y), 6) as l2, round(list_inner_product(x, y), 6) as dot,
+ round((list_inner_product(x, y) / len(x) - list_avg(x) * list_avg(y)) / (list_stddev_pop(x) * list_stddev_pop(y)), 5) as corr, bit_count(xor(vec_id, label::bigint))::int as bits from p""")
 def d01_distances(spark, d):
-    e = _data(spark, d).filter("vec_id < 40").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    p = e.select(F.col("vec_id").alias("i"), F.col("e").alias("x")).crossJoin(e.select(F.col("vec_id").alias("j"), F.col("e").alias("y")))  # 40 rows each
     x, y = F.col("x"), F.col("y")
-    return p.select("i", "j", F.round(D.l1(x, y), 6).alias("l1"), F.round(D.l2(x, y), 6).alias("l2"), F.round(D.dot(x, y), 6).alias("dot"), F.round(D.centred_cosine(x, y), 5).alias("corr"), D.hamming_bits(F.col("i"), F.col("j")).alias("bits"))
+    return _against_means(spark, d).select("vec_id", F.round(D.l1(x, y), 6).alias("l1"), F.round(D.l2(x, y), 6).alias("l2"), F.round(D.dot(x, y), 6).alias("dot"), F.round(D.centred_cosine(x, y), 5).alias("corr"), D.hamming_bits(F.col("vec_id"), F.col("label").cast("long")).alias("bits"))
 
 
-@register("""with recursive b as (select vec_id as id, embedding::double[] as e from embeddings where vec_id < 12), p as (select a.id as i, c.id as j, a.e[1:12] as x, c.e[1:12] as y from b a, b c),
- w as (select i, j, x, y, 0 as r, [case when k < 2 then 0.0::double else 1e300 end for k in range(1, 14)] as prev from p where false
-  union all select i, j, x, y, 0, list_concat([0.0::double], [1e300::double for k in range(12)]) from p),
- t as (select i, j, x, y, 0 as r, list_concat([0.0::double], [1e300::double for k in range(12)]) as prev from p
-  union all select i, j, x, y, r + 1, list_reduce(list_transform(range(1, 13), lambda k: [k::double]), lambda acc, kk: list_append(acc, case when abs(kk[1]::int - r - 1) > 2 then 1e300 else (x[r + 1] - y[kk[1]::int]) * (x[r + 1] - y[kk[1]::int]) + least(prev[kk[1]::int], prev[kk[1]::int + 1], acc[-1]) end), [1e300::double])
-  from t where r < 12)
- select i, j, round(prev[13], 6) as dtw from t where r = 12""")
+@register(f"""with recursive {_MEANS},
+ t as (select vec_id, x, y, 0 as r, list_concat([0.0::double], [1e300::double for k in range(len(x))]) as prev from p
+  union all select vec_id, x, y, r + 1, list_reduce(list_transform(range(1, len(x) + 1), lambda k: [k::double]), lambda acc, kk: list_append(acc, case when abs(kk[1]::int - r - 1) > 2 then 1e300 else (x[r + 1] - y[kk[1]::int]) * (x[r + 1] - y[kk[1]::int]) + least(prev[kk[1]::int], prev[kk[1]::int + 1], acc[-1]) end), [1e300::double])
+  from t where r < len(x))
+ select vec_id, round(prev[-1], 6) as dtw from t where r = len(x)""")
 def d07_dtw(spark, d):
-    e = _data(spark, d).filter("vec_id < 12").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 12).alias("e"))
-    p = e.select(F.col("vec_id").alias("i"), F.col("e").alias("x")).crossJoin(e.select(F.col("vec_id").alias("j"), F.col("e").alias("y")))  # 12 rows each
-    return p.select("i", "j", F.round(D.dtw(2)("x", "y"), 6).alias("dtw"))
+    return _against_means(spark, d).select("vec_id", F.round(D.dtw(2)("x", "y"), 6).alias("dtw"))
 
 
-@register("""with b as (select vec_id as id, embedding::double[] as e from embeddings where vec_id < 20), p as (select a.id as i, c.id as j, a.e as x, c.e as y from b a, b c),
- u as (select i, j, y, unnest(x) as xv, generate_subscripts(x, 1) as k from p) select i, j, round(sum(pow(greatest(xv - list_max(y[greatest(k - 3, 1) : k + 3]), list_min(y[greatest(k - 3, 1) : k + 3]) - xv, 0), 2)), 6) as bound from u group by i, j""")
+@register(f"""with {_MEANS},
+ w as (select vec_id, y, unnest(x) as xv, generate_subscripts(x, 1) as k from p) select vec_id, round(sum(pow(greatest(xv - list_max(y[greatest(k - 3, 1) : k + 3]), list_min(y[greatest(k - 3, 1) : k + 3]) - xv, 0), 2)), 6) as bound from w group by vec_id""")
 def d09_lower_bound(spark, d):
-    e = _data(spark, d).filter("vec_id < 20").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    p = e.select(F.col("vec_id").alias("i"), F.col("e").alias("x")).crossJoin(e.select(F.col("vec_id").alias("j"), F.col("e").alias("y")))  # 20 rows each
-    return p.select("i", "j", F.round(D.lb_keogh(F.col("x"), F.col("y"), 3), 6).alias("bound"))
+    return _against_means(spark, d).select("vec_id", F.round(D.lb_keogh(F.col("x"), F.col("y"), 3), 6).alias("bound"))
