@@ -267,18 +267,18 @@ def overlapped(vector: Column, subspaces: int, extra: int) -> Column:
 
 
 def merged(stretches: Column, subspaces: int, extra: int) -> Column:
-    """The vector of ``overlapped`` stretches: a dimension that stands in several is their mean."""
+    """The vector of ``overlapped`` stretches (``extra`` no longer than a subspace): a dimension that stands in two is their mean."""
+    from strandline.functions.arrays import let
+
     each = (F.size(stretches) / subspaces).cast("int")
-    n = (each - extra) * subspaces
-    place = lambda m, j: F.pmod(m * (each - extra) + j - extra, n)
-    inside = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(subspaces - 1)), lambda m: F.transform(F.sequence(F.lit(0), each - 1), lambda j: place(m, j))))
-    pairs = F.zip_with(inside, stretches, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
+    width = each - extra
 
-    def mean(d: Column) -> Column:
-        here = F.filter(pairs, lambda s: s["p"] == d)
-        return F.aggregate(here, F.lit(0.0), lambda t, s: t + s["v"]) / F.size(here)
+    def dimension(all_: Column, d: Column) -> Column:
+        m, j = (d / width).cast("int"), F.pmod(d, width)
+        own, late = F.get(all_, m * each + j + extra), j - (width - extra)
+        return F.when(late < 0, own).otherwise((own + F.get(all_, F.pmod(m + 1, F.lit(subspaces)) * each + late)) / 2)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), mean)
+    return let(stretches, lambda all_: F.transform(F.sequence(F.lit(0), width * subspaces - 1), lambda d: dimension(all_, d)))
 
 
 def chained_codes(distances: np.ndarray, shared_bits: int) -> np.ndarray:
