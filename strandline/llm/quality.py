@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words (between white space) and its character 1- to 4-grams, case and punctuation kept, hashed into
-``BUCKETS`` rows of a matrix of vectors. The vectors are averaged, each feature as often as it occurs, and a softmax layer gives the
+A document's features are its words (between white space), its character 1- to 4-grams, case and punctuation kept, and its pairs of
+neighbouring words, of which only counts whether both are the same; they are hashed into ``BUCKETS`` rows of a matrix of vectors. The vectors are averaged, each feature as often as it occurs, and a softmax layer gives the
 probability of either label. Vectors and layer are learned by stochastic gradient descent in numpy, on the driver, from a bounded sample of
 the labelled rows (``TRAINING_ROWS``, a parameter). The average and the layer are linear, so for scoring each row of the matrix is
 projected to one number first: a document's logit is the mean of its features' numbers. Whole texts are scored.
@@ -57,7 +57,10 @@ def features(texts: list[str], buckets: int = BUCKETS) -> list[tuple[np.ndarray,
     # each text gets one empty word at its end, so that none lacks an entry
     owner = np.searchsorted(starts, first, side="right") - 1
     where = np.searchsorted(owner, np.arange(len(texts)), side="left") + np.arange(len(texts))
-    return [*out, (np.insert(words, np.searchsorted(owner, np.arange(len(texts)), side="right"), buckets), where)]
+    last = np.searchsorted(owner, np.arange(len(texts)), side="right")
+    again = np.concatenate([[False], (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])])[: len(words)]
+    marks = np.array([(k * _ODD % (1 << 64)) >> int(shift) for k in (1, 2)])
+    return [*out, (np.insert(words, last, buckets), where), (np.insert(marks[again.astype(int)], last, buckets), where)]
 
 
 def _bag(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
