@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandline.llm import _common
 
@@ -226,17 +225,3 @@ def _grouped(spark: SparkSession, docs: DataFrame, words: int, seed: int, radius
 def clusters(spark: SparkSession, docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return _grouped(spark, docs, words, seed, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """The documents without the near copies: of each component the row of the smallest id stays, of rows that share it one. Rows without an id stay.
-
-    Ids needn't be unique: rows of one id whose texts lie in different components are different documents.
-    """
-    found = _grouped(spark, docs.filter(F.col("doc_id").isNotNull()), words, seed, radius)
-    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*").distinct()
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    kept = marked.join(chosen, ["__id", "__th"], "left_semi")
-    first = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__th").orderBy("text"))).filter("__n = 1")
-    return first.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
