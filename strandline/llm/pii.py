@@ -3,8 +3,8 @@
 The base finds emails, IPv4 addresses, payment cards and telephone numbers by pattern and check. The field adds names, street addresses and account
 numbers. It reads a line as a chain of tokens (words, numbers, marks) with features of word shape and of known words at the token, before
 and after it; emissions are sums of looked-up weights. It is trained on the driver from ``EXAMPLES``, a small labelled table, by gradient ascent on the
-exact likelihood (forward and backward sums in numpy), and decoded by Viterbi, all chains of a batch side by side. A chain is cut after
-``CHAIN`` tokens, so memory doesn't grow with the length of a line. Where a span of the field overlaps one of the base, the base's stays.
+exact likelihood (forward and backward sums in numpy), and decoded by Viterbi, all chains of a batch side by side. A chain is a whole line, however
+long; the way back takes a byte for each token and label. Where a span of the field overlaps one of the base, the base's stays.
 
 Null text counts as empty. Rows are independent: repeated rows, null ids and other columns do no harm. Offsets are code points.
 """
@@ -24,7 +24,6 @@ from strandline.llm import _common
 BASE, ADDED = ("email", "ip", "card", "phone"), ("name", "address", "account")
 KINDS = (*BASE, *ADDED)
 LABELS = ["O", *(f"{p}-{k}" for k in ADDED for p in "BI")]
-CHAIN = 256
 Span = tuple[int, int, int]  # kind, start, end
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -214,9 +213,7 @@ class Tokens:
         lines = add(points == 10)[self.start]
         new = np.flatnonzero(np.concatenate([[True], lines[1:] != lines[:-1]])) if len(lines) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(new, len(lines)))
-        place = np.arange(len(lines)) - np.repeat(new, sizes)
-        self.chain = np.flatnonzero(place % CHAIN == 0)  # the tokens that begin a chain
-        self.sizes = np.diff(np.append(self.chain, len(lines)))
+        self.chain, self.sizes = new, sizes  # the tokens that begin a chain (a line), and its tokens
 
 
 class Field:
@@ -260,18 +257,19 @@ class Field:
         order = np.argsort(-tokens.sizes, kind="stable")
         start, size = tokens.chain[order], tokens.sizes[order]
         best = scores[start] + self.begin
-        back, live = [], len(start)
+        back = np.zeros((len(scores), n), np.int8)
+        longer = np.searchsorted(-size, -np.arange(int(size[0])), side="left").tolist()  # how many chains have a token at each place
         for i in range(1, int(size[0])):
-            live = int(np.searchsorted(-size, -i, side="left"))
-            paths = best[:live, :, None] + self.step
-            came = paths.argmax(1)
-            back.append(came.astype(np.int8))
-            best[:live] = np.take_along_axis(paths, came[:, None, :], 1)[:, 0] + scores[start[:live] + i]
+            live = longer[i]
+            paths, at = best[:live, :, None] + self.step, start[:live] + i
+            back[at] = paths.argmax(1)
+            best[:live] = paths.max(1) + scores[at]
         label = best.argmax(1)
         for i in range(int(size[0]) - 1, 0, -1):
-            live = len(back[i - 1])
-            out[start[:live] + i] = label[:live]
-            label[:live] = back[i - 1][np.arange(live), label[:live]]
+            live = longer[i]
+            at = start[:live] + i
+            out[at] = label[:live]
+            label[:live] = back[at, label[:live]]
         out[start] = label
         return out
 

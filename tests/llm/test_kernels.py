@@ -166,3 +166,14 @@ def test_tree_search_finds_leaves_until_enough():
     cells = ann.search([t.margins(x[:1])[0] for t in forest], forest, sizes, 900)
     assert len(set(cells)) == len(cells) and sizes[cells].sum() >= 900 and sizes[cells[:-1]].sum() < 900
     assert cells[0] % width == forest[cells[0] // width].leaves(x[:1])[0]
+
+
+def test_field_reads_long_lines_whole():
+    field = pii.train()
+    said = [("my name is ", "Robert Fisher", "name"), ("he lives at ", "77 Green Street", "address"), ("account number ", "4465758382", "account")]
+    for before in (*range(248, 260), 1000, 4738):
+        for cue, what, kind in said:
+            text = "the " * before + cue + what + " and then we go on" + " to the end" * 100
+            start = 4 * before + len(cue)
+            assert pii.shown(pii.find([text], field)[0][1]) == f"{kind}:{start}:{start + len(what)}"
+            assert pii.redact(text, pii.find([text], field)[0][1]) == text.replace(what, f"[{kind.upper()}]")
