@@ -4,7 +4,8 @@ The base finds emails, IPv4 addresses, payment cards and telephone numbers by pa
 numbers. It reads a line as a chain of tokens (words, numbers, marks) with features of word shape and of known words at the token, before
 and after it; emissions are sums of looked-up weights. It is trained on the driver from ``EXAMPLES``, a small labelled table, by gradient ascent on the
 exact likelihood (forward and backward sums in numpy), and decoded by Viterbi, all chains of a batch side by side. A chain is a whole line, however
-long; the way back takes a byte for each token and label. Where a span of the field overlaps one of the base, the base's stays.
+long; the way back takes a byte for each token and label. Where a span of the field overlaps one of the base, the base's is listed;
+``scrub`` replaces both as one.
 
 Null text counts as empty. Rows are independent: repeated rows, null ids and other columns do no harm. Offsets are code points.
 """
@@ -367,14 +368,17 @@ def train(examples: str = EXAMPLES, rounds: int = 200, rate: float = 0.15, decay
     return field
 
 
-def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """For each text the spans of the base, and all spans, by kind and then start."""
-    base = [base_spans(t) for t in texts]
+def every(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """For each text the spans of the base, and those of the field, by kind and then start; they may overlap."""
     extra: list[list[Span]] = [[] for _ in texts]
     for i, span in field.spans(Tokens(texts)):
-        if not any(s < span[2] and span[1] < e for _, s, e in base[i]):
-            extra[i].append(span)
-    return [(b, b + sorted(x)) for b, x in zip(base, extra, strict=True)]
+        extra[i].append(span)
+    return [(base_spans(t), sorted(x)) for t, x in zip(texts, extra, strict=True)]
+
+
+def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """For each text the spans of the base, and all spans, by kind and then start."""
+    return [(base, base + [x for x in extra if not any(s < x[2] and x[1] < e for _, s, e in base)]) for base, extra in every(texts, field)]
 
 
 def shown(spans: list[Span]) -> str:
@@ -382,14 +386,17 @@ def shown(spans: list[Span]) -> str:
 
 
 def redact(text: str, spans: list[Span]) -> str:
-    """``text`` with its kind in brackets in place of each span; of spans that overlap the first listed kind stays."""
-    taken: list[Span] = []
-    for k, s, e in spans:
-        if not any(s < y and x < e for _, x, y in taken):
-            taken.append((k, s, e))
+    """``text`` with its kind in brackets in place of each span; spans that overlap are replaced as one, by the kind of the longest (of equal ones the first kind)."""
+    joined: list[tuple[int, int, Span]] = []
+    for span in sorted(spans, key=lambda x: x[1:]):
+        if joined and span[1] < joined[-1][1]:
+            s, e, longest = joined.pop()
+            joined.append((s, max(e, span[2]), min(longest, span, key=lambda x: (x[1] - x[2], x[0]))))
+        else:
+            joined.append((span[1], span[2], span))
     out, at = [], 0
-    for k, s, e in sorted(taken, key=lambda x: x[1]):
-        out += [text[at:s], f"[{KINDS[k].upper()}]"]
+    for s, e, longest in joined:
+        out += [text[at:s], f"[{KINDS[longest[0]].upper()}]"]
         at = e
     return "".join([*out, text[at:]])
 
@@ -402,11 +409,11 @@ def detect(spark: SparkSession, docs: DataFrame, field: Field | None = None) ->
     def run(batches):
         for b in _common.slices(batches):
             rows = []
-            for base, every in find(_common.texts_of(b.column("text")), shared.value):
+            for base, spans in find(_common.texts_of(b.column("text")), shared.value):
                 n = [0] * len(BASE)
                 for k, _, _ in base:
                     n[k] += 1
-                rows.append((*n, hashlib.sha256(shown(base).encode()).hexdigest(), shown(every)))
+                rows.append((*n, hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
             kinds = [pa.int64()] * len(BASE) + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
@@ -422,7 +429,7 @@ def scrub(spark: SparkSession, docs: DataFrame, field: Field | None = None) -> D
     def run(batches):
         for b in _common.slices(batches):
             texts = _common.texts_of(b.column("text"))
-            clean = [redact(t, every) for t, (_, every) in zip(texts, find(texts, shared.value), strict=True)]
+            clean = [redact(t, base + extra) for t, (base, extra) in zip(texts, every(texts, shared.value), strict=True)]
             valid = b.column("text").is_valid().to_pylist()
             new = pa.array([t if ok else None for t, ok in zip(clean, valid, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if n == "text" else b.column(n) for n in names], names=names)

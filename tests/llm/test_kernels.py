@@ -177,3 +177,17 @@ def test_field_reads_long_lines_whole():
             start = 4 * before + len(cue)
             assert pii.shown(pii.find([text], field)[0][1]) == f"{kind}:{start}:{start + len(what)}"
             assert pii.redact(text, pii.find([text], field)[0][1]) == text.replace(what, f"[{kind.upper()}]")
+
+
+def test_redact_replaces_the_union():
+    for text, want in (("call +33.1.23.45.67.89 now", "call [PHONE] now"), ("call +49.30.12.34.5678", "call [PHONE]"), ("a.b@c.org 10.0.0.1", "[EMAIL] [IP]")):
+        assert pii.redact(text, pii.base_spans(text)) == want
+    assert pii.redact("abcdefgh", [(0, 2, 4), (1, 0, 3), (2, 3, 7)]) == "[CARD]h"
+    assert pii.redact("abcdefgh", [(0, 0, 3), (1, 3, 6)]) == "[EMAIL][IP]gh"
+
+
+def test_scrub_leaves_no_part_of_an_account():
+    text = "IBAN : GB82WEST4111111111111111"
+    (base, extra), = pii.every([text], pii.train())
+    assert pii.shown(base) == "card:15:31" and pii.shown(extra) == "account:7:31"
+    assert pii.redact(text, base + extra) == "IBAN : [ACCOUNT]" and pii.find([text], pii.train())[0][1] == base
