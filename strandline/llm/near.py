@@ -6,7 +6,7 @@ probability of (1 - 0.8^4)^40 = 7e-10, more similar ones with less. Candidates a
 component's texts are compared exactly: the shingles are ordered by rarity in it, and two sets that reach 0.8 meet in the rarest fifth of both.
 A component of more than ``CROWD`` shingles is dealt into blocks, and each two blocks are compared in a task of their own. Nothing is capped.
 
-Null text counts as empty; all texts without a word are copies of one another. Ids may be repeated.
+Null text counts as empty; all texts without a word are copies of one another. Ids may be repeated or null.
 """
 
 from __future__ import annotations
@@ -152,14 +152,14 @@ def grouped(spark: SparkSession, docs: DataFrame, crowd: int = CROWD) -> DataFra
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """The documents without the near copies: of each component the row of the smallest id stays, of rows that share it one. Rows without an id stay.
+    """The documents without the near copies: of each component the row of the smallest id stays (null is the largest), of rows that share it one.
 
     Ids needn't be unique: rows of one id whose texts lie in different components are different documents.
     """
-    found = grouped(spark, docs.filter(F.col("doc_id").isNotNull()), crowd)
-    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*").distinct()
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    found = grouped(spark, docs, crowd)
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k")).select("k.*").distinct()
+    chosen = chosen.select(F.col("doc_id").alias("__chosen"), F.col("th").alias("__th"))
     marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    kept = marked.join(chosen, ["__id", "__th"], "left_semi")
+    kept = marked.join(chosen, (marked["__th"] == chosen["__th"]) & marked["__id"].eqNullSafe(chosen["__chosen"]), "left_semi")
     first = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__th").orderBy("text"))).filter("__n = 1")
-    return first.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return first.select(docs.columns)

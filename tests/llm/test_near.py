@@ -63,3 +63,12 @@ def test_one_word_edit_goes(spark):
     text = " ".join(f"w{i}" for i in rng.integers(0, 3000, 200))
     docs = spark.createDataFrame([(i, edited(rng, text, 1) if i else text) for i in range(6)], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()] == [0]
+
+
+def test_rows_without_an_id_are_grouped_too(spark):
+    rng = np.random.default_rng(5)
+    one, two, three = (" ".join(f"w{i}" for i in rng.integers(0, 3000, 100)) for _ in range(3))
+    rows = [(7, one), (None, one), (None, edited(rng, one, 1)), (None, two), (None, two), (None, edited(rng, two, 1)), (None, three), (None, None), (None, None)]
+    got = near.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and (7, one) in [tuple(r) for r in got] and (None, three) in [tuple(r) for r in got]
+    assert [r.doc_id for r in got].count(None) == 3
