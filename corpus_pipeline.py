@@ -13,8 +13,11 @@ from strandline.llm import _common, langid, near, packing, pii, queries, suffix
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language can't be told, go."""
-    found = langid.identify(spark, docs, names=("__language", "__likely"))
+    """Documents without a letter, and those whose language can't be told, go; where no row has a label to learn from, only the former."""
+    model = langid.train(docs)
+    if not model[0]:
+        return langid.lettered(docs)
+    found = langid.identify(spark, docs, model, names=("__language", "__likely"))
     return found.filter((F.col("__language") != langid.UNKNOWN) & (F.col("__likely") >= langid.ACCEPT)).select(docs.columns)
 
 

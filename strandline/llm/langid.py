@@ -127,6 +127,16 @@ def identify(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nd
     return docs.select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (names[0], "string"), (names[1], "double")]))
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+
+    def run(batches):
+        for b in _common.slices(batches):
+            yield b.filter(pa.array([any(map(str.isalpha, t)) for t in _common.texts_of(b.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predictions(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     model = train(docs)
