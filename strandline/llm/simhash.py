@@ -7,8 +7,8 @@ fingerprints of a larger one agree on 32 bits, so among the other 32 bits they a
 buckets, which by then share 48 bits and so can't hold more than 65,536 different fingerprints. Nothing is capped, and no pair is lost.
 
 In a bucket, bit planes are stored vertically: word w of plane b holds bit b of 64 fingerprints. For a fingerprint, the planes it differs in
-are added into carry-save counters (ones, twos, and an overflow that stays), which counts the distances to 64 fingerprints at once;
-a block is abandoned once all have exceeded the radius. Each bucket gives a spanning forest, not all pairs. The forests are joined by
+are added into carry-save counters (ones, twos, and an overflow that stays), which counts the distances to a block of 64 fingerprints at
+once; a block is abandoned once all of them, the fingerprint itself aside, have exceeded the radius. Each bucket gives a spanning forest, not all pairs. The forests are joined by
 alternating large-star and small-star steps over tables in the shared folder, until nothing changes.
 
 Null text counts as empty; texts without words have fingerprint zero and are linked like any other. Ids may be repeated or null; a component's
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from strandline.llm import _common
 
 WORDS, SEED, RADIUS, BUCKET = 3, 42, 2, 256
+#: Planes between two looks at what can be abandoned, and comparisons (a fingerprint with a word of 64 others) that are held at once.
+EVERY, MEETINGS = 8, 1 << 18
 _PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
 
@@ -67,23 +69,39 @@ def add_fingerprint(docs: DataFrame, words: int = WORDS, seed: int = SEED, out:
     return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (out, "bigint")]))
 
 
-def near(planes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Masks of the fingerprints within ``radius`` (at most 2): planes is 64 x rows x words, and each query is held against its row or all.
+def near(planes: np.ndarray, values: np.ndarray, word: np.ndarray, settled: np.ndarray, radius: int = RADIUS, done: list[int] | None = None) -> np.ndarray:
+    """For each comparison of a fingerprint (a row of ``values``: its 64-bit words) with one word of the planes, the lanes within the radius.
 
-    A query costs one exclusive-or and a carry-save step for each plane and 64 fingerprints.
+    planes: bits x words; settled: lanes that need no answer, such as the fingerprint's own. A comparison is a block of 64 fingerprints: it
+    leaves as soon as every lane is settled or beyond the radius, and its answer is 0. ``done`` counts the steps that were taken.
     """
-    shape = np.broadcast_shapes(planes.shape[1:], (len(queries), 1))
-    ones, twos, over = (np.zeros(shape, np.uint64) for _ in range(3))
-    for b in range(64):
-        differs = planes[b] ^ (-((queries >> np.uint64(b)) & np.uint64(1)).astype(np.int64)).view(np.uint64)[:, None]
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & carry
-        twos ^= carry
-        if b % 8 == 7 and not np.any(~over):
-            break
-    beyond = over | (twos if radius < 2 else twos & ones) | (ones if radius < 1 else np.uint64(0))
-    return ~beyond
+    out, live, over = np.zeros(len(word), np.uint64), np.arange(len(word)), settled.copy()
+    counts = [np.zeros(len(word), np.uint64) for _ in range(int(radius).bit_length())]
+    for b in range(len(planes)):
+        bit = (values[live, b >> 6] >> np.uint64(b & 63)) & np.uint64(1)
+        carry = planes[b, word[live]] ^ (np.uint64(0) - bit)
+        for c in counts:
+            c ^= carry
+            carry &= ~c  # what was set before and got another one
+        over |= carry
+        if b % EVERY == EVERY - 1 or b == len(planes) - 1:
+            if done is not None:
+                done.append(len(live) * (b % EVERY + 1))
+            more, same = np.zeros(len(live), np.uint64), np.full(len(live), ~np.uint64(0))
+            for i in range(len(counts) - 1, -1, -1):  # lanes whose count is larger than the radius, from the highest bit on
+                if radius >> i & 1:
+                    same &= counts[i]
+                else:
+                    more |= same & counts[i]
+                    same &= ~counts[i]
+            over |= more
+            keep = np.flatnonzero(~over)
+            if len(keep) < len(live):
+                live, over, counts = live[keep], over[keep], [c[keep] for c in counts]
+            if not len(live):
+                break
+    out[live] = ~over
+    return out
 
 
 def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -105,43 +123,60 @@ def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def links_in(buckets: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and lane of each bit that is set."""
+    some = np.flatnonzero(masks)
+    row, lane = np.nonzero(np.unpackbits(masks[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return some[row], lane
+
+
+def planes_of(values: np.ndarray, word: np.ndarray, lane: np.ndarray, words: int) -> np.ndarray:
+    """Bit planes (bits x words) of fingerprints (rows x 64-bit words), each at a lane of a word; lanes are filled in order."""
+    starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out = np.zeros((64 * values.shape[1], words), np.uint64)
+    for b in range(len(out)):
+        bit = (values[:, b >> 6] >> np.uint64(b & 63)) & np.uint64(1)
+        out[b, word[starts]] = np.bitwise_or.reduceat(bit << lane.astype(np.uint64), starts)
+    return out
+
+
+def linked(sizes: np.ndarray, values: np.ndarray, radius: int = RADIUS, done: list[int] | None = None) -> np.ndarray:
+    """For fingerprints (rows x 64-bit words) of buckets that lie one after the other, the first row of each one's component within its bucket.
+
+    Each fingerprint meets the lanes behind its own, a word of 64 at a time. Words are never shared by buckets.
+    """
+    n, label = len(values), np.arange(len(values))
+    starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    place, each = np.arange(n) - starts[owner], -(-sizes // 64)
+    first = np.cumsum(each) - each
+    word, lane = first[owner] + place // 64, place % 64
+    planes = planes_of(values, word, lane, int(each.sum())) if n else np.zeros((0, 0), np.uint64)
+    used = np.bincount(word, minlength=int(each.sum())).astype(np.uint64)
+    unused = np.where(used == 64, np.uint64(0), ~np.uint64(0) << np.minimum(used, np.uint64(63)))
+    meets = each[owner] - place // 64  # words that a fingerprint meets: its own and those behind it
+    ends = np.cumsum(meets)
+    for lo in range(0, n, max(1, min(n, MEETINGS * n // max(1, int(ends[-1]) if n else 1)))):
+        hi = min(n, lo + max(1, MEETINGS * n // int(ends[-1])))
+        row = np.repeat(np.arange(lo, hi), meets[lo:hi])
+        at = word[row] + np.arange(len(row)) - np.repeat(ends[lo:hi] - meets[lo:hi] - (ends[lo] - meets[lo]), meets[lo:hi])
+        own = at == word[row]
+        settled = unused[at] | np.where(own, ~np.uint64(0) >> (np.uint64(63) - lane[row].astype(np.uint64)), np.uint64(0))
+        q, j = _pairs(near(planes, values[row], at, settled, radius, done))
+        if len(q):
+            other = starts[owner[row[q]]] + (at[q] - first[owner[row[q]]]) * 64 + j
+            label = _forest(np.concatenate([np.arange(n), row[q]]), np.concatenate([label, other]), n)
+    return label
+
+
+def links_in(buckets: list[np.ndarray], radius: int = RADIUS, done: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, smaller fingerprint) that join what is within the radius in each bucket: a spanning forest of stars."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    small = [np.sort(b) for b in buckets if 1 < len(b) <= 64]
-    if small:
-        values, sizes = np.concatenate(small), np.array([len(b) for b in small])
-        starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(small)), sizes)
-        place = (np.arange(len(values)) - starts[owner]).astype(np.uint64)
-        planes = np.stack([np.bitwise_or.reduceat(((values >> np.uint64(b)) & np.uint64(1)) << place, starts) for b in range(64)])
-        full = np.where(sizes == 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(sizes, 63).astype(np.uint64)) - np.uint64(1))
-        masks = near(planes[:, owner, None], values, radius)[:, 0] & full[owner]
-        while True:  # what is linked to one's links
-            new = masks.copy()
-            for j in range(int(sizes.max())):
-                has = np.flatnonzero((masks >> np.uint64(j)) & np.uint64(1))
-                new[has] |= masks[starts[owner[has]] + j]
-            if (new == masks).all():
-                break
-            masks = new
-        low = masks & (~masks + np.uint64(1))
-        root = starts[owner] + np.round(np.log2(low.astype(np.float64))).astype(np.int64)
-        apart = root != np.arange(len(values))
-        out.append((values[apart], values[root[apart]]))
-    for values in (np.sort(b) for b in buckets if len(b) > 64):
-        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        padded = np.zeros((64, -(-len(values) // 64) * 64), np.uint8)
-        padded[:, : len(values)] = bits.T
-        planes = np.packbits(padded, axis=1, bitorder="little").view("<u8")
-        label = np.arange(len(values))
-        step = max(1, (1 << 17) // planes.shape[1])
-        for lo in range(0, len(values), step):
-            mask = near(planes[:, None, :], values[lo : lo + step], radius)
-            q, j = np.nonzero(np.unpackbits(mask.view(np.uint8), axis=1, bitorder="little", count=len(values)))
-            label = _forest(np.concatenate([np.arange(len(values)), q + lo]), np.concatenate([label, j]), len(values))
-        apart = label != np.arange(len(values))
-        out.append((values[apart], values[label[apart]]))
-    return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    some = [np.sort(b) for b in buckets if len(b) > 1]
+    if not some:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    values = np.concatenate(some)
+    label = linked(np.array([len(b) for b in some]), values[:, None], radius, done)
+    apart = label != np.arange(len(values))
+    return values[apart], values[label[apart]]
 
 
 def _blocks(value, width: int):
