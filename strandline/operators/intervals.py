@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,25 +54,50 @@ def contained(df: DataFrame, ranges: DataFrame) -> DataFrame:
     return df.join(r, (F.col("series") == F.col("rs")) & (F.col("start") >= F.col("lo")) & (F.col("end") <= F.col("hi"))).drop("rs")
 
 
-def greedy_matches(reported: DataFrame, truth: DataFrame, least: float = 0.5, with_labels: bool = True) -> DataFrame:
-    """series, reported id, truth id: in order of the reported ids, each takes the first true interval that is free and overlaps enough.
+def overlaps_enough(least: float = 0.5) -> Callable[[Column, Column, Column, Column], Column]:
+    """The usual test of a match: intersection over union."""
+    return lambda s1, e1, s2, e2: iou(s1, e1, s2, e2) >= least
+
+
+def covers(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """Another test: the reported interval holds the true one, or is held by it."""
+    return ((s1 <= s2) & (e2 <= e1)) | ((s2 <= s1) & (e1 <= e2))
+
+
+def holds_point(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """A third one: the truth is a point, its start, which lies in the reported interval."""
+    return (s1 <= s2) & (s2 < e1)
+
+
+def greedy_matches(reported: DataFrame, truth: DataFrame, least: float = 0.5, with_labels: bool = True, test: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
+    """series, reported id, truth id: in order of the reported ids, each takes the first true interval that is free and passes the test.
 
-    Only pairs that overlap enough reach the sequential step, which runs for each series by itself.
+    test: of (start, end) of both; ``overlaps_enough(least)`` by default. Only pairs that pass reach the sequential step. It runs for each island by itself:
+    pairs can only compete within a stretch of a series that overlapping intervals cover without a gap.
     """
+    test = test or overlaps_enough(least)
+    all_ = reported.select("series", "start", "end").unionByName(truth.select("series", "start", "end"))
+    island = union_of_ranges(all_).select(F.col("series").alias("iser"), F.col("start").alias("island"))
+    # an island's number is its start: the last one at or before an interval's own start
+    marks = island.select(F.col("iser").alias("series"), F.col("island").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(reported.select(F.struct(*reported.columns)).schema[0].dataType).alias("row"), F.col("island"))
+    mine = reported.select("series", F.col("start").alias("at"), F.lit(1).alias("side"), F.struct(*reported.columns).alias("row"), F.lit(None).cast("long").alias("island"))
+    w = Window.partitionBy("series").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marks.unionByName(mine).withColumn("island", F.last("island", ignorenulls=True).over(w)).filter("side = 1").select("row.*", "island")
     t = truth.select(F.col("series").alias("tser"), F.col("id").alias("tid"), F.col("start").alias("ts"), F.col("end").alias("te"), F.col("label").alias("tl"))
-    test = (F.col("series") == F.col("tser")) & (F.col("start") < F.col("te")) & (F.col("ts") < F.col("end")) & (iou(F.col("start"), F.col("end"), F.col("ts"), F.col("te")) >= least)
-    pairs = reported.join(t, test & (F.col("label") == F.col("tl")) if with_labels else test).select("series", F.col("id").alias("rid"), "tid")
+    met = (F.col("series") == F.col("tser")) & (F.col("start") < F.col("te")) & (F.col("ts") < F.col("end")) & test(F.col("start"), F.col("end"), F.col("ts"), F.col("te"))
+    pairs = placed.join(t, met & (F.col("label") == F.col("tl")) if with_labels else met).select("series", "island", F.col("id").alias("rid"), "tid")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out, done = set(), [], set()
-        for s, r, x in pdf.sort_values(["rid", "tid"]).itertuples(index=False):
+        for s, _, r, x in pdf.sort_values(["rid", "tid"]).itertuples(index=False):
             if r not in done and x not in taken:
                 taken.add(x)
                 done.add(r)
                 out.append((s, r, x))
         return pd.DataFrame(out, columns=["series", "rid", "tid"])
 
-    return pairs.groupBy("series").applyInPandas(pick, pairs.schema)
+    kinds = dict(pairs.dtypes)
+    return pairs.groupBy("series", "island").applyInPandas(pick, f"series {kinds['series']}, rid {kinds['rid']}, tid {kinds['tid']}")
 
 
 def scores(matches: Column, reported: Column, true: Column) -> dict[str, Column]:

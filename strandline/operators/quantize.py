@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import linear
+from strandline.operators import linear, ranks, search
 from strandline.operators.search import rank_within
 
 
@@ -82,7 +82,7 @@ class Codec:
     def encode(self, data: DataFrame, int_round: bool = False) -> DataFrame:
         """``data`` with codes; ``int_round`` compares distances rounded to whole numbers. Ties go to the smaller code."""
         shared = self.spark.sparkContext.broadcast((self.books, self.rotation))
-        fields = [(f.name, f.dataType.simpleString()) for f in data.schema if f.name != "codes"]
+        fields, wide = [(f.name, f.dataType.simpleString()) for f in data.schema if f.name != "codes"], self.books.shape[1] > 1 << 15
 
         def run(batches):
             books, rotation = shared.value
@@ -90,14 +90,25 @@ class Codec:
                 if b.num_rows:
                     x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
                     codes = _encode(x @ rotation.T if rotation is not None else x, books, int_round)
-                    yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in fields), pa.array(list(codes.astype(np.int16)), pa.list_(pa.int16()))], names=[*(n for n, _ in fields), "codes"])
+                    lists = pa.ListArray.from_arrays(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1], codes.astype(np.int32 if wide else np.int16).ravel())
+                    yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in fields), lists], names=[*(n for n, _ in fields), "codes"])
 
-        return data.select(*(n for n, _ in fields)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, ("codes", "array<smallint>")]))
+        return data.select(*(n for n, _ in fields)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, ("codes", "array<int>" if wide else "array<smallint>")]))
 
     def reconstruct(self, coded: DataFrame) -> DataFrame:
         """``coded`` with the vectors that the codes stand for."""
-        books = F.array(*(F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in m)) for m in self.books))
-        return coded.withColumn("approx", F.flatten(F.transform("codes", lambda c, m: F.get(F.get(books, m), c.cast("int")))))
+        shared = self.spark.sparkContext.broadcast(self.books)
+        fields = [(f.name, f.dataType.simpleString()) for f in coded.schema if f.name != "approx"]
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    codes = b.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(int)
+                    x = np.ascontiguousarray(_decode(codes, shared.value))
+                    lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
+                    yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in fields), lists], names=[*(n for n, _ in fields), "approx"])
+
+        return coded.select(*(n for n, _ in fields)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, ("approx", "array<double>")]))
 
     def tables(self, queries: DataFrame, metric: str = "l2sq", saturate: bool = False) -> DataFrame:
         """``queries`` (qid, q) with lut: for each subspace the distance to, or inner product with, each centroid; bytes from 0 to 255 on request."""
@@ -116,76 +127,132 @@ class Codec:
         return queries.select("qid", "q").mapInArrow(run, "qid long, lut array<array<double>>")
 
     def distances(self, coded: DataFrame, tables: DataFrame, modes: tuple[str, ...] = ("safe",), block: int = 1024) -> DataFrame:
-        """qid, vec_id and a column for each mode of ``scan``: all queries against all codes, the queries' tables in blocks."""
-        names = ["qid", "vec_id", *modes]
-        schema, out = "qid long, vec_id long, " + ", ".join(f"{m} double" for m in modes), None
-        for ids, luts in _table_blocks(tables, block):
-            shared = self.spark.sparkContext.broadcast((ids, luts))
-
-            def run(batches, shared=shared):
-                ids, luts = shared.value
-                for b in batches:
-                    if b.num_rows:
-                        codes, vec = b.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(int), b.column("vec_id").to_numpy()
-                        for i, lut in zip(ids, luts, strict=True):
-                            found = lut[np.arange(len(lut)), codes]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), i)), pa.array(vec), *(pa.array(_sums(found, m)) for m in modes)], names=names)
-
-            part = coded.select("vec_id", "codes").mapInArrow(run, schema)
-            out = part if out is None else out.unionAll(part)
-        return out if out is not None else self.spark.createDataFrame([], schema)
+        """qid, vec_id and a column for each mode of ``scan``: all queries (qid, lut) against all codes, in one scan of the codes."""
+        return search.meet(self.spark, coded, _flat(tables), TableSums(modes), vec="codes", block=block)
+
+    def products(self, coded: DataFrame, queries: DataFrame, block: int = 1024) -> DataFrame:
+        """qid, vec_id, product: a matrix product by codes: vectors are encoded once, and each query costs a table and a scan."""
+        return self.distances(coded, self.tables(queries, "dot"), block=block).withColumnRenamed("safe", "product")
 
     def knn(self, coded: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", block: int = 1024) -> DataFrame:
-        """qid, rank, vec_id, dist: compressed search. Tables go out block by block; each batch of codes keeps its best for each query."""
-        out = None
-        for some in _table_blocks(self.tables(queries, metric), block):
-            shared = self.spark.sparkContext.broadcast(some)
-
-            def run(batches, shared=shared):
-                ids, lut = shared.value
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    codes, vec = b.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(int), b.column("vec_id").to_numpy()
-                    for s in range(0, len(ids), 128):
-                        d = sum(lut[s : s + 128, m][:, codes[:, m]] for m in range(codes.shape[1]))
-                        order = np.lexsort((np.broadcast_to(vec, d.shape), np.round(-d if metric == "dot" else d, 12)), axis=1)[:, :k]
-                        i = np.repeat(np.arange(len(d)), order.shape[1])
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[s + i]), pa.array(vec[order.ravel()]), pa.array(d[i, order.ravel()])], names=["qid", "vec_id", "dist"])
-
-            part = coded.select("vec_id", "codes").mapInArrow(run, "qid long, vec_id long, dist double")
-            out = part if out is None else out.unionAll(part)
-        out = out if out is not None else self.spark.createDataFrame([], "qid long, vec_id long, dist double")
-        d = F.round("dist", 12)
+        """qid, rank, vec_id, dist: compressed search. A task keeps its best for each query, by distances rounded to 12 places."""
+        out = search.meet(self.spark, coded, _flat(self.tables(queries, metric)), TableNearest(k, metric), vec="codes", block=block)
+        d = F.col("dist")
         return rank_within(out, "qid", [d.desc() if metric == "dot" else d, F.col("vec_id")], k).select("qid", "rank", "vec_id", "dist")
 
+    def fidelity(self, coded: DataFrame, queries: DataFrame, block: int = 1024) -> DataFrame:
+        """corr, mse, rel_error of squared distances by codes against true ones (``coded`` with embedding): nine sums leave a task, and no pairs."""
+        asked = self.tables(queries).join(queries.select("qid", "q"), "qid")
+        whole = asked.select("qid", F.concat(F.flatten("lut"), F.col("q").cast("array<double>")).alias("q"))
+        entries = self.books.shape[0] * self.books.shape[1]
+        sums = search.meet(self.spark, coded, whole, FidelitySums(entries), vec="codes", extra=("embedding",), block=block)
+        n, t, f, tt, ff, tf, sq, rel, nrel = (F.sum(c) for c in FidelitySums.names)
+        corr = (tf / n - t / n * f / n) / F.sqrt((tt / n - t / n * t / n) * (ff / n - f / n * f / n))
+        return sums.agg(F.when(n > 0, corr).alias("corr"), F.when(n > 0, sq / n).alias("mse"), F.when(nrel > 0, rel / nrel).alias("rel_error"))
+
+
+def _flat(tables: DataFrame) -> DataFrame:
+    return tables.select("qid", F.flatten("lut").alias("q"))
+
+
+def table_entries(luts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """subspaces x queries x vectors: the entries of tables (queries x subspaces x centroids) for codes (vectors x subspaces)."""
+    return np.stack([np.take(luts[:, m], codes[:, m], axis=1) for m in range(codes.shape[1])])
+
+
+class TableSums(search.Kernel):
+    """All sums of table entries, by the modes of ``scan``."""
+
+    same_width = False
+
+    def __init__(self, modes: tuple[str, ...]):
+        self.modes, self.schema = modes, "qid long, vec_id long, " + ", ".join(f"{m} double" for m in modes)
+
+    def meet(self, kept, ids, q, vec, x, more):
+        codes = x.astype(np.int64)
+        luts = q.reshape(len(q), codes.shape[1], -1) if len(codes) else q
+        for lo in range(0, len(ids) if len(codes) else 0, 32):
+            found = table_entries(luts[lo : lo + 32], codes)
+            yield [np.repeat(ids[lo : lo + 32], len(vec)), np.tile(vec, found.shape[1]), *(_sums(found, m).ravel() for m in self.modes)]
+
+
+class TableNearest(search.Nearest):
+    """The k nearest by sums of table entries."""
+
+    same_width = False
+
+    def __init__(self, k: int, metric: str):
+        super().__init__(k, metric)
+
+    def meet(self, kept, ids, q, vec, x, more):
+        codes, sign = x.astype(np.int64), -1.0 if self.metric == "dot" else 1.0
+        luts = sign * q.reshape(len(q), codes.shape[1], -1) if len(codes) else q
+        for lo in range(0, len(ids) if len(codes) else 0, 64):
+            part = luts[lo : lo + 64]
+            d = np.zeros((len(part), len(codes)))
+            for m in range(codes.shape[1]):
+                d += np.take(part[:, m], codes[:, m], axis=1)
+            d, worst = np.round(d, 12), kept["worst"][lo : lo + 64]
+            bound = worst if len(codes) <= self.k else np.minimum(worst, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+            i, j = np.nonzero(d <= bound[:, None])
+            self._merge(kept, i + lo, vec[j], d[i, j], [])
+        return iter(())
+
+
+class FidelitySums(search.Kernel):
+    """Sums over all pairs of true distances t and those by codes f."""
+
+    names = ("n", "t", "f", "tt", "ff", "tf", "sq", "rel", "nrel")
+    schema = ", ".join(f"{c} double" for c in names)
+    same_width = False
+
+    def __init__(self, entries: int):
+        self.entries = entries
+
+    def start(self, ids, q):
+        return np.zeros(len(self.names))
 
-def _table_blocks(tables: DataFrame, block: int):
-    ids, luts = [], []
-    for r in tables.select("qid", "lut").toLocalIterator():
-        ids.append(r["qid"])
-        luts.append(r["lut"])
-        if len(ids) == block:
-            yield np.array(ids, np.int64), np.array(luts, float)
-            ids, luts = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(luts, float)
+    def meet(self, kept, ids, q, vec, x, more):
+        codes = x.astype(np.int64)
+        e, at = search.rows_of(more[0], q.shape[1] - self.entries)
+        codes = codes[at]
+        for lo in range(0, len(ids) if len(codes) else 0, 64):
+            part = q[lo : lo + 64]
+            f = table_entries(part[:, : self.entries].reshape(len(part), codes.shape[1], -1), codes).sum(0).ravel()
+            i, j = (a.ravel() for a in np.indices((len(part), len(e))))
+            t = search.exact_pairs(e, part[:, self.entries :], i, j, "l2sq")
+            some = t != 0
+            kept += [len(t), t.sum(), f.sum(), (t * t).sum(), (f * f).sum(), (t * f).sum(), ((t - f) ** 2).sum(), (np.abs(t - f)[some] / t[some]).sum(), some.sum()]
+        return iter(())
+
+    def end(self, kept, ids, q):
+        yield [np.array([v]) for v in kept]
 
 
 def _sums(found: np.ndarray, mode: str) -> np.ndarray:
-    """What ``scan`` gives, for rows of table entries."""
+    """What ``scan`` gives, for table entries whose first axis is the subspace."""
     if mode == "u8":
-        return np.minimum(found.sum(1), 255)
+        return np.minimum(found.sum(0), 255)
     if mode == "u16":
-        even = np.pad(found, ((0, 0), (0, found.shape[1] % 2)))
-        return np.minimum(np.minimum(even[:, ::2] + even[:, 1::2], 255).sum(1), 65535)
-    return found.sum(1)
+        even = np.pad(found, ((0, found.shape[0] % 2), *((0, 0),) * (found.ndim - 1)))
+        return np.minimum(np.minimum(even[::2] + even[1::2], 255).sum(0), 65535)
+    return found.sum(0)
 
 
 def _encode(x: np.ndarray, books: np.ndarray, int_round: bool = False) -> np.ndarray:
-    parts = x.reshape(len(x), books.shape[0], 1, -1)
-    d = ((parts - books) ** 2).sum(3)
-    return (np.rint(d) if int_round else d).argmin(2)
+    """Nearest centroid of each stretch, the first on ties: a matrix product per subspace, and exact distances where it can't decide."""
+    parts = x.reshape(len(x), books.shape[0], -1)
+    if int_round:
+        return np.rint(((parts[:, :, None] - books) ** 2).sum(3)).argmin(2)
+    out = np.empty(parts.shape[:2], np.int64)
+    for m in range(books.shape[0]):
+        d, off = search.rough(books[m], parts[:, m], "l2sq")
+        best = d.argmin(1)
+        out[:, m] = best
+        near = (d <= d[np.arange(len(d)), best][:, None] + 4 * off).sum(1) > 1
+        if near.any():
+            out[near, m] = ((parts[near, m][:, None] - books[m]) ** 2).sum(2).argmin(1)
+    return out
 
 
 def _decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -204,14 +271,82 @@ def scan(codes: Column, lut: Column, mode: str = "safe") -> Column:
 
 
 def quantize_tables(tables: DataFrame, alpha: float) -> DataFrame:
-    """lut with each subspace's floor (its percentile ``alpha`` over all queries and centroids) taken off and one scale to 255, as whole numbers."""
+    """lut with each subspace's floor (its percentile ``alpha`` over all queries and centroids) taken off and one scale to 255, as whole numbers, the
+    floors, and the scale. For inner products, whose entries may be negative, alpha = 0 makes the floor the subspace's least entry."""
     each = tables.select(F.posexplode("lut").alias("m", "row")).select("m", F.explode("row").alias("v"))
-    floors = each.groupBy("m").agg(F.percentile("v", F.lit(alpha)).alias("lo"), F.max("v").alias("hi"))
-    one = floors.agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "lo"))), lambda s: s["lo"]).alias("floors"), (255 / F.max(F.col("hi") - F.col("lo"))).alias("scale"))
+    low = ranks.percentiles(each, "m", "v", [alpha]).select("m", F.get("cuts", F.lit(0)).alias("lo"))
+    ends = each.groupBy("m").agg(F.max("v").alias("hi")).join(low, "m")
+    one = ends.agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "lo"))), lambda s: s["lo"]).alias("floors"), (255 / F.max(F.col("hi") - F.col("lo"))).alias("scale"))
     scaled = lambda row, lo, k: F.transform(row, lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.rint((v - lo) * k).cast("int"))))
     return tables.join(F.broadcast(one)).select("qid", F.transform("lut", lambda row, m: scaled(row, F.get(F.col("floors"), m), F.col("scale"))).alias("lut"), "floors", "scale")  # one row
 
 
+#: The percentiles among which ``best_floor`` looks.
+ALPHAS = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05)
+
+
+def best_floor(tables: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """alpha, error: for each percentile the mean squared error of tables that ``quantize_tables`` made by it, put back to scale; least error first."""
+    out = None
+    for alpha in alphas:
+        q = quantize_tables(tables, alpha).withColumnRenamed("lut", "bytes")
+        met = tables.join(q, "qid").select(F.posexplode(F.arrays_zip("lut", "bytes")).alias("m", "z"), "floors", "scale")
+        back = F.zip_with(F.col("z.lut"), F.col("z.bytes"), lambda v, b: (v - (b / F.col("scale") + F.get(F.col("floors"), F.col("m")))) * (v - (b / F.col("scale") + F.get(F.col("floors"), F.col("m")))))
+        one = met.select(F.explode(back).alias("e")).agg(F.lit(float(alpha)).alias("alpha"), F.avg("e").alias("error"))
+        out = one if out is None else out.unionAll(one)
+    return out.orderBy("error", "alpha")
+
+
+def affine_dot_tables(queries: DataFrame, books: np.ndarray, offsets: list[float], scale: float) -> DataFrame:
+    """lut of inner products with the query's components shifted and scaled first: (q_j - offsets[j]) * scale, j counted within a subvector."""
+    codec = Codec(queries.sparkSession, books)
+    width = books.shape[2]
+    shifts = F.array(*(F.lit(float(v)) for v in offsets))
+    moved = F.transform(F.col("q").cast("array<double>"), lambda v, i: (v - F.get(shifts, i % width)) * scale)
+    return codec.tables(queries.withColumn("q", moved), "dot")
+
+
+def pack12(codes: np.ndarray) -> np.ndarray:
+    """Rows of an even number of codes below 4096, two in three bytes: the low byte of each of both, then their high four bits side by side."""
+    a, b = codes[:, ::2].astype(np.uint16), codes[:, 1::2].astype(np.uint16)
+    return np.stack([a & 255, b & 255, (a >> 8) | (b >> 8 << 4)], 2).astype(np.uint8).reshape(len(codes), -1)
+
+
+def unpack12(packed: np.ndarray) -> np.ndarray:
+    """The codes of ``pack12``."""
+    p = packed.reshape(len(packed), -1, 3).astype(np.int64)
+    return np.stack([p[:, :, 0] | (p[:, :, 2] & 15) << 8, p[:, :, 1] | p[:, :, 2] >> 4 << 8], 2).reshape(len(packed), -1)
+
+
+def packed_codes(coded: DataFrame, bits: int) -> DataFrame:
+    """vec_id, packed: codes of 12 bits (two in three bytes) or 16 bits (two bytes each, the low one first) as bytes."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                codes = b.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.int64) & 0xFFFF
+                rows = pack12(codes) if bits == 12 else codes.astype("<u2").view(np.uint8).reshape(len(codes), -1)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["vec_id", "packed"])
+
+    if bits not in (12, 16):
+        raise ValueError("codes of 12 or 16 bits")
+    return coded.select("vec_id", "codes").mapInArrow(run, "vec_id long, packed binary")
+
+
+def unpacked_codes(packed: DataFrame, bits: int) -> DataFrame:
+    """vec_id, codes (whole numbers) of ``packed_codes``, for ``Codec.distances`` and ``Codec.knn``."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                rows = np.frombuffer(b"".join(b.column("packed").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                codes = unpack12(rows) if bits == 12 else rows.view("<u2").astype(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1], codes.astype(np.int32).ravel())
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), lists], names=["vec_id", "codes"])
+
+    return packed.mapInArrow(run, "vec_id long, codes array<int>")
+
+
 def quantize_tables_between(tables: DataFrame, low: float, high: float) -> DataFrame:
     """lut as bytes, such that a total distance of ``low`` comes near 0 and one of ``high`` near 255: the offset is shared by the subspaces."""
     scaled = lambda row, n: F.transform(row, lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.rint((v - low / n) * 255 / (high - low)).cast("int"))))
@@ -221,7 +356,7 @@ def quantize_tables_between(tables: DataFrame, low: float, high: float) -> DataF
 def thresholds_quantile(data: DataFrame, cuts: list[float]) -> DataFrame:
     """dim, thresholds: percentiles of each dimension."""
     each = data.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "v"))
-    return each.groupBy("dim").agg(F.percentile("v", F.array(*(F.lit(c) for c in cuts))).alias("thresholds"))
+    return ranks.percentiles(each, "dim", "v", cuts).select("dim", F.col("cuts").alias("thresholds"))
 
 
 def thresholds_gauss(data: DataFrame, bins: int) -> DataFrame:
@@ -238,17 +373,6 @@ def digitize(value: Column, thresholds: Column) -> Column:
     return F.size(F.filter(thresholds, lambda t: t <= value))
 
 
-def sign_bits(vector: Column, planes: np.ndarray) -> Column:
-    """A bit for each plane: whether the vector lies on its positive side; the first plane is the lowest bit of a long (at most 63)."""
-    from strandline.functions.distances import dot
-
-    out = F.lit(0).cast("bigint")
-    for i, plane in enumerate(planes):
-        side = dot(vector, F.array(*(F.lit(float(v)) for v in plane))) > 0
-        out = out.bitwiseOR(F.when(side, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return out
-
-
 def reconstruction_error(pairs: DataFrame) -> DataFrame:
     """error: mean squared distance between embedding and approx over the mean variance of the embeddings."""
     from strandline.functions.arrays import variance

@@ -1,4 +1,9 @@
-"""Nearest-neighbour, range and inner-product joins between a stated set of queries and a table of vectors."""
+"""Nearest-neighbour, range and inner-product joins between a stated set of queries and a table of vectors.
+
+All of them are one scan of the data, whatever the number of queries: ``meet`` holds each batch of vectors against the queries in blocks. Up to one block
+of queries is broadcast; more are packed into a row for each block, and packed batches of data meet these rows, so that what a task holds never
+grows with the queries. What is kept of each block (the k best so far, say) leaves the task once, at its end.
+"""
 
 from __future__ import annotations
 
@@ -10,58 +15,244 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries that meet the data at once; more are taken block by block, so what is sent out never grows with their number.
-BLOCK = 4096
+#: Queries of a block, vectors of a packed batch, and rows of results that a task holds before it lets go of the oldest blocks.
+BLOCK, BATCH, HELD = 4096, 4096, 1_000_000
+
+
+def rows_of(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays of a column as rows of a matrix of doubles, and which of the column's rows they are: whole arrays of the width (or of the first's)."""
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    if not len(sizes) or not (sizes >= 0).any():
+        return np.zeros((0, width or 0)), np.zeros(0, np.int64)
+    width = width if width is not None else int(sizes[sizes >= 0][0])
+    values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        x, at = values.reshape(len(sizes), width), np.arange(len(sizes))
+    else:
+        held = np.maximum(sizes, 0)
+        at = np.flatnonzero(sizes == width)
+        begins = (np.cumsum(held) - held)[at]
+        x = values[begins[:, None] + np.arange(width)] if len(at) else np.zeros((0, width))
+    if flat.null_count:
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        if (sizes == width).all():
+            fine = known.reshape(x.shape).all(1)
+        else:
+            fine = known[begins[:, None] + np.arange(width)].all(1) if len(at) else np.zeros(0, bool)
+        x, at = x[fine], at[fine]
+    return x, at
+
+
+class Kernel:
+    """What a scan does with a block of queries and a batch of vectors. ``columns`` of the data are given as (ids, matrix, the others)."""
+
+    schema = "qid long, vec_id long, dist double"
+    #: Whether vectors have the length of a query (or one of their own, that of the batch's first).
+    same_width = True
+
+    def start(self, ids: np.ndarray, q: np.ndarray):
+        """What is kept of a block; ``held`` says how many rows that is."""
+        return None
+
+    def meet(self, kept, ids: np.ndarray, q: np.ndarray, vec: np.ndarray, x: np.ndarray, more: list) -> Iterator[list]:
+        """Columns of rows that can leave at once."""
+        return iter(())
+
+    def end(self, kept, ids: np.ndarray, q: np.ndarray) -> Iterator[list]:
+        return iter(())
+
+    def held(self, kept) -> int:
+        return 0
+
+
+def meet(spark: SparkSession, data: DataFrame, queries: DataFrame, kernel: Kernel, vec: str = "embedding", extra: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """The rows that ``kernel`` gives for all queries (qid, q) and all vectors (vec_id and ``vec``, with ``extra`` columns), in one scan of the data.
+
+    Queries and vectors that are null, hold a null, or are of another length than the first query of a block take no part.
+    """
+    from pyspark.sql.types import _parse_datatype_string
 
+    names = [f.name for f in _parse_datatype_string(kernel.schema).fields]
+    asked = queries.filter("qid is not null and q is not null").select(F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q"))
+    asked = asked.filter(F.forall("q", lambda v: v.isNotNull()))
+    slim = data.filter(F.col(vec).isNotNull()).select("vec_id", F.col(vec), *extra)
+    first = asked.limit(block + 1).collect()  # a block at most, and one row that tells whether there are more
+    if not first:
+        return spark.createDataFrame([], kernel.schema)
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select("qid", "q").toLocalIterator():
-        ids.append(r["qid"])
-        rows.append(r["q"])
-        if len(ids) == block:
-            yield np.array(ids, np.int64), np.array(rows, float)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, float)
+    def batch(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array | pa.ChunkedArray) else pa.array(c) for c in columns], names=names)
 
+    if len(first) <= block:
+        width = len(first[0]["q"])
+        rows = [r for r in first if len(r["q"]) == width]
+        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in rows], np.int64), np.array([r["q"] for r in rows], float).reshape(len(rows), width)))
 
-def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Rows: queries. Squared distances by differences, not by expanded squares, which lose the small ones."""
-    if metric == "dot":
-        return q @ x.T
-    if metric == "l2sq":
-        return np.stack([((x - v) ** 2).sum(1) for v in q])
-    return np.stack([np.abs(x - v).sum(1) for v in q])
+        def run(batches):
+            ids, q = shared.value
+            kept = kernel.start(ids, q)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, BATCH):
+                    b = whole.slice(lo, BATCH)
+                    x, at = rows_of(b.column(1), width if kernel.same_width else None)
+                    take = pa.array(at)
+                    for out in kernel.meet(kept, ids, q, b.column(0).take(take).to_numpy(zero_copy_only=False), x, [b.column(2 + i).take(take) for i in range(len(extra))]):
+                        yield batch(out)
+            for out in kernel.end(kept, ids, q):
+                yield batch(out)
+
+        return slim.mapInArrow(run, kernel.schema)
+
+    number = -(-asked.count() // block)
+    # A block is one row of about ``block`` queries; blocks and packed batches of data meet, and no row of data is sent more than once a block.
+    blocks = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(number)).alias("b")).agg(F.collect_list("qid").alias("ids"), F.collect_list("q").alias("q"))
+    kinds = dict(slim.dtypes)
+    packed = "vec array<bigint>, x array<array<double>>" + "".join(f", m{i} array<{kinds[e]}>" for i, e in enumerate(extra))
+
+    def pack(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BATCH):
+                b = whole.slice(lo, BATCH)
+                one = pa.array([0, b.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(one, c.cast(pa.int64()) if i == 0 else c.cast(pa.list_(pa.float64())) if i == 1 else c) for i, c in enumerate(b.columns)]
+                yield pa.RecordBatch.from_arrays(lists, names=["vec", "x", *(f"m{i}" for i in range(len(extra)))])
+
+    pairs = slim.mapInArrow(pack, packed).crossJoin(blocks)  # a stated set of queries against all rows, in blocks
+
+    def run_pairs(batches):
+        live: dict = {}  # block: ids, queries, what is kept
+        for whole in batches:
+            for r in range(whole.num_rows):
+                row = whole.slice(r, 1)
+                col = lambda n: row.column(row.schema.get_field_index(n)).flatten()  # noqa: E731, B023
+                b = row.column(row.schema.get_field_index("b"))[0].as_py()
+                if b not in live:
+                    q, at = rows_of(col("q"))
+                    ids = col("ids").to_numpy()[at]
+                    live[b] = (ids, q, kernel.start(ids, q))
+                ids, q, kept = live[b]
+                x, at = rows_of(col("x"), q.shape[1] if kernel.same_width else None)
+                take = pa.array(at)
+                for out in kernel.meet(kept, ids, q, col("vec").take(take).to_numpy(zero_copy_only=False), x, [col(f"m{i}").take(take) for i in range(len(extra))]):
+                    yield batch(out)
+                while len(live) > 1 and sum(kernel.held(k) for *_, k in live.values()) > HELD:
+                    i, p, k = live.pop(next(iter(live)))
+                    for out in kernel.end(k, i, p):
+                        yield batch(out)
+        for i, p, k in live.values():
+            for out in kernel.end(k, i, p):
+                yield batch(out)
+
+    return pairs.mapInArrow(run_pairs, kernel.schema)
+
+
+def exact_pairs(x: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the pairs (q[i], x[j]) by differences (expanded squares lose the small ones), or inner products, each summed in one order."""
+    out = np.empty(len(i))
+    step = max(1, (1 << 22) // max(1, x.shape[1]))
+    for lo in range(0, len(i), step):
+        a, b = q[i[lo : lo + step]], x[j[lo : lo + step]]
+        out[lo : lo + step] = (a * b).sum(1) if metric == "dot" else np.abs(a - b).sum(1) if metric == "l1" else ((a - b) ** 2).sum(1)
+    return out
 
 
-def products(spark: SparkSession, data: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """qid, vec_id, dist: the inner product of each query with each vector, a product of two matrices in long form."""
-    return _scan(spark, data, queries, "dot", lambda d, vec: np.nonzero(np.ones(d.shape, bool)), block)
+def rough(x: np.ndarray, q: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+    """queries x vectors: distances from one matrix product and the norms, and how far off they can be (for ``l1``: exact ones)."""
+    if metric == "l1":
+        return np.stack([np.abs(x - v).sum(1) for v in q]) if len(q) else np.zeros((0, len(x))), 0.0
+    products, nx, nq = q @ x.T, (x * x).sum(1), (q * q).sum(1)
+    off = 1e-12 * (x.shape[1] + 4) * float(nx.max(initial=0) + nq.max(initial=0))
+    return (products, off) if metric == "dot" else (nq[:, None] + nx[None] - 2 * products, off)
 
 
-def _scan(spark: SparkSession, data: DataFrame, queries: DataFrame, metric: str, keep, block: int) -> DataFrame:
-    schema, parts = "qid long, vec_id long, dist double", []
-    for ids, q in _blocks(queries, block):
-        shared = spark.sparkContext.broadcast((ids, q))
+class Nearest(Kernel):
+    """The k nearest of each query: a product of matrices bounds them, and what may be among the k is computed exactly.
+
+    how: ``product``; ``naive`` computes every pair by differences; ``abandon`` adds up dimensions in the order of falling variance, a stretch at a time, and
+    leaves a pair as soon as it is beyond the k-th best so far.
+    """
+
+    def __init__(self, k: int, metric: str = "l2sq", not_self: bool = False, how: str = "product", extra: str = ""):
+        self.k, self.metric, self.not_self, self.how = k, metric, not_self, how
+        self.schema = Kernel.schema + extra
+
+    def start(self, ids, q):
+        return {"i": np.zeros(0, np.int64), "vec": np.zeros(0, np.int64), "d": np.zeros(0), "more": [], "worst": np.full(len(ids), np.inf)}
+
+    def held(self, kept):
+        return len(kept["i"])
+
+    def _candidates(self, worst: np.ndarray, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.how == "naive":
+            return tuple(a.ravel() for a in np.indices((len(q), len(x))))
+        if self.how == "abandon" and self.metric != "dot" and np.isfinite(worst).any():
+            order = np.argsort(-x.var(0), kind="stable")
+            i, j = (a.ravel() for a in np.indices((len(q), len(x))))
+            total = np.zeros(len(i))
+            for lo in range(0, len(order), 16):
+                at = order[lo : lo + 16]
+                step = np.abs(q[i][:, at] - x[j][:, at]) if self.metric == "l1" else (q[i][:, at] - x[j][:, at]) ** 2
+                total += step.sum(1)
+                near = np.flatnonzero(total <= worst[i] * (1 + 1e-9))
+                i, j, total = i[near], j[near], total[near]
+            return i, j
+        d, off = rough(x, q, self.metric)
+        d = -d if self.metric == "dot" else d
+        bound = worst if len(x) <= self.k + 1 else np.minimum(worst, np.partition(d, self.k + self.not_self - 1, axis=1)[:, self.k + self.not_self - 1])
+        return np.nonzero(d <= bound[:, None] + 2 * off)
+
+    def meet(self, kept, ids, q, vec, x, more):
+        if len(x):
+            for lo in range(0, len(q), 512):
+                i, j = self._candidates(kept["worst"][lo : lo + 512], q[lo : lo + 512], x)
+                i = i + lo
+                if self.not_self:
+                    i, j = (a[vec[j] != ids[i]] for a in (i, j))
+                d = exact_pairs(x, q, i, j, self.metric)
+                self._merge(kept, i, vec[j], -d if self.metric == "dot" else d, [m.take(pa.array(j)) for m in more])
+        return iter(())
+
+    def _merge(self, kept, i, vec, d, more):
+        i, vec, d = (np.concatenate([kept[n], a]) for n, a in (("i", i), ("vec", vec), ("d", d)))
+        more = [pa.concat_arrays([a, b.combine_chunks() if isinstance(b, pa.ChunkedArray) else b]) for a, b in zip(kept["more"], more, strict=True)] if kept["more"] else [m.combine_chunks() if isinstance(m, pa.ChunkedArray) else m for m in more]
+        order = np.lexsort((vec, d, i))
+        i = i[order]
+        begins = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+        place = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
+        keep = place < self.k
+        order = order[keep]
+        kept["i"], kept["vec"], kept["d"], kept["more"] = i[keep], vec[order], d[order], [m.take(pa.array(order)) for m in more]
+        full = place[keep] == self.k - 1
+        kept["worst"][kept["i"][full]] = kept["d"][full]
+
+    def end(self, kept, ids, q):
+        if len(kept["i"]):
+            yield [ids[kept["i"]], kept["vec"], -kept["d"] if self.metric == "dot" else kept["d"], *kept["more"]]
+
+
+class Within(Kernel):
+    """All pairs whose distance is below the bound, or equal to it on request; none left out where the bound is infinite."""
+
+    def __init__(self, bound: float, metric: str = "l2sq", inclusive: bool = False):
+        self.bound, self.metric, self.inclusive = bound, metric, inclusive
+
+    def meet(self, kept, ids, q, vec, x, more):
+        for lo in range(0, len(q) if len(x) else 0, 256):
+            part = q[lo : lo + 256]
+            if np.isinf(self.bound):
+                i, j = (a.ravel() for a in np.indices((len(part), len(x))))
+            else:
+                d, off = rough(x, part, self.metric)
+                i, j = np.nonzero(d <= self.bound + 2 * off)
+            d = exact_pairs(x, part, i, j, self.metric)
+            fine = d <= self.bound if self.inclusive or np.isinf(self.bound) else d < self.bound
+            yield [ids[lo + i[fine]], vec[j[fine]], d[fine]]
 
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            for b in batches:
-                for lo in range(0, b.num_rows, 2048):
-                    part = b.slice(lo, 2048)
-                    x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
-                    vec = part.column("vec_id").to_numpy()
-                    for s in range(0, len(q), 256):
-                        d = _distances(x, q[s : s + 256], metric)
-                        i, j = keep(d, vec)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[s + i]), pa.array(vec[j]), pa.array(d[i, j])], names=["qid", "vec_id", "dist"])
-
-        parts.append(data.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding").mapInArrow(run, schema))
-    out = parts[0] if parts else spark.createDataFrame([], schema)
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+
+def products(spark: SparkSession, data: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """qid, vec_id, dist: the inner product of each query with each vector, a product of two matrices in long form."""
+    return meet(spark, data, queries, Within(float("inf"), "dot"), block=block)
 
 
 def rank_within(df: DataFrame, part: str, order: list[Column], k: int) -> DataFrame:
@@ -70,26 +261,33 @@ def rank_within(df: DataFrame, part: str, order: list[Column], k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn_join(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+def knn_join(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", exclude_self: bool = False, block: int = BLOCK, how: str = "product", carry: str | None = None) -> DataFrame:
     """qid, rank, vec_id, dist: the k nearest vectors of each query (largest inner products for ``dot``), ties to the smaller id.
 
-    data: vec_id, embedding; queries: qid, q. Each batch of data keeps its k best of each query, so only these are shuffled.
+    data: vec_id, embedding, and a column to ``carry`` along on request; queries: qid, q. A task keeps its k best of each query, so only these are shuffled.
     """
-    more = k + exclude_self
-
-    def keep(d: np.ndarray, vec: np.ndarray):
-        order = np.lexsort((np.broadcast_to(vec, d.shape), -d if metric == "dot" else d), axis=1)[:, :more]
-        return np.repeat(np.arange(len(d)), order.shape[1]), order.ravel()
-
-    found = _scan(spark, data, queries, metric, keep, block)
-    if exclude_self:
-        found = found.filter("qid != vec_id")
-    return rank_within(found, "qid", [F.desc("dist") if metric == "dot" else F.col("dist"), F.col("vec_id")], k).select("qid", "rank", "vec_id", "dist")
+    extra = f", `{carry}` {dict(data.dtypes)[carry]}" if carry else ""
+    found = meet(spark, data, queries, Nearest(k, metric, exclude_self, how, extra), extra=(carry,) if carry else (), block=block)
+    ranked = rank_within(found, "qid", [F.desc("dist") if metric == "dot" else F.col("dist"), F.col("vec_id")], k)
+    return ranked.select("qid", "rank", "vec_id", "dist", *([carry] if carry else []))
 
 
 def radius_join(spark: SparkSession, data: DataFrame, queries: DataFrame, radius_squared: float, inclusive: bool = False, block: int = BLOCK) -> DataFrame:
     """qid, vec_id, dist: all vectors whose squared distance is below ``radius_squared`` (or equal to it, on request)."""
-    return _scan(spark, data, queries, "l2sq", lambda d, vec: np.nonzero(d <= radius_squared if inclusive else d < radius_squared), block)
+    return meet(spark, data, queries, Within(radius_squared, "l2sq", inclusive), block=block)
+
+
+def _nearest_rows(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Number of each row's nearest row of ``matrix``, the first on ties; only rows that a product of matrices can't tell apart are compared exactly."""
+    out = np.empty(len(x), np.int64)
+    for lo in range(0, len(x), 1024):
+        part = x[lo : lo + 1024]
+        d, off = rough(matrix, part, "l2sq")
+        i, j = np.nonzero(d <= d.min(1)[:, None] + 4 * off)
+        order = np.lexsort((j, exact_pairs(matrix, part, i, j, "l2sq"), i))
+        first = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]]))
+        out[lo : lo + 1024] = j[order][first]
+    return out
 
 
 def assign_cells(data: DataFrame, centroids: DataFrame, vec: str = "embedding", dims: int | None = None) -> DataFrame:
@@ -102,7 +300,7 @@ def assign_cells(data: DataFrame, centroids: DataFrame, vec: str = "embedding",
         for b in batches:
             if b.num_rows:
                 x = b.column(vec).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-                near = np.stack([((x - c) ** 2).sum(1) for c in matrix], 1).argmin(1)
+                near = np.stack([((x - c) ** 2).sum(1) for c in matrix], 1).argmin(1) if len(matrix) < 64 else _nearest_rows(x, matrix)
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in fields), pa.array(cells[near].astype(np.int32))], names=[*(n for n, _ in fields), "cell"])
 
     return data.select(*(n for n, _ in fields)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*fields, ("cell", "int")]))
@@ -138,8 +336,7 @@ def lloyd(data: DataFrame, centroids: DataFrame, rounds: int = 1) -> DataFrame:
 
 def classify(spark: SparkSession, examples: DataFrame, queries: DataFrame, metric: str = "l2sq", exclude_self: bool = False) -> DataFrame:
     """qid, label of the nearest example (vec_id, embedding, label), the query's own row aside on request; a warped distance goes through ``distances.dtw`` instead."""
-    near = knn_join(spark, examples.select("vec_id", "embedding"), queries, 1, metric, exclude_self)
-    return near.join(examples.select("vec_id", "label"), "vec_id").select("qid", "label")
+    return knn_join(spark, examples, queries, 1, metric, exclude_self, carry="label").select("qid", "label")
 
 
 def recall(found: DataFrame, truth: DataFrame, at: list[int]) -> DataFrame:

@@ -35,15 +35,27 @@ def sliding_argmin(df: DataFrame, length: int, x: str = "x", ahead: bool = False
     return df.withColumn("at", F.max(key).over(w)["t"])
 
 
+def profiles(df: DataFrame, query: list[float], named: dict[str, str], x: str = "x", stride: int = 1) -> DataFrame:
+    """A column for each name: distance (l1, l2, l2sq) or cross-correlation (dot) of ``query`` with the window that begins at each row, all from one pass;
+    short windows are left out."""
+    w = order()
+    ahead = [F.col(x) if not j else F.lead(x, j).over(w) for j in range(len(query))]
+    held = df.withColumn("_ahead", F.array(*ahead)).filter(F.forall("_ahead", lambda v: v.isNotNull()) & (F.col("t") % stride == 0))
+    terms = {"dot": lambda v, q: v * q, "l1": lambda v, q: F.abs(v - q), "l2": lambda v, q: (v - q) * (v - q), "l2sq": lambda v, q: (v - q) * (v - q)}
+
+    def total(metric: str) -> Column:
+        out = None
+        for j, q in enumerate(query):
+            term = terms[metric](F.get("_ahead", F.lit(j)), F.lit(float(q)))
+            out = term if out is None else out + term
+        return F.sqrt(out) if metric == "l2" else out
+
+    return held.withColumns({n: total(metric) for n, metric in named.items()}).drop("_ahead")
+
+
 def profile(df: DataFrame, query: list[float], metric: str = "l2sq", x: str = "x", stride: int = 1) -> DataFrame:
-    """d: distance (l1, l2, l2sq) or cross-correlation (dot) of ``query`` with the window that begins at each row; short windows are left out."""
-    w, out = order(), None
-    for j, q in enumerate(query):
-        v = F.lead(x, j).over(w) if j else F.col(x)
-        term = {"dot": v * q, "l1": F.abs(v - q)}.get(metric, (v - q) * (v - q))
-        out = term if out is None else out + term
-    out = F.sqrt(out) if metric == "l2" else out
-    return df.withColumn("d", out).filter(F.col("d").isNotNull() & (F.col("t") % stride == 0))
+    """d: one of ``profiles``."""
+    return profiles(df, query, {"d": metric}, x, stride)
 
 
 def runs(df: DataFrame, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators import linear, quantize
+from strandline.operators import linear, quantize, ranks
 
 
 def circulant_planes(first: np.ndarray, signs: np.ndarray, bits: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def sign_of(p: Column, planes: int) -> Column:
 def thresholds_kmeans(data: DataFrame, bins: int, rounds: int = 10) -> DataFrame:
     """dim, thresholds: midpoints between the sorted means of one-dimensional k-means, begun at quantiles. Each round is one aggregation."""
     each = data.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "v"))
-    start = each.groupBy("dim").agg(F.percentile("v", F.array(*(F.lit((i + 0.5) / bins) for i in range(bins)))).alias("centres"))
+    start = ranks.percentiles(each, "dim", "v", [(i + 0.5) / bins for i in range(bins)]).withColumnRenamed("cuts", "centres")
     centres = {r["dim"]: list(r["centres"]) for r in start.collect()}
     spark = data.sparkSession
 

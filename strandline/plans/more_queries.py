@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
 from strandline.functions import special
-from strandline.operators import evaluate, linear, quantize, search, sketches, subsequences
+from strandline.operators import evaluate, linear, quantize, search, sketches, subsequences, vectors
 from strandline.plans import search_queries as Q
 from strandline.plans import series_queries as T
 from strandline.plans._register import Register, table
@@ -125,9 +125,7 @@ def v29_tables_between(spark, d):
  select round(corr("true", dist), 5) as corr, round(avg(("true" - dist) * ("true" - dist)), 5) as mse, round(avg(abs("true" - dist) / "true") filter ("true" <> 0), 5) as rel_error from p join t using (qid, vec_id)""".replace("as true from", 'as "true" from'))
 def e06_fidelity(spark, d):
     codec = quantize.Codec(spark, Q._books(spark, d))
-    found = codec.distances(codec.encode(Q._data(spark, d)), codec.tables(Q._queries(spark, d))).withColumnRenamed("safe", "dist")
-    true = search.radius_join(spark, Q._data(spark, d), Q._queries(spark, d), float("inf"), inclusive=True).withColumnRenamed("dist", "true")
-    return evaluate.fidelity(found.join(true, ["qid", "vec_id"])).select(*(F.round(c, 5).alias(c) for c in ("corr", "mse", "rel_error")))
+    return codec.fidelity(codec.encode(Q._data(spark, d)), Q._queries(spark, d)).select(*(F.round(c, 5).alias(c) for c in ("corr", "mse", "rel_error")))
 
 
 @register(f"with {_S}, n as (select series, t, x, lead(x, 1) {_W}) as a, lead(x, 2) {_W}) as b from s) select series, t as start from n where b is not null and x < a and a < b")
@@ -175,7 +173,8 @@ def e03_total_iou(spark, d):
     return evaluate.total_iou(T._ranges(spark, d, kinds[0]), T._ranges(spark, d, kinds[-1])).select("inter", "total", F.round("iou", 6).alias("iou"))
 
 
-@register()
+@register(f"""with recursive {_R}, {T._GREEDY.format(pairs=T._NEAR)}, c as (select (select count(*) from ra) as reported, (select count(*) from rb) as true_n, (select count(*) from taken) as matches)
+ select reported, true_n, matches, matches / reported as precision, matches / true_n as recall, 2 * matches / (reported + true_n) as f1 from c""")
 def e04_match_stats(spark, d):
     kinds = T._kinds(spark, d)
     return evaluate.match_stats(T._ranges(spark, d, kinds[0]), T._ranges(spark, d, kinds[-1]))
@@ -213,6 +212,5 @@ def p27_sampled_dims(spark, d):
 @register(f"with {_V}, u as (select generate_subscripts(e, 1) - 1 as dim, unnest(e) as x from v), s as (select list(m order by dim) as ms, max(sd) as sd from (select dim, avg(x) as m, stddev_pop(x) as sd from u group by dim)) select vec_id, round((e[2] - ms[2]) / sd, 6) as z from v, s")
 def p04_one_scale(spark, d):
     """Dimensions less their means, over the largest of their deviations."""
-    mean, cov = linear.covariance_matrix(Q._data(spark, d))
-    scale = float(np.sqrt(np.diag(cov).max()))
-    return Q._data(spark, d).select("vec_id", F.round((F.get("embedding", F.lit(1)).cast("double") - float(mean[1])) / scale, 6).alias("z"))
+    data = Q._data(spark, d)
+    return vectors.one_scale(data, data).select("vec_id", F.round(F.get("embedding", F.lit(1)), 6).alias("z"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
 from strandline.functions import distances as D
-from strandline.operators import linear, quantize, search
+from strandline.operators import linear, quantize, search, sketches, vectors
 from strandline.plans._register import Register, table
 
 register = Register()
@@ -156,9 +156,8 @@ def a18_reconstruction_error(spark, d):
  select vec_id, sum((x >= lo)::int + (x >= hi)::int)::bigint as bins from u join t using (dim) group by vec_id""")
 def h05_two_thresholds(spark, d):
     data = _data(spark, d)
-    cuts = quantize.thresholds_quantile(data, [0.33, 0.67])
-    each = data.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "v")).join(cuts, "dim")
-    return each.groupBy("vec_id").agg(F.sum(quantize.digitize(F.col("v"), F.col("thresholds"))).cast("long").alias("bins"))
+    coded = sketches.digitized(data, quantize.thresholds_quantile(data, [0.33, 0.67]))
+    return coded.select("vec_id", F.aggregate("codes", F.lit(0).cast("long"), lambda t, c: t + c).alias("bins"))
 
 
 @register(f"with {_V}, u as (select generate_subscripts(e, 1) - 1 as dim, unnest(e) as x from v) select dim, round(avg(x) - 0.6744897501960817 * stddev_pop(x), 6) as t1, round(avg(x), 6) as t2, round(avg(x) + 0.6744897501960817 * stddev_pop(x), 6) as t3 from u group by dim")
@@ -170,21 +169,18 @@ def h02_gauss_thresholds(spark, d):
 @register(f"with {_V}, p as (select vec_id as plane, e as w from v where vec_id < 16) select v.vec_id, sum((list_inner_product(e, w) > 0)::bigint << plane)::bigint as bits from v, p group by v.vec_id")
 def h09_sign_projections(spark, d):
     planes = np.array([r[0] for r in table(spark, d, "embeddings").filter("vec_id < 16").orderBy("vec_id").select("embedding").collect()], float)
-    return _data(spark, d).select("vec_id", quantize.sign_bits(F.col("embedding").cast("array<double>"), planes).alias("bits"))
+    return sketches.project(_data(spark, d).select("vec_id", "embedding"), planes).select("vec_id", sketches.sign_of(F.col("p"), 16).alias("bits"))
 
 
 @register(f"with {_V}, u as (select generate_subscripts(e, 1) - 1 as dim, unnest(e) as x from v), m as (select dim, avg(x) as m from u group by dim) select vec_id, round(list_sum(list_transform(list_zip(e, ms), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) as n from v, (select list(m order by dim) as ms from m)")
 def p03_mean_centred(spark, d):
-    data = _data(spark, d).select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    means = data.select(F.posexplode("e").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("ms"))
-    return data.join(F.broadcast(means)).select("vec_id", F.round(D.l2_squared(F.col("e"), F.col("ms")), 6).alias("n"))  # one row
+    data = _data(spark, d)
+    return vectors.centred(data, data).select("vec_id", F.round(A.sum_squares(F.col("embedding")), 6).alias("n"))
 
 
 @register(f"with {_V}, u as (select generate_subscripts(e, 1) - 1 as dim, unnest(e) as x from v) select dim, row_number() over (order by var_pop(x) desc, dim) - 1 as place from u group by dim")
 def p10_variance_order(spark, d):
-    each = _data(spark, d).select(F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
-    one = each.groupBy("dim").agg(F.var_pop("x").alias("v")).agg(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("k"), "dim"))).alias("o"))
-    return one.select(F.posexplode("o").alias("place", "s")).select(F.col("s.dim").cast("long").alias("dim"), F.col("place").cast("long").alias("place"))
+    return vectors.variance_order(_data(spark, d)).select(F.col("dim").cast("long").alias("dim"), F.col("place").cast("long").alias("place"))
 
 
 @register(f"with {_V}, u as (select vec_id, generate_subscripts(e, 1) - 1 as dim, unnest(e) as x from v) select a.dim as i, b.dim as j, round(covar_pop(a.x, b.x), 6) + 0.0 as cov from u a join u b using (vec_id) group by all")

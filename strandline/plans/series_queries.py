@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.operators import intervals, series
+from strandline.operators import intervals, ranks, series
 from strandline.plans._register import Register, table
 
 register = Register()
@@ -14,7 +14,7 @@ QUERIES, ORACLE_SQL = register.queries, register.sql
 
 def _series(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select(F.col("user_id").alias("series"), (F.row_number().over(w) - 1).cast("long").alias("t"), F.col("value").alias("x"), F.col("event_type").alias("k"), "event_id")
+    return table(spark, d, "events").select(F.col("user_id").alias("series"), (F.row_number().over(w) - 1).cast("long").alias("t"), F.col("value").alias("x"), F.col("event_type").alias("k"), "event_id", F.col("ts").alias("time"))
 
 
 def _ranges(spark, d, kind):
@@ -54,11 +54,8 @@ def w08_sliding_argmin(spark, d):
 
 @register(f"with {_S} select event_id, round(x * 1 + lead(x, 1) {_W}) * 2 + lead(x, 2) {_W}) * 3, 4) as cross_corr, round(sqrt(pow(x - 1, 2) + pow(lead(x, 1) {_W}) - 2, 2) + pow(lead(x, 2) {_W}) - 3, 2)), 4) as dist, round(abs(x - 1) + abs(lead(x, 1) {_W}) - 2) + abs(lead(x, 2) {_W}) - 3), 4) as l1 from s qualify lead(x, 2) {_W}) is not null")
 def w02_profiles(spark, d):
-    q, s = [1.0, 2.0, 3.0], _series(spark, d)
-    out = series.profile(s, q, "dot").select("event_id", F.round("d", 4).alias("cross_corr"))
-    for metric, name in (("l2", "dist"), ("l1", "l1")):
-        out = out.join(series.profile(s, q, metric).select("event_id", F.round("d", 4).alias(name)), "event_id")
-    return out
+    out = series.profiles(_series(spark, d), [1.0, 2.0, 3.0], {"cross_corr": "dot", "dist": "l2", "l1": "l1"})
+    return out.select("event_id", *(F.round(c, 4).alias(c) for c in ("cross_corr", "dist", "l1")))
 
 
 @register(f"with {_S}, c as (select *, case when k is distinct from lag(k) {_W}) or t = 0 then 1 else 0 end as new from s), n as (select *, sum(new) {_W}) as run from c) select series, min(t) as start, max(t) + 1 as \"end\", min(k) as value from n group by series, run")
@@ -89,7 +86,7 @@ def x01_last_values(spark, d):
 
 @register(f"with {_S}, {_K}, l as (select series, event_id, ts from s, k0 where k = a), r as (select series, t, ts from s, k0 where k = b) select l.event_id, min(r.t) as t from l left join r on l.series = r.series and r.ts >= l.ts group by l.event_id")
 def s14_asof_forward(spark, d):
-    kinds, s = _kinds(spark, d), _series(spark, d).join(table(spark, d, "events").select("event_id", F.col("ts").alias("time")), "event_id")
+    kinds, s = _kinds(spark, d), _series(spark, d)
     left, right = s.filter(F.col("k") == kinds[0]).select("series", "time", "event_id"), s.filter(F.col("k") == kinds[-1]).select("series", "time", "t")
     return series.asof_forward(left, right).select("event_id", "t")
 
@@ -129,7 +126,16 @@ def j15_contained(spark, d):
     return intervals.contained(_ranges(spark, d, _kinds(spark, d)[0]), tens).select("id", "lo")
 
 
-@register()
+#: Each reported interval in turn takes the first free true one: a list of what is taken goes along in a recursion over the pairs of a series.
+_GREEDY = """pairs as ({pairs}), n as (select *, row_number() over (partition by series order by rid, tid) as r, count(*) over (partition by series) as of from pairs),
+ walk as (select series, 0::bigint as r, []::bigint[] as rids, []::bigint[] as tids from (select distinct series from n)
+  union all select w.series, w.r + 1, case when list_contains(rids, n.rid) or list_contains(tids, n.tid) then rids else list_append(rids, n.rid) end,
+  case when list_contains(rids, n.rid) or list_contains(tids, n.tid) then tids else list_append(tids, n.tid) end from walk w join n on n.series = w.series and n.r = w.r + 1),
+ taken as (select series, unnest(rids) as rid, unnest(tids) as tid from walk w where r = (select max(r) from n where n.series = w.series))"""
+_NEAR = "select ra.series, ra.id as rid, rb.id as tid from ra join rb on ra.series = rb.series and ra.s < rb.e and rb.s < ra.e where (least(ra.e, rb.e) - greatest(ra.s, rb.s)) / ((ra.e - ra.s) + (rb.e - rb.s) - (least(ra.e, rb.e) - greatest(ra.s, rb.s))) >= 0.5"
+
+
+@register(f"with recursive {_R}, {_GREEDY.format(pairs=_NEAR)} select series, rid, tid from taken")
 def j12_greedy_matches(spark, d):
     kinds = _kinds(spark, d)
     return intervals.greedy_matches(_ranges(spark, d, kinds[0]), _ranges(spark, d, kinds[-1]), with_labels=False)
@@ -144,7 +150,11 @@ def e08_stratified_folds(spark, d):
 @register("select event_type, count(*) as n, count(distinct user_id) as users, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as sd, round(min(value), 4) as lo, round(max(value), 4) as hi, round(quantile_cont(value, 0.5), 4) as median, count_if(value > 50)::bigint as large from events group by event_type")
 def a01_group_statistics(spark, d):
     e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("sd"), F.round(F.min("value"), 4).alias("lo"), F.round(F.max("value"), 4).alias("hi"), F.round(F.percentile("value", F.lit(0.5)), 4).alias("median"), F.count_if(F.col("value") > 50).alias("large"))
+    rest = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("sd"), F.round(F.min("value"), 4).alias("lo"), F.round(F.max("value"), 4).alias("hi"), F.count_if(F.col("value") > 50).alias("large"))
+    # distinct pairs first, so that no task holds a kind's users; the median by counts in bins
+    users = e.select("event_type", "user_id").filter("user_id is not null").distinct().groupBy("event_type").agg(F.count("*").alias("users"))
+    median = ranks.percentiles(e, "event_type", "value", [0.5]).select("event_type", F.round(F.get("cuts", F.lit(0)), 4).alias("median"))
+    return rest.join(users, "event_type").join(median, "event_type")
 
 
 @register("select user_id, count(*) as n from events group by user_id having count(*) between 5 and 20")
