@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees and exact reranking.
 
 The trees split a bounded sample of the vectors at the median of random projections, so a leaf holds about the same share of any data like
-the sample. Every vector is put into one leaf of each tree. A query searches all trees through one priority queue, best margin first, until
-the leaves that it took hold ``share`` of all vectors; leaf sizes are counted, not guessed. The members of these leaves are its candidates,
-and all of them are reranked by their exact inner product: a block of a leaf's members (of bounded size, by salting) meets the leaf's queries in one
-task, which keeps the best of each query. Equal vectors are searched once: of such a class only the first ``k + 1`` ids can be among
-a query's k nearest, so the others needn't be compared.
+the sample. Every vector is put into one leaf of each tree. A query searches all trees through one priority queue until the leaves that it took hold
+``share`` of all vectors; a branch's priority is its squared distance from the query along the projections that lead away from it. Leaf sizes
+are counted, not guessed. The members of these leaves are its candidates, and all of them are reranked by their exact inner product: a block
+of a leaf's members (of bounded size, by salting) meets the leaf's queries, which stream by, in one task, which keeps the best of each query.
+Equal vectors are searched once: of such a class only the first ``k + 1`` ids can be among a query's k nearest, so the others needn't be compared.
 
 Vectors that are null, zero, of another length than the most frequent one, without an id, or hold null or non-finite components take no
-part, neither as query nor as candidate. If an id is repeated, each row is a vector of its own and a query leaves out all rows of its id.
-A query with fewer candidates gets all of them. Other columns are ignored; an empty table gives no rows.
+part, neither as query nor as candidate. Ids may be repeated: an id stands for all vectors of its rows, and the score of two ids is the largest among
+theirs; a query leaves out all rows of its own id, and no id is listed twice. A query with fewer candidates gets all of them. Other columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql.window import Window
 
 from strandline.llm import _common
 
-#: Trees, the most leaves of each, members that a leaf should have, and the most vectors that the trees are fitted on.
-TREES, MOST_LEAVES, LEAF, SAMPLE = 4, 512, 512, 16_384
+#: Trees, the most leaves of each, and the most vectors that the trees are fitted on. A tree has about as many leaves as a leaf has members.
+TREES, MOST_LEAVES, SAMPLE = 4, 4096, 65_536
 #: Share of all vectors, counted in each tree, that a query's leaves hold: recall against cost. Vectors without structure need this much.
 SHARE = 0.3
 #: Members of a leaf that meet its queries at once, and rows of results that a task holds before it keeps only the best.
@@ -69,7 +70,7 @@ def fit(sample: np.ndarray, leaves: int, trees: int = TREES, seed: int = 11) ->
 def search(margins: list[np.ndarray], trees: list[Tree], sizes: np.ndarray, enough: float) -> list[int]:
     """Cells (tree x leaves + leaf) of one query, in the order in which the queue shared by all trees gives them."""
     width, held, out = trees[0].nodes + 1, 0, []
-    queue = [(-np.inf, t, 0) for t in range(len(trees))]
+    queue = [(0.0, t, 0) for t in range(len(trees))]
     heapq.heapify(queue)
     while queue and held < enough:
         priority, t, node = heapq.heappop(queue)
@@ -82,17 +83,24 @@ def search(margins: list[np.ndarray], trees: list[Tree], sizes: np.ndarray, enou
         margin = margins[t][node]
         near, far = (2 * node + 2, 2 * node + 1) if margin > 0 else (2 * node + 1, 2 * node + 2)
         heapq.heappush(queue, (priority, t, near))
-        heapq.heappush(queue, (max(priority, abs(margin)), t, far))
+        heapq.heappush(queue, (priority + margin * margin, t, far))
     return out
 
 
+def leaves(n: int) -> int:
+    """Leaves of each tree for ``n`` vectors: a power of two near the root of their number, so that there are always several."""
+    return min(MOST_LEAVES, 1 << max(0, round(np.log2(max(1, n)) / 2)))
+
+
 def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the k best of each query: larger scores first, ties to the smaller id; of rows of one query and id the first."""
-    order = np.lexsort((vec, -score, query))
-    q, v, s = query[order], vec[order], score[order]
+    """Rows of the k best of each query: larger scores first, ties to the smaller id; of rows of one query and id the best."""
+    order = np.lexsort((-score, vec, query))
+    q, v = query[order], vec[order]
     again = np.zeros(len(q), bool)
-    again[1:] = (q[1:] == q[:-1]) & (v[1:] == v[:-1]) & (s[1:] == s[:-1])
-    order, q = order[~again], q[~again]
+    again[1:] = (q[1:] == q[:-1]) & (v[1:] == v[:-1])
+    order = order[~again]
+    order = order[np.lexsort((vec[order], -score[order], query[order]))]
+    q = query[order]
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
     place = np.arange(len(q)) - np.repeat(first, np.diff([*first.tolist(), len(q)]))
     return order[place < k]
@@ -100,15 +108,18 @@ def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.nd
 
 def top(members: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query its k best members: row of the query, id, and inner product, always summed in the same order."""
-    rough = queries @ members.T
-    if len(ids) > k:
-        least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
-        q, m = np.nonzero(rough >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
-    else:
-        q, m = (x.ravel() for x in np.indices(rough.shape))
-    score = np.add.reduce(queries[q] * members[m], axis=1)
-    keep = best(q, ids[m], score, k)
-    return q[keep], ids[m[keep]], score[keep]
+    rough, most = queries @ members.T, k
+    while True:  # where ids are repeated, the first k rows may be too few
+        if len(ids) > most:
+            least = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
+            q, m = np.nonzero(rough >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+        else:
+            q, m = (x.ravel() for x in np.indices(rough.shape))
+        score = np.add.reduce(queries[q] * members[m], axis=1)
+        keep = best(q, ids[m], score, k)
+        if len(ids) <= most or np.bincount(q[keep], minlength=len(queries)).min(initial=k) >= k:
+            return q[keep], ids[m[keep]], score[keep]
+        most *= 4
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -134,12 +145,12 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, t
     kind = dict(good.dtypes)["v"]
     some = good.filter(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) <= min(1.0, SAMPLE / n) * (1 << 30)).limit(2 * SAMPLE)  # a hash's share: the bound holds but for chance
     sample = np.array([r["v"] for r in some.select("v").toLocalIterator()], float).reshape(-1, dim)
-    forest = fit(sample, max(1, min(MOST_LEAVES, n // LEAF)), trees)
+    forest = fit(sample, leaves(n), trees)
     width = forest[0].nodes + 1
     shared = spark.sparkContext.broadcast(forest)
     # At most the first k + 1 of equal vectors can be among the k nearest of one query.
     first = Window.partitionBy("v").orderBy("vec_id")
-    members = good.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1).select("vec_id", "v")
+    members = good.withColumn("_n", F.dense_rank().over(first)).filter(F.col("_n") <= k + 1).select("vec_id", "v").distinct()
 
     def place(batches):
         for b in batches:
@@ -218,10 +229,11 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, t
         out()
         yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], names=["id", "vec_id", "score"])
 
-    found = met.mapInArrow(rerank, "id long, vec_id long, score double").distinct()
+    found = met.mapInArrow(rerank, "id long, vec_id long, score double").groupBy("id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1).drop("_n")
-    each = queries.join(asked.select(F.col("id").alias("asked"), "v"), "v").select(F.col("vec_id").alias("query_id"), F.col("asked").alias("id"))
+    each = queries.join(asked.select(F.col("id").alias("asked"), "v"), "v").select(F.col("vec_id").alias("query_id"), F.col("asked").alias("id")).distinct()
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = each.join(found, "id").filter("vec_id != query_id").withColumn("rank", F.row_number().over(own))
+    scored = each.join(found, "id").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(own))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
