@@ -1,12 +1,15 @@
 """Media columns as FLAC: encoding, decoding with checks, PCM blocks that can be sought, and features.
 
 A stream is mono, 8 bits a sample, in blocks of ``BLOCK`` samples: a STREAMINFO block with the MD5 of the samples, a SEEKTABLE with one point for each
-frame, then frames with a fixed linear predictor of order 0 to 2 and Rice-coded residuals, or plain samples where these are shorter.
-The decoder also knows constant subframes, fixed predictors up to order 4, linear predictors with coefficients, and partitioned Rice codes.
-All frames of a batch are decoded side by side, one residual of each at a time; header and frame checksums and the MD5 are verified.
+frame, then frames with Rice-coded residuals in four partitions, of whichever is shortest: a fixed predictor of order 0 to 2, a linear
+predictor whose ``ORDER`` coefficients are fitted to the frame, or plain samples. The decoder also knows constant subframes, fixed predictors up to
+order 4, linear predictors of any order and precision, any number of partitions, and partitions of plain residuals. Frames are found by the
+seek points where these reach all samples; otherwise by their sync code, number and checksums. All frames of a batch are decoded side by
+side, one residual and one sample of each at a time; header and frame checksums and the MD5 are verified.
 
 Null text is an empty payload, which is padded like any other. Rows are independent, so repeated rows, null ids and other columns do no harm;
-equal texts give equal streams. A stream that fails a check raises ``ValueError``.
+equal texts give equal streams, and an empty table no rows. A batch holds about a MiB, or one text that is longer: decoding takes about 100 bytes
+of memory for each of its samples. A stream that fails a check raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -22,7 +25,11 @@ from pyspark.sql import functions as F
 from strandline.llm import _common
 
 BLOCK, RATE, PAD = 4096, 8000, 64
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Coefficients of a fitted predictor, bits of each, and the logarithm of the number of partitions.
+ORDER, PRECISION, PARTS = 4, 8, 2
+#: Coefficients of the fixed predictors of order 0 to 4.
+FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks array<struct<first_sample:bigint,stream_offset:bigint,samples:int>>"
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -81,15 +88,42 @@ def _residuals(x: np.ndarray, starts: np.ndarray, place: np.ndarray, order: int)
     r = x.astype(np.int32)
     for _ in range(order):
         r = np.concatenate([r[:1], np.diff(r)])
-    r = (r << 1) ^ (r >> 31)
+    r = _zigzag(r)
     r[place < order] = 0
     return r
 
 
+def _zigzag(r: np.ndarray) -> np.ndarray:
+    return (r << 1) ^ (r >> 31)
+
+
+def _fitted(x: np.ndarray, starts: np.ndarray, place: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (frames x ORDER, whole numbers) and shift of each frame's linear predictor: autocorrelation, solved by recursion for all frames at once."""
+    f = x.astype(np.float64)
+    r = np.stack([np.add.reduceat(np.where(place >= k, f * np.concatenate([np.zeros(k), f[: len(f) - k]]), 0.0), starts) for k in range(ORDER + 1)])
+    error = np.where(r[0] > 0, r[0] * (1 + 1e-9), 1.0)
+    a = np.zeros((ORDER, len(starts)))
+    for i in range(ORDER):
+        k = (r[i + 1] - sum(a[j] * r[i - j] for j in range(i))) / error
+        new = a.copy()
+        new[i] = k
+        for j in range(i):
+            new[j] = a[j] - k * a[i - 1 - j]
+        a, error = new, np.maximum(error * (1 - k * k), 1e-9)
+    most = np.maximum(np.abs(a).max(0), 1e-9)
+    shift = np.clip(PRECISION - 2 - np.floor(np.log2(most)).astype(np.int64), 0, 15)
+    top = (1 << (PRECISION - 1)) - 1
+    return np.clip(np.rint(a * (1 << shift)), -top - 1, top).astype(np.int64).T, shift
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A stream for each payload of unsigned bytes, which must not be empty."""
+    """A stream for each payload of unsigned bytes, whose length must be a positive multiple of ``PAD``."""
     data = np.frombuffer(b"".join(payloads), np.uint8)
     lengths = np.array([len(p) for p in payloads], np.int64)
+    if not len(payloads):
+        return []
+    if (lengths % PAD != 0).any() or not lengths.all():
+        raise ValueError(f"payloads are padded to a positive multiple of {PAD} bytes")
     counts = -(-lengths // BLOCK)
     owner = np.repeat(np.arange(len(payloads)), counts)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -97,22 +131,39 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     starts = np.cumsum(sizes) - sizes
     frame = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(data)) - starts[frame]
-    x = data.astype(np.int16) - 128
+    x = data.astype(np.int32) - 128
+    taps, shift = _fitted(x, starts, place, frame)
     kinds = [_residuals(x, starts, place, order) for order in range(3)]
-    sums = np.stack([np.add.reduceat(r, starts) for r in kinds])
-    order = sums.argmin(0)
-    order[sizes < 4] = 0
-    u = np.where(order[frame] == 0, kinds[0], np.where(order[frame] == 1, kinds[1], kinds[2]))
-    mean = np.maximum(sums[order, np.arange(len(sizes))] / sizes, 1e-9)
-    guess = np.clip(np.floor(np.log2(mean)), 0, 13).astype(np.int64)
-    coded = sizes - order
-    tries = np.stack([np.clip(guess + d, 0, 14) for d in (-1, 0, 1)])
-    bits = np.stack([np.add.reduceat(u >> k[frame], starts) + coded * (k + 1) for k in tries])  # samples without a residual have 0
-    rice = tries[bits.argmin(0), np.arange(len(sizes))]
-    plain = bits.min(0) + 10 + 8 * order >= 8 * sizes
-    body = np.where(plain, 1 + sizes, -(-(8 + 8 * order + 10 + bits.min(0)) // 8))
+    guess = np.zeros(len(x), np.int32)
+    for k in range(ORDER):
+        guess[k + 1 :] += taps[frame[k + 1 :], k].astype(np.int32) * x[: len(x) - k - 1]
+    kinds.append(_zigzag(x - (guess >> shift[frame].astype(np.int32))))
+    kinds[3][place < ORDER] = 0
+    orders, extra = np.array([0, 1, 2, ORDER]), np.array([0, 0, 0, 9 + ORDER * PRECISION])
+    # each partition of each kind with its own parameter: the best of three near the logarithm of the mean
+    part = frame * (1 << PARTS) + place * (1 << PARTS) // sizes[frame]
+    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    many = np.diff(np.append(begins, len(part)))
+    first_part = np.arange(len(begins)) % (1 << PARTS) == 0
+    cost, chosen = [], []
+    for u, order in zip(kinds, orders.tolist(), strict=True):
+        coded = many - np.where(first_part, order, 0)
+        mean = np.maximum(np.add.reduceat(u, begins, dtype=np.int64) / many, 1e-9)
+        at = np.clip(np.floor(np.log2(mean)), 0, 13).astype(np.int64)
+        tries = np.stack([np.clip(at + d, 0, 14) for d in (-1, 0, 1)])
+        bits = np.stack([np.add.reduceat(u >> k.astype(np.int32)[part], begins, dtype=np.int64) + coded * (k + 1) for k in tries])  # samples without a residual have 0
+        best = bits.argmin(0)
+        chosen.append(tries[best, np.arange(len(best))])
+        cost.append(bits.min(0).reshape(-1, 1 << PARTS).sum(1) + 6 + (4 << PARTS) + 8 * order)
+    cost = np.stack(cost) + extra[:, None]
+    kind = cost.argmin(0)
+    plain = cost.min(0) >= 8 * sizes
+    order, more = orders[kind], extra[kind]
+    rice = np.stack(chosen).reshape(4, -1, 1 << PARTS)[kind, np.arange(len(kind))].ravel()
+    u = np.choose(kind[frame], kinds)
+    body = np.where(plain, 1 + sizes, 1 - (-cost.min(0) // 8))
     heads = []
-    for i, (n, size) in enumerate(zip(number.tolist(), sizes.tolist(), strict=True)):
+    for n, size in zip(number.tolist(), sizes.tolist(), strict=True):
         head = bytes([0xFF, 0xF8, (0xC0 if size == 4096 else 0x70) | 4, 0x02]) + _number(n) + (b"" if size == 4096 else (size - 1).to_bytes(2, "big"))
         heads.append(head + bytes([crc8(head)]))
     wide = np.array([len(h) for h in heads], np.int64)
@@ -120,24 +171,39 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     at = np.cumsum(whole) - whole  # where a frame begins
     raw = np.zeros(8 * int(whole.sum()), np.uint8)
     base = (at + wide + 1) * 8  # after the subframe's first byte
+
+    def write(where: np.ndarray, value: np.ndarray, bits: int) -> None:
+        for j in range(bits):
+            raw[where + j] = (value >> (bits - 1 - j)) & 1
+
+    own = np.flatnonzero(~plain & (kind == 3))
+    after = base[own] + 8 * ORDER
+    write(after, np.full(len(own), PRECISION - 1), 4)
+    write(after + 4, shift[own], 5)
+    for k in range(ORDER):
+        write(after + 9 + k * PRECISION, taps[own, k] & ((1 << PRECISION) - 1), PRECISION)
+    lead = base + 8 * order + more  # two bits of method (0), and the number of partitions
+    write(lead[~plain] + 2, np.full(int((~plain).sum()), PARTS), 4)
     coding = ~plain[frame] & (place >= order[frame])
-    v, k = u[coding], rice[frame][coding]
-    top = v >> k
+    opens = np.zeros(len(data), bool)  # the first residual of a partition follows its parameter
+    opens[np.where(first_part, begins + order[frame[begins]], begins)] = True
+    v, k = u[coding], rice[part[coding]]
+    top = (v >> k.astype(np.int32)).astype(np.int64)
     size_bits = np.zeros(len(data), np.int64)
-    size_bits[coding] = top + 1 + k
+    size_bits[coding] = top + 1 + k + 4 * opens[coding]
     run = np.cumsum(size_bits) - size_bits
-    first = base + 8 * order + 10
-    spot = (run - run[starts][frame] + first[frame])[coding] + top
+    spot = (run - run[starts][frame] + (lead + 6)[frame])[coding]
+    new = opens[coding]
+    write(spot[new], k[new], 4)
+    spot = spot + 4 * new + top
     raw[spot] = 1
     for j in range(int(k.max(initial=0))):
         on = k > j
         raw[spot[on] + 1 + j] = (v[on] >> (k[on] - 1 - j)) & 1
-    for j in range(4):
-        raw[(base + 8 * order + 6 + j)[~plain]] = (rice[~plain] >> (3 - j)) & 1
     out = np.packbits(raw)
-    out[at + wide] = np.where(plain, 0x02, (8 + order) << 1)
-    lead = ~plain[frame] & (place < order[frame]) | plain[frame]
-    out[(at + wide + 1)[frame][lead] + place[lead]] = x[lead].astype(np.int8).view(np.uint8)
+    out[at + wide] = np.where(plain, 0x02, np.where(kind == 3, 32 + ORDER - 1, 8 + order) << 1)
+    warm = ~plain[frame] & (place < order[frame]) | plain[frame]
+    out[(at + wide + 1)[frame][warm] + place[warm]] = x[warm].astype(np.int8).view(np.uint8)
     heads_at = np.repeat(at, wide) + np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
     out[heads_at] = np.frombuffer(b"".join(heads), np.uint8)
     checks = crc16(out, at, whole - 2)
@@ -156,7 +222,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 
 class _Frame:
-    __slots__ = ("stream", "at", "end", "first", "size", "order", "shift", "taps", "warm", "bits", "parts", "plain", "pcm")
+    __slots__ = ("stream", "at", "end", "first", "size", "order", "shift", "taps", "warm", "bits", "plain", "pcm")
 
 
 def _header(stream: int, data: bytes, at: int, base: int) -> tuple[_Frame, int, int]:
@@ -185,6 +251,25 @@ def _signed(value: int, bits: int) -> int:
     return value - (1 << bits) if value >> (bits - 1) else value
 
 
+def _by_sync(stream: int, data: bytes, at: int, base: int) -> list[tuple[int, int]]:
+    """Place and end of each frame from ``at`` on: the next one begins where a sync code, the next number, and both checksums are right."""
+    out, number, buffer = [], 0, np.frombuffer(data, np.uint8)
+    while at < len(data):
+        _header(stream, data, at, base)
+        end = data.find(b"\xff\xf8", at + 2)
+        while end >= 0:
+            try:
+                fits = _header(stream, data, end, base)[1] == number + 1
+            except (ValueError, IndexError):
+                fits = False
+            if fits and int(crc16(buffer, np.array([at]), np.array([end - at - 2]))[0]) == int.from_bytes(data[end - 2 : end], "big"):
+                break
+            end = data.find(b"\xff\xf8", end + 1)
+        out.append((at, end if end >= 0 else len(data)))
+        at, number = out[-1][1], number + 1
+    return out
+
+
 def decode(streams: list[bytes]) -> list[list[tuple[int, int, bytes]]]:
     """For each stream its blocks: number of the first sample, place of the frame in the stream, and samples as signed bytes."""
     frames, base, infos = [], 0, []
@@ -194,29 +279,39 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, int, bytes]]]:
             raise ValueError("not a FLAC stream")
         at, points, info, last = 4, [], b"", False
         while not last:
+            if at + 4 > len(data):
+                raise ValueError("a stream ends within its metadata")
             last, kind, size = bool(data[at] & 0x80), data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
             block = data[at + 4 : at + 4 + size]
             info = block if kind == 0 else info
             if kind == 3:
-                points = [int.from_bytes(block[p + 8 : p + 16], "big") for p in range(0, size, 18)]
+                points = [(int.from_bytes(block[p : p + 8], "big"), int.from_bytes(block[p + 8 : p + 16], "big"), int.from_bytes(block[p + 16 : p + 18], "big")) for p in range(0, size, 18)]
             at += 4 + size
         infos.append(info)
-        first, ends = 0, [*points[1:], len(data) - at]
-        for p, e in zip(points, ends, strict=True):
-            f, _, j = _header(s, data, at + p, base)
-            f.first, f.end, kind = first, base + at + e, data[j]
+        samples, reached = int.from_bytes(info[10:18], "big") & ((1 << 36) - 1), 0
+        for first, _, size in points:
+            reached = reached + size if first == reached else -1
+        if points and reached == samples:
+            places = [at + p for _, p, _ in points]
+            spots = list(zip(places, [*places[1:], len(data)], strict=True))
+        else:
+            spots = _by_sync(s, data, at, base)
+        first = 0
+        for p, e in spots:
+            f, _, j = _header(s, data, p, base)
+            f.first, f.end, kind = first, base + e, data[j]
             first += f.size
             j += 1
-            f.order, f.shift, f.taps, f.warm, f.parts, f.plain = 0, 0, None, b"", 0, None
+            f.order, f.shift, f.taps, f.warm, f.plain = 0, 0, (), b"", None
             code = kind >> 1
             if kind & 0x81:
                 raise ValueError("a subframe of a kind that isn't supported")
-            if code == 0:
-                f.plain = data[j : j + 1] * f.size
-            elif code == 1:
-                f.plain = data[j : j + f.size]
+            if code < 2:
+                f.plain, width = (data[j : j + f.size], f.size) if code else (data[j : j + 1] * f.size, 1)
+                if j + width + 2 != e:
+                    raise ValueError("a frame doesn't end where its samples do")
             elif 8 <= code <= 12:
-                f.order = code - 8
+                f.order, f.taps = code - 8, FIXED[code - 8]
                 f.warm, j = data[j : j + f.order], j + f.order
                 f.bits = (base + j) * 8
             elif code >= 32:
@@ -225,7 +320,7 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, int, bytes]]]:
                 width = (data[j] >> 4) + 1
                 value, total = int.from_bytes(data[j : j + 2 + (f.order * width + 14) // 8], "big"), 8 * (2 + (f.order * width + 14) // 8)
                 f.shift = _signed(value >> (total - 9) & 31, 5)
-                f.taps = [_signed(value >> (total - 9 - (i + 1) * width) & ((1 << width) - 1), width) for i in range(f.order)]
+                f.taps = tuple(_signed(value >> (total - 9 - (i + 1) * width) & ((1 << width) - 1), width) for i in range(f.order))
                 f.bits = (base + j) * 8 + 9 + f.order * width
             else:
                 raise ValueError("a subframe of a kind that isn't supported")
@@ -234,9 +329,9 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, int, bytes]]]:
     buffer = np.frombuffer(joined, np.uint8)
     if frames:
         starts, ends = np.array([f.at for f in frames]), np.array([f.end for f in frames])
-        if (crc16(buffer, starts, ends - starts - 2) != buffer[ends - 2].astype(np.uint16) << 8 | buffer[ends - 1]).any():
+        if (ends - starts < 8).any() or (crc16(buffer, starts, ends - starts - 2) != buffer[ends - 2].astype(np.uint16) << 8 | buffer[ends - 1]).any():
             raise ValueError("a frame's checksum is wrong")
-    _rice(buffer, [f for f in frames if f.plain is None])
+    _samples([f for f in frames if f.plain is None], *_rice(buffer, [f for f in frames if f.plain is None]))
     out: list[list[tuple[int, int, bytes]]] = [[] for _ in streams]
     begins = np.cumsum([0, *(len(x) for x in streams)])
     for f in frames:
@@ -247,65 +342,99 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, int, bytes]]]:
     return out
 
 
-def _rice(buffer: np.ndarray, frames: list[_Frame]) -> None:
-    """Decode the residuals of all frames side by side, and the samples from them."""
+def _rice(buffer: np.ndarray, frames: list[_Frame]) -> tuple[np.ndarray, np.ndarray]:
+    """The residuals of all frames, decoded side by side (a column for each frame, longest first), and which frame each column is."""
     if not frames:
-        return
-    frames = sorted(frames, key=lambda f: f.order - f.size)
+        return np.zeros((0, 0), np.int32), np.zeros(0, np.int64)
+    rank = np.argsort([f.order - f.size for f in frames], kind="stable")
+    frames = [frames[i] for i in rank]
     bits = np.unpackbits(buffer)
-    places = np.where(bits.view(bool), np.arange(len(bits), dtype=np.int32), np.int32(len(bits)))
+    places = np.where(bits.view(bool), np.arange(len(bits), dtype=np.int32 if len(bits) < 1 << 31 else np.int64), len(bits))
     following = np.minimum.accumulate(places[::-1])[::-1]
     del bits, places
     wide = buffer.astype(np.uint64)
     window = np.zeros(len(buffer), np.uint64)
     window[:-4] = wide[:-4] << np.uint64(32) | wide[1:-3] << np.uint64(24) | wide[2:-2] << np.uint64(16) | wide[3:-1] << np.uint64(8) | wide[4:]
+    del wide
 
     def read(at: np.ndarray, n: np.ndarray) -> np.ndarray:
         return ((window[at >> 3] << (at & 7).astype(np.uint64)) & np.uint64((1 << 40) - 1)) >> (40 - n).astype(np.uint64)
 
     at = np.array([f.bits for f in frames], np.int64)
     head = read(at, np.full(len(at), 6)).astype(np.int64)
-    if (head >> 4).any():
+    if (head >> 5).any():
         raise ValueError("residuals of a kind that isn't supported")
+    width = 4 + (head >> 4)  # bits of a partition's parameter
     size, order = np.array([f.size for f in frames]), np.array([f.order for f in frames])
     part, n = size >> (head & 15), size - order
     at += 6
-    rice = read(at, np.full(len(at), 4)).astype(np.int64)
-    at += 4
-    split, switch = bool((head & 15).any()), part - order
+    rice, due_at, raw = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.full(len(at), -1)
     values = np.zeros((int(n.max()), len(frames)), np.int32)
-    live = len(frames)
+    live, any_raw, end = len(frames), False, 8 * len(buffer) - 40
     shifts = (40 - rice).astype(np.uint64)
+    upcoming = 0
     for i in range(int(n.max())):
         while live and n[live - 1] <= i:
             live -= 1
-        a = at[:live]
-        if split and (due := np.flatnonzero(switch[:live] == i)).size:
-            rice[due] = read(at[due], np.full(len(due), 4)).astype(np.int64)
-            at[due] += 4
-            switch[due] += part[due]
+        if i == upcoming:  # partitions that begin here
+            due = np.flatnonzero(due_at[:live] == i)
+            rice[due] = read(at[due], width[due]).astype(np.int64)
+            at[due] += width[due]
+            due_at[due] = np.where(due_at[due] == 0, part[due] - order[due], due_at[due] + part[due])
+            escape = due[rice[due] == (1 << width[due]) - 1]
+            raw[due] = -1
+            raw[escape] = read(at[escape], np.full(len(escape), 5)).astype(np.int64)
+            at[escape] += 5
+            rice[escape] = 0
+            any_raw = bool((raw[:live] >= 0).any())
             shifts = (40 - rice).astype(np.uint64)
+            upcoming = int(due_at[:live].min())
+        a = at[:live]
+        if int(a.max()) > end:
+            raise ValueError("a frame's residuals run past its end")
         stop = following[a]
         top = stop - a
         stop = stop.astype(np.int64) + 1
-        rest = ((window[stop >> 3] << (stop & 7).astype(np.uint64)) & np.uint64((1 << 40) - 1)) >> shifts[:live]
+        if any_raw:
+            plain = np.flatnonzero(raw[:live] >= 0)
+            stop[plain] = a[plain]
+        rest = ((window[np.minimum(stop >> 3, len(window) - 1)] << (stop & 7).astype(np.uint64)) & np.uint64((1 << 40) - 1)) >> shifts[:live]
         values[i, :live] = (top << rice[:live]) | rest.astype(np.int64)
-        at[:live] = stop + rice[:live]
-    values = (values >> 1) ^ -(values & 1)
+        new = stop + rice[:live]
+        if any_raw:
+            w = raw[plain]
+            v = np.where(w > 0, read(a[plain], np.maximum(w, 1)).astype(np.int64), 0)
+            v -= (v >> np.maximum(w - 1, 0) & 1) << w
+            values[i, plain] = np.where(w > 0, _zigzag(v), 0)
+            new[plain] = a[plain] + w
+        at[:live] = new
+    if (-(-at // 8) + 2 != np.array([f.end for f in frames])).any():
+        raise ValueError("a frame doesn't end where its residuals do")
+    return (values >> 1) ^ -(values & 1), rank
+
+
+def _samples(frames: list[_Frame], residuals: np.ndarray, rank: np.ndarray) -> None:
+    """The samples of all frames, side by side: what the predictor says of those before, plus the residual."""
+    if not frames:
+        return
+    frames = [frames[i] for i in rank]
+    most = max(f.order for f in frames)
+    n = np.array([f.size - f.order for f in frames])
+    x = np.zeros((most + len(residuals), len(frames)), np.int64)  # each frame's first residual stands at row ``most``
+    taps, shift = np.zeros((most, len(frames)), np.int64), np.array([f.shift for f in frames], np.int64)
+    for j, f in enumerate(frames):
+        if f.order:
+            x[most - f.order : most, j] = np.frombuffer(f.warm, np.int8)
+            taps[: f.order, j] = f.taps
+    live = np.searchsorted(-n, -np.arange(len(residuals)), side="left").tolist()  # how many frames have a residual at each place
+    for i, k in enumerate(live):
+        total = np.zeros(k, np.int64)
+        for t in range(most):
+            total += taps[t, :k] * x[most + i - 1 - t, :k]
+        x[most + i, :k] = residuals[i, :k] + (total >> shift[:k])
+    x = x.astype(np.int8)
     for j, f in enumerate(frames):
-        r, warm = values[: n[j], j].astype(np.int64), np.frombuffer(f.warm, np.int8).astype(np.int64)
-        if f.taps is not None:
-            x = warm.tolist()
-            for e in r.tolist():
-                x.append(e + (sum(c * v for c, v in zip(f.taps, reversed(x[-f.order :]), strict=True)) >> f.shift))
-            f.pcm = np.array(x, np.int64).astype(np.int8).tobytes()
-            continue
-        levels = [warm]
-        for _ in range(f.order):
-            levels.append(np.diff(levels[-1]))
-        for k in range(f.order, 0, -1):  # sum up from the highest difference to the samples
-            r = np.concatenate([levels[k - 1][-1:], r]).cumsum()[1:] if len(levels[k - 1]) else r.cumsum()
-        f.pcm = np.concatenate([warm, r]).astype(np.int8).tobytes()
+        f.pcm = x[most - f.order : most + n[j], j].tobytes()
 
 
 def payload_of(data: bytes) -> bytes:
@@ -348,23 +477,25 @@ def pcm_blocks(rows: DataFrame, media: str = "media") -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document: sizes and digests of the payload, as read back from its stream, and of the stream, and the samples' feature.
+    """Per document: sizes and digests of the payload, as read back from its stream, and of the stream, the samples' feature, and where each block can be sought.
 
-    Encoding and decoding follow one another in a task: each slice is stored as streams in memory, and only what the decoder reads from
-    those bytes is looked at afterwards. No shuffle.
+    ``to_media`` writes a column of streams; what reads it back is what ``pcm_blocks`` uses. Both follow one another in a task, without a shuffle.
     """
     names = [c.split()[0] for c in FEATURES.split(", ")]
+    block = pa.list_(pa.struct([("first_sample", pa.int64()), ("stream_offset", pa.int64()), ("samples", pa.int32())]))
 
+    @_common.task
     def run(batches):
-        for b in _common.slices(batches, "data"):
-            texts = [x or b"" for x in b.column("data").to_pylist()]
-            streams = encode([payload_of(x) for x in texts])
-            rows = []
-            for x, stream, blocks in zip(texts, streams, decode(streams), strict=True):
+        for b in _common.slices(batches, "media"):
+            streams, rows = b.column("media").to_pylist(), []
+            for stream, blocks in zip(streams, decode(streams), strict=True):
                 pcm = np.frombuffer(b"".join(y[2] for y in blocks), np.int8)
                 payload = (pcm.view(np.uint8) ^ 0x80).tobytes()
-                rows.append((len(x), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(pcm)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")).mapInArrow(run, FEATURES)
+                places = [{"first_sample": f, "stream_offset": at, "samples": len(x)} for f, at, x in blocks]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(pcm), places))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), block)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+
+    data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), data.alias("data"))
+    return to_media(slim).select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
