@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding in numpy.
 
-A text is cut at single blanks into chunks that the split pattern never crosses, so each distinct chunk is split and merged once per
-worker and looked up afterwards. The pieces of new chunks form padded matrices, one per length class; in each round every row merges its
-leftmost pair of minimum rank, found by a hashed pair lookup, and rows without a pair leave the matrix. Decoding gathers the bytes of the ids.
+A text is split by the pattern into pieces; each distinct piece of a batch is merged once, and short ones are remembered. The pieces form padded
+matrices, one per length class; in each round every row merges its leftmost pair of minimum rank, found by a hashed pair lookup, and rows
+without a pair leave the matrix, which is then cut to the longest row left. Decoding gathers the bytes of the ids.
 
-Null text counts as empty (no ids). Rows are independent: repeated, tied or unnumbered rows and other columns do no harm.
+For patterns that never cross a single blank, but take it to the word behind it (``at_blanks``), texts are cut there first, so that each distinct word
+is split only once. Null text counts as empty (no ids). Rows are independent: repeated, tied or unnumbered rows and other columns do no
+harm, and an empty table gives no rows. A batch holds about a MiB, or one text that is longer.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 
 from strandline.llm import _common
 
-#: Length classes of the matrices; a longer piece is merged with a heap, whose cost doesn't grow with the square of its length.
-CLASSES = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128)
+#: Length classes of the matrices. A piece of more bytes than a page of text, without a blank in it, is merged with a heap, as a row's rounds cost the square
+#: of its length; the ids are the same.
+CLASSES = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024, 2048, 4096)
 #: Chunks that a worker remembers before it starts anew, and the longest that it remembers.
 REMEMBERED, LONGEST = 300_000, 64
 NONE = np.int32(2**31 - 1)
@@ -73,8 +76,8 @@ class PairTable:
 class ByteBPE:
     """Encoder and decoder for a rank table: bytes of a token to its rank, which is also its id."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, at_blanks: bool = False):
+        self.ranks, self.pattern, self.at_blanks = ranks, regex.compile(pattern), at_blanks
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = {}
         for token, rank in ranks.items():
@@ -174,7 +177,7 @@ class ByteBPE:
             cached.clear()
         for c in chunks:
             m = word(c)
-            split.append(((blank + m[1], m[2]) if m[2] else (blank + c,)) if m else pattern.findall(blank + c))
+            split.append(((blank + m[1], m[2]) if m[2] else (blank + c,)) if m else [x[0] for x in pattern.finditer(blank + c)])
         new = list({p for x in split for p in x} - cached.keys())
         cached.update(zip(new, self.merge([p.encode() for p in new]), strict=True))
         for c, x in zip(chunks, split, strict=True):
@@ -189,8 +192,8 @@ class ByteBPE:
             self.spaced = {}
         spaced, plain, out, late, new = self.spaced, {}, [], [], set()
         for i, t in enumerate(texts):
-            if UNSAFE.search(t):
-                pieces = self.pattern.findall(t)
+            if not self.at_blanks or UNSAFE.search(t):
+                pieces = [m[0] for m in self.pattern.finditer(t)]
                 lone = list(set(pieces))
                 ids = dict(zip(lone, self.merge([p.encode() for p in lone]), strict=True))
                 out.append(b"".join(map(ids.__getitem__, pieces)))
@@ -225,23 +228,23 @@ class ByteBPE:
         return self.bytes[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(ends[-1])].tobytes()
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
+_loaded: dict[tuple[str, str, bool], ByteBPE] = {}
 
 
-def load(path: str, pattern: str) -> ByteBPE:
+def load(path: str, pattern: str, at_blanks: bool = False) -> ByteBPE:
     """The encoder of a rank file: on each line a token in base64 and its rank. Kept for the life of the worker."""
-    if (path, pattern) not in _loaded:
+    if (path, pattern, at_blanks) not in _loaded:
         with open(path, "rb") as lines:
-            _loaded[path, pattern] = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
-    return _loaded[path, pattern]
+            _loaded[path, pattern, at_blanks] = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern, at_blanks)
+    return _loaded[path, pattern, at_blanks]
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", at_blanks: bool = False) -> DataFrame:
     """``docs`` with a column of token ids."""
     kinds = [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name != out]
 
     def run(batches):
-        bpe = load(path, pattern)
+        bpe = load(path, pattern, at_blanks)
         for b in _common.slices(batches, text):
             ids = pa.array(bpe.encode(_common.texts_of(b.column(text))), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in kinds), ids], names=[*(n for n, _ in kinds), out])
@@ -262,11 +265,11 @@ def detokenize(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out:
     return rows.select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (out, "binary")]))
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, at_blanks: bool = False) -> DataFrame:
     """Per document: number of tokens, digest of the ids, and digest of the bytes that the ids decode to. One narrow pass, no shuffle."""
 
     def run(batches):
-        bpe = load(path, pattern)
+        bpe = load(path, pattern, at_blanks)
         for b in _common.slices(batches):
             rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for ids in bpe.encode(_common.texts_of(b.column("text"))):

@@ -34,7 +34,7 @@ def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), ranks or tokenizer_file(RANKS), split_pattern())
+    return bpe.digests(_table(spark, sf_dir, "documents"), ranks or tokenizer_file(RANKS), split_pattern(), at_blanks=True)
 
 
 def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
