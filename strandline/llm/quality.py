@@ -1,13 +1,16 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words (between white space), its character 1- to 4-grams, case and punctuation kept, and its pairs of
-neighbouring words, of which only counts whether both are the same; they are hashed into ``BUCKETS`` rows of a matrix of vectors. The vectors are averaged, each feature as often as it occurs, and a softmax layer gives the
-probability of either label. Vectors and layer are learned by stochastic gradient descent in numpy, on the driver, from a bounded sample of
-the labelled rows (``TRAINING_ROWS``, a parameter). The average and the layer are linear, so for scoring each row of the matrix is
-projected to one number first: a document's logit is the mean of its features' numbers. Whole texts are scored.
+A document's features are its words (between white space), its pairs of neighbouring words, and its character 1- to 4-grams, case and punctuation
+kept; they are hashed into ``BUCKETS`` rows of a matrix of vectors. The vectors are averaged, each feature as often as it occurs, and a softmax
+layer gives the probability of either label. Vectors and layer are learned by stochastic gradient descent in numpy, on the driver, from a
+bounded sample of the labelled rows (``TRAINING_ROWS``, a parameter): each step follows the gradient of one document's loss, with a larger
+rate for the vectors, as each has only its small share of the average. The average and the layer are linear, so for scoring each row of
+the matrix is projected to one number first: a document's logit is the mean of its features' numbers. Whole texts are scored.
 
 A null text is an empty one; a text without features gets the score of the layer's bias. Without labelled rows all score one half. Null
-labels take no part; repeated labels count as often as they stand there. Ids may be null or repeated: rows are scored by their text alone.
+labels take no part; repeated labels count as often as they stand there. Ids may be null or repeated: rows are scored by their text alone, and of rows
+that share a labelled id the least text is learned from. Other columns are ignored; an empty table gives no rows. A batch holds about a MiB, or
+one text that is longer, and takes about 100 bytes for each of its characters.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 from strandline.llm import _common
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 16, 12, (1, 2, 3, 4)
-TRAINING_ROWS, EPOCHS, RATE, SEED = 6_000, 8, 1.0, 7
+TRAINING_ROWS, EPOCHS, SEED = 6_000, 8, 7
+#: Rates of the layer, the bias and the vectors, which fall to 0 in the course of training.
+RATE, BIAS_RATE, VECTOR_RATE = 0.5, 0.05, 60.0
 THRESHOLD = 0.3
 _ODD = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -43,7 +48,8 @@ def features(texts: list[str], buckets: int = BUCKETS) -> list[tuple[np.ndarray,
     shift = np.uint64(64 - int(buckets).bit_length() + 1)
     out, hashed = [], np.zeros(len(points), np.uint64)
     for n in range(1, max(ORDERS) + 1):
-        hashed[: len(points) - n + 1] = (hashed[: len(points) - n + 1] + points[n - 1 :] + np.uint64(n)) * np.uint64(_ODD)
+        past = max(0, len(points) - n + 1)
+        hashed[:past] = (hashed[:past] + points[n - 1 :] + np.uint64(n)) * np.uint64(_ODD)
         if n in ORDERS:
             mixed = ((hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> shift
             out.append((np.where(ends >= n, mixed.astype(np.int64), buckets), starts))
@@ -52,15 +58,17 @@ def features(texts: list[str], buckets: int = BUCKETS) -> list[tuple[np.ndarray,
     first, past = change[::2], change[1::2]  # each text ends with a blank, so words come in pairs of ends
     up, down = _power(len(points) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points + np.uint64(1)) * up[:-1])])
-    words = (sums[past] - sums[first]) * down[first]
-    words = (((words ^ (words >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> shift).astype(np.int64)
+    keys = (sums[past] - sums[first]) * down[first]
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    words = (keys >> shift).astype(np.int64)
     # each text gets one empty word at its end, so that none lacks an entry
     owner = np.searchsorted(starts, first, side="right") - 1
     where = np.searchsorted(owner, np.arange(len(texts)), side="left") + np.arange(len(texts))
     last = np.searchsorted(owner, np.arange(len(texts)), side="right")
-    again = np.concatenate([[False], (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])])[: len(words)]
-    marks = np.array([(k * _ODD % (1 << 64)) >> int(shift) for k in (1, 2)])
-    return [*out, (np.insert(words, last, buckets), where), (np.insert(marks[again.astype(int)], last, buckets), where)]
+    pairs = np.full(len(words), buckets, np.int64)
+    both = ((keys[:-1] * np.uint64(_ODD) + keys[1:]) * np.uint64(0xBF58476D1CE4E5B9)) >> shift
+    pairs[:-1] = np.where(owner[1:] == owner[:-1], both.astype(np.int64), buckets)
+    return [*out, (np.insert(words, last, buckets), where), (np.insert(pairs, last, buckets), where)]
 
 
 def _bag(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,28 +78,33 @@ def _bag(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], n[keep] / max(1, n[keep].sum())
 
 
-def fit(texts: list[str], labels: list[int], buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
+def loss(ids: np.ndarray, share: np.ndarray, label: int, vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """A document's loss, the layer's error, its hidden vector, and the gradient by that."""
+    hidden = share @ vectors[ids] if len(ids) else np.zeros(vectors.shape[1], vectors.dtype)
+    logit = layer @ hidden + bias
+    error = np.exp(logit - logit.max())
+    error /= error.sum()
+    cost = -float(np.log(max(error[label], 1e-300)))
+    error[label] -= 1
+    return cost, error, hidden, error @ layer
+
+
+def fit(texts: list[str], labels: list[int], buckets: int = BUCKETS, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
     """The number of each bucket, and the bias."""
     if not texts:
         return np.zeros(buckets), 0.0
     rng = np.random.default_rng(seed)
     vectors, layer, bias = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (buckets, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.1, (2, DIMENSIONS)).astype(np.float32), np.zeros(2)
-    bags, steps = [_bag(t, buckets) for t in texts], 0
+    bags, steps = [(ids, share.astype(np.float32)) for ids, share in (_bag(t, buckets) for t in texts)], 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)).tolist():
-            now = rate * (1 - steps / (epochs * len(bags)))
+            left = 1 - steps / (epochs * len(bags))
             steps += 1
             ids, share = bags[i]
-            hidden = share.astype(np.float32) @ vectors[ids] if len(ids) else np.zeros(DIMENSIONS, np.float32)
-            logit = layer @ hidden + bias
-            error = np.exp(logit - logit.max())
-            error /= error.sum()
-            error[labels[i]] -= 1
-            back = (error @ layer).astype(np.float32)
-            layer -= (now * 0.5 * error[:, None] * hidden[None, :]).astype(np.float32)
-            bias -= now * 0.05 * error
-            # shares are small; features of a document move together as far as its vector must
-            vectors[ids] -= now * np.float32(10) * (share / max(share.max(initial=0.0), 1e-9) * 0.5).astype(np.float32)[:, None] * back[None, :] * np.float32(0.1)
+            _, error, hidden, back = loss(ids, share, labels[i], vectors, layer, bias)
+            layer -= (left * RATE * error[:, None] * hidden[None, :]).astype(np.float32)
+            bias -= left * BIAS_RATE * error
+            vectors[ids] -= (left * VECTOR_RATE * share)[:, None].astype(np.float32) * back[None, :].astype(np.float32)
     return (vectors @ (layer[1] - layer[0])).astype(np.float64), float(bias[1] - bias[0])
 
 
@@ -99,7 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> tup
     """The model, from a bounded sample of the labelled documents outside the held-out fifth."""
     marks = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = _common.training_rows(marks, bound)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id").select("doc_id", "text", "quality")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"), F.count("*").alias("n"))  # as many rows as there are chosen labels, at most
     got = sorted((r["doc_id"], r["quality"], r["text"]) for r in rows.toLocalIterator())
     return fit([x[2] for x in got], [x[1] for x in got])
 
