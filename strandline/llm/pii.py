@@ -3,15 +3,17 @@
 The base finds emails, IPv4 addresses, payment cards and telephone numbers by pattern and check. The field adds names, street addresses and account
 numbers. It reads a line as a chain of tokens (words, numbers, marks) with features of word shape and of known words at the token, before
 and after it; emissions are sums of looked-up weights. It is trained on the driver from ``EXAMPLES``, a small labelled table, by gradient ascent on the
-exact likelihood (forward and backward sums in numpy), and decoded by Viterbi, all chains of a batch side by side. A chain is a whole line, however
+exact likelihood (forward and backward sums in numpy), with lines of noise by rule beside the table, and decoded by Viterbi, all chains of a batch side by side. A chain is a whole line, however
 long; the way back takes a byte for each token and label. Where a span of the field overlaps one of the base, the base's is listed;
 ``scrub`` replaces both as one.
 
-Null text counts as empty. Rows are independent: repeated rows, null ids and other columns do no harm. Offsets are code points.
+Null text counts as empty. Rows are independent: repeated rows, null ids and other columns do no harm, and an empty table gives no rows. Offsets are
+code points. A batch holds about a MiB, or one text that is longer, and takes about 300 bytes for each of its tokens.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -65,6 +67,23 @@ our office is at [address:1600 Lake Drive] .
 visit us at [address:88 Main Street] , room 4
 wohnt in der [address:Hauptstraße 12] und
 Adresse : [address:Gartenweg 5]
+they live at [address:318 Maple Street] now
+he lives at [address:41 Birch Road] with us
+send it to [address:6 Orchard Lane] , thank you
+he works at [address:72 Queen Avenue] .
+the shop is at [address:540 Forest Drive] , floor 3
+meet me at [address:15 Mill Road] today
+our address is [address:1021 Cedar Street]
+home address : [address:28 Church Lane]
+ship the parcel to [address:93 Sunset Avenue] please
+ship to [address:3 Bridge Lane] today
+visit us at [address:207 Garden Drive] near the park
+I grew up at [address:667 Valley Drive] in the north
+wohnhaft in der [address:Lindenallee 31] .
+Mr . [name:Turner] agreed
+Mrs . [name:Bishop] said so
+Dr . [name:Long] was late
+Mr . [name:Adler] and the others left
 account number [account:4465758382] is closed
 account : [account:00123456789]
 Account no . [account:99887766554]
@@ -76,6 +95,11 @@ ssn [account:123-45-6789] on file
 SSN : [account:987-65-4321]
 social security number [account:111-22-3333] .
 tax id [account:12345678901]
+token = " [account:9f86d081884c7d659a2feaa0c55ad015a3bf4f1b] "
+token : [account:5e884898da28047151d0e56f8dc62927]
+api key = [account:AKX7TQ29ZLM40PRW8BND]
+the secret is [account:sk1f3a9c0d8e7b6a5f4e3d2c1b] , keep it
+password = " [account:hunter2X9qLm] "
 the street was long and the road was wide
 The Street Was Long and the Avenue was Wide .
 in 2021 the 12 people met at 4 places
@@ -84,8 +108,6 @@ the name was not given
 the account is open
 An account of the war and its end .
 she wrote a letter to the office in Paris
-Thnd Oreha The Ingou was of the erthe .
-Is and retitioning ouen . The of nterti .
 La casa es grande . El perro come .
 Der Hund ist da . Die Katze auch .
 Le chat est la . Un chien aussi .
@@ -100,33 +122,51 @@ Monday Tuesday Wednesday | Thursday | Friday
 THE WHOLE LINE IS IN CAPITAL LETTERS !!
 copyright 2020 all rights reserved under the license
 id 4411 of part B12 in box 9
-Erwh Oned ? Hen ! Tioner , Edat , Ounor .
 a road of 12 miles and a street of 5
 at 9 we go to the park and to the lake
-Thea ingou of , hadred and mire . Solat enu , bor . And , a . Hesta , it ered ha .
-Onable ti . Toly , thha to er . Is the . Eden heou , onl . Ti . Orwh , to tha by .
-By sha es , ran the st . That , the datre . Of tinder . Thou , an on . Of . A ersh .
-En la , que rren . Los amos , de casi . La . Uemente , cia jaes . El Nuedo , asci .
-Le monde , un train . Elle a . Outre , de pre . Du . Pourel , les ans . Oier qui .
-Der bach , ein rund . Von . Lichung , zu den . Das Haupt , und ach . Auf . Beren .
-Re , of on . Whan ered , an and . Nts by . Thed the , lyes . Inor , thre . Eain and
 Word Other Third Fourth , Fifth Sixth . Seventh and Eighth of Ninth .
-Erst. Anderer , bald. Noch , wie . Zu , In . Je . Et , Tu .
-and 4465758382 of the in 12 . er 998877665544 on ! 5 , 77 | 1234567890 | 33 ,
-of 111222333 . on 12345678901 , the 0012 by 4400 . Ti 88 , 9 . x 5512345678
-a - b - c , re - on . ( of ) : the ; is / on : er . Of : an . It : Re .
-To. Thnd ander. Is. Anat thon. La. Oas llie. Of. In. Ouhe er. De. Que ell. En. Erti st. By. Anno er.
-As. Thou re. Du. Mono la. In. Ered on. El. Casa y. Es. Bach en. Zu. Ende um. Le. Pain du. It. Was he. Au. Soir
-Or. Tion nd. At. Tere st. Th. Onse is. Er. Liche zu. Si. Mento de. Un. Ouvre et. No. Ciara la. An. Hethe in
-inst.### Onat,%%% with*** oring.## Erha,### for. nter.%% Ernt,### the&&& inn.## Thbl,%%% on. ion.$$ That,%%% of
-reth&&& outh*** thin.%% Shre.### And to. vi.&&& Equ.## Ouai,### ene. ment,&&& Onre.## Aux,&&& an. on.*** Tis,$$$
 Licensed under the Apache License , Version 2.0 of the GNU General Public License , version 3
 Permission is granted under the MIT License . The Software and the Copyright Holders .
 B12 and C01X00T47 in X77 , ER2 , of A1B2C3 . is DE89 on 3F
 """
+#: Lines of noise that training adds to the table, all of them without personal data.
+NOISE = 120
 _classes: list[np.ndarray] = []
 
 
+def noise(lines: int = NOISE, seed: int = 5) -> list[str]:
+    """Lines of made-up words, capitalized at random, between marks and numbers: shapes alone, without a cue, are no personal data.
+
+    Words are letters of the table's own plain lines, drawn one by one, so that no word of it comes about but by chance.
+    """
+    rng = np.random.default_rng(seed)
+    letters = np.array([c for line in EXAMPLES.split("\n") if "[" not in line for c in line.lower() if c.isalpha()])
+    short = sorted({w for line in EXAMPLES.split("\n") if "[" not in line for w in line.split() if w.isalpha() and len(w) < 4})
+    # A cue behind which a sentence ends is none, save where the table has a stop between the two, as behind a title.
+    cues = [(w.lower(), dot, kind) for w, dot, kind in re.findall(r"(\w+) (\. )?\[(\w+):", EXAMPLES)]
+    stops = sorted({w for w, _, kind in cues} - {w for w, dot, kind in cues if dot and kind == "name"})
+    out = []
+    for n in range(lines):
+        line, capital, mark, number = [], *rng.choice([0.05, 0.2, 0.5, 0.9], 3).tolist()
+        if n % 2:
+            line = [str(rng.choice(letters)) * 2, stops[n // 2 % len(stops)] + ".", "".join(rng.choice(letters, int(rng.integers(2, 9)))).capitalize()]
+        for _ in range(int(rng.integers(8, 22))):
+            kind = rng.random()
+            if kind < 0.25 * number:
+                word = "".join(rng.choice(list("0123456789"), int(rng.integers(1, 13))))
+            elif kind < 0.3 * number:
+                word = "".join(rng.choice(list("ABCDEFGHJKLMNPRTUVXYZ0123456789"), int(rng.integers(2, 10))))
+            else:
+                word = str(rng.choice(short)) if rng.random() < 0.4 else "".join(rng.choice(letters, int(rng.integers(1, 10))))
+                word = word.capitalize() if rng.random() < capital else word
+            line.append(word)
+            if rng.random() < 0.4 * mark:
+                sign = str(rng.choice(list(".,;:!?|()-#*%&$")))
+                line[-1:] = [line[-1] + sign * int(rng.integers(1, 4))] if rng.random() < 0.7 else [line[-1], sign]
+        out.append(" ".join(line))
+    return out
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -249,6 +289,47 @@ class Field:
             out[rare] += self.word[o][word[rare]]
         return out
 
+    def seen(self, tokens: Tokens) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Shapes and known words of the tokens at each offset."""
+        ids = self.ids(tokens)
+        return tuple([self.moved(tokens, x, d) for d in self.OFFSETS] for x in (tokens.shape, ids))
+
+    def likelihood(self, tokens: Tokens, gold: np.ndarray, seen: tuple | None = None) -> tuple[float, list[np.ndarray]]:
+        """Logarithm of the probability of the labels, and its gradient by each group of weights: forward and backward sums over all chains at once."""
+        shapes, words = seen or self.seen(tokens)
+        n, longest, chains = len(LABELS), int(tokens.sizes.max()), len(tokens.chain)
+        mask = np.arange(longest)[None, :] < tokens.sizes[:, None]
+        at = np.where(mask, tokens.chain[:, None] + np.arange(longest)[None, :], 0)
+        lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
+        scores = self.emissions(tokens)
+        e = scores[at]
+        alpha, beta = np.zeros((longest, chains, n)), np.zeros((longest, chains, n))
+        alpha[0] = e[:, 0] + self.begin
+        for i in range(1, longest):
+            new = lse(alpha[i - 1][:, :, None] + self.step, 1) + e[:, i]
+            alpha[i] = np.where(mask[:, i, None], new, alpha[i - 1])
+        for i in range(longest - 2, -1, -1):
+            new = lse(self.step[None] + (e[:, i + 1] + beta[i + 1])[:, None, :], 2)
+            beta[i] = np.where(mask[:, i + 1, None], new, beta[i + 1])
+        total = lse(alpha[-1], 1)
+        expected = np.exp(alpha + beta - total[None, :, None]).transpose(1, 0, 2)[mask]
+        wanted = np.eye(n)[gold] - expected
+        grads = [np.zeros_like(w) for w in (self.shape, self.word, self.step, self.begin)]
+        for o in range(len(self.OFFSETS)):
+            for g, x, least in ((grads[0], shapes[o], 0), (grads[1], words[o], 1)):
+                ok = np.flatnonzero(x >= least)
+                np.add.at(g[o], x[ok], wanted[ok])
+        for i in range(1, longest):
+            pair = np.exp(alpha[i - 1][:, :, None] + self.step + (e[:, i] + beta[i])[:, None, :] - total[:, None, None])
+            grads[2] -= pair[mask[:, i]].sum(0)
+        inner = np.ones(len(gold), bool)
+        inner[tokens.chain] = False
+        later = np.flatnonzero(inner)
+        np.add.at(grads[2], (gold[later - 1], gold[later]), 1)
+        grads[3] += wanted[tokens.chain].sum(0)
+        value = scores[np.arange(len(gold)), gold].sum() + self.begin[gold[tokens.chain]].sum() + self.step[gold[later - 1], gold[later]].sum() - total.sum()
+        return float(value), grads
+
     def decode(self, tokens: Tokens) -> np.ndarray:
         """The best label of each token."""
         scores, n = self.emissions(tokens), len(LABELS)
@@ -308,6 +389,8 @@ def parse(examples: str = EXAMPLES) -> tuple[list[str], list[list[tuple[int, int
 def train(examples: str = EXAMPLES, rounds: int = 200, rate: float = 0.15, decay: float = 0.02) -> Field:
     """The field that maximizes the likelihood of the examples' labels, less a penalty on squared weights (Adam steps)."""
     texts, marks = parse(examples)
+    more = noise()
+    texts, marks = texts + more, marks + [[] for _ in more]
     tokens = Tokens(texts)
     field, n, owner = Field(np.unique(tokens.hash)), len(LABELS), np.searchsorted(tokens.first, tokens.start, side="right") - 1
     gold = np.zeros(len(tokens.start), np.int64)
@@ -321,40 +404,10 @@ def train(examples: str = EXAMPLES, rounds: int = 200, rate: float = 0.15, decay
     near = np.flatnonzero(gold)
     near = np.unique(np.clip(near[:, None] + np.array([-2, -1, 1]), 0, len(gold) - 1))
     field = Field(np.union1d(tokens.hash[near[gold[near] == 0]], tokens.hash[gold == 1 + 2 * ADDED.index("address") + 1]))
-    ids = field.ids(tokens)
-    shapes, words = [[field.moved(tokens, x, d) for d in Field.OFFSETS] for x in (tokens.shape, ids)]
-    longest, chains = int(tokens.sizes.max()), len(tokens.chain)
-    mask = np.arange(longest)[None, :] < tokens.sizes[:, None]
-    at = np.where(mask, tokens.chain[:, None] + np.arange(longest)[None, :], 0)
     weights = [field.shape, field.word, field.step, field.begin]
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
+    first, second, seen = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], field.seen(tokens)
     for r in range(1, rounds + 1):
-        e = field.emissions(tokens)[at]
-        alpha, beta = np.zeros((longest, chains, n)), np.zeros((longest, chains, n))
-        alpha[0] = e[:, 0] + field.begin
-        for i in range(1, longest):
-            new = lse(alpha[i - 1][:, :, None] + field.step, 1) + e[:, i]
-            alpha[i] = np.where(mask[:, i, None], new, alpha[i - 1])
-        for i in range(longest - 2, -1, -1):
-            new = lse(field.step[None] + (e[:, i + 1] + beta[i + 1])[:, None, :], 2)
-            beta[i] = np.where(mask[:, i + 1, None], new, beta[i + 1])
-        total = lse(alpha[-1], 1)
-        expected = np.exp(alpha + beta - total[None, :, None]).transpose(1, 0, 2)[mask]
-        wanted = np.eye(n)[gold] - expected
-        grads = [np.zeros_like(w) for w in weights]
-        for o in range(len(Field.OFFSETS)):
-            for g, x in ((grads[0], shapes[o]), (grads[1], words[o])):
-                ok = np.flatnonzero(x >= (0 if g is grads[0] else 1))
-                np.add.at(g[o], x[ok], wanted[ok])
-        for i in range(1, longest):
-            pair = np.exp(alpha[i - 1][:, :, None] + field.step + (e[:, i] + beta[i])[:, None, :] - total[:, None, None])
-            grads[2] -= pair[mask[:, i]].sum(0)
-        inner = np.ones(len(gold), bool)
-        inner[tokens.chain] = False
-        later = np.flatnonzero(inner)
-        np.add.at(grads[2], (gold[later - 1], gold[later]), 1)
-        grads[3] += wanted[tokens.chain].sum(0)
+        _, grads = field.likelihood(tokens, gold, seen)
         for w, g, m, v in zip(weights, grads, first, second, strict=True):
             g -= decay * w
             m += 0.1 * (g - m)
@@ -376,9 +429,21 @@ def every(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]
     return [(base_spans(t), sorted(x)) for t, x in zip(texts, extra, strict=True)]
 
 
+def apart(spans: list[Span], others: list[Span]) -> list[Span]:
+    """The spans that overlap none of the others, which are laid together and searched."""
+    edges: list[int] = []
+    for _, s, e in sorted(others, key=lambda x: x[1:]):
+        if edges and s <= edges[-1]:
+            edges[-1] = max(edges[-1], e)
+        else:
+            edges += [s, e]
+    # a span meets none of the stretches if it begins outside of them and the next one begins no earlier than it ends
+    return [x for x in spans if (i := bisect.bisect_right(edges, x[1])) % 2 == 0 and (i == len(edges) or edges[i] >= x[2])]
+
+
 def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """For each text the spans of the base, and all spans, by kind and then start."""
-    return [(base, base + [x for x in extra if not any(s < x[2] and x[1] < e for _, s, e in base)]) for base, extra in every(texts, field)]
+    return [(base, base + apart(extra, base)) for base, extra in every(texts, field)]
 
 
 def shown(spans: list[Span]) -> str:
