@@ -17,12 +17,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if not model[0]:
         return langid.lettered(docs)
-    found = langid.identify(spark, docs, model, names=("__language", "__likely"))
-    return found.filter((F.col("__language") != langid.UNKNOWN) & (F.col("__likely") >= langid.ACCEPT)).select(docs.columns)
+    said, likely = _common.free_names(docs, 2)  # no column of the documents' own is touched
+    found = langid.identify(spark, docs, model, names=(said, likely))
+    return found.filter((F.col(said) != langid.UNKNOWN) & (F.col(likely) >= langid.ACCEPT)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near copies stays: SimHash over five-word shingles, and an exact check of similarity 0.8 or more."""
     return near.keep_one(spark, docs)
 
 
