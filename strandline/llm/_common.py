@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -19,10 +22,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. A temporary one is set only where the session names none (tests on one machine)."""
+    """The folder that all executors see. Where the session names none, a temporary one is set on one machine (in tests); on a cluster that fails."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if name:
         return name.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     name = tempfile.mkdtemp(prefix="strandline-")
     spark.conf.set("spark.checkpoint.dir", name)
     return name
@@ -45,6 +50,29 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, count: int) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for i in range(count + len(taken)):
+        if f"__own{i}" not in taken:
+            out.append(f"__own{i}")
+    return out[:count]
+
+
+def task(run):
+    """``run`` (batches to batches) for mapInArrow, giving memory back to the system at its end: Spark keeps the worker for other tasks."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 def sizes(column: pa.Array) -> np.ndarray:
     """Bytes of each value; null counts as none."""
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -1,16 +1,23 @@
-"""Near copies as the corpus pipeline means them: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and chains of these.
+"""SimHash near copies as the corpus pipeline means them: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and chains of these.
 
-Words are told as in ``simhash``; a text of fewer than five words is one shingle. Texts of one set are one item from the start. Each item has ``BANDS``
-keys, each of ``ROWS`` least hashes of its shingles (MinHash). Items that share a key are candidates: two of similarity 0.8 share none with a
-probability of (1 - 0.8^4)^40 = 7e-10, more similar ones with less. Candidates are joined to components without making pairs, and each
-component's texts are compared exactly: the shingles are ordered by rarity in it, and two sets that reach 0.8 meet in the rarest fifth of both.
-A component of more than ``CROWD`` shingles is dealt into blocks, and each two blocks are compared in a task of their own. Nothing is capped.
+Words are told as in ``simhash``; a text of fewer than five words is one shingle. Texts of one set are one item from the start. An item's
+fingerprint has ``BITS`` bits: a bit is 1 if it is set in over half of its shingles' hashes. Two sets of similarity 0.8 have a cosine of 0.89,
+so their bits differ with a probability of 0.152. A table sorts the items by ``width`` of the bits, drawn for that table; two such sets meet in
+one with a probability of 0.848^width, and there are so many tables that they miss each other in all with one of ``MISS`` at most (sets that are
+more alike far more rarely). What meets is compared over the first ``PLANES`` bits by ``simhash.linked``, bit-sliced and abandoned block by
+block; the radius lies 4.5 deviations above what a similarity of 0.8 gives. Links are joined to components, and each component's texts are
+then compared exactly: the shingles are ordered by rarity in it, and two sets that reach 0.8 meet in the rarest fifth of both.
 
-Null text counts as empty; all texts without a word are copies of one another. Ids may be repeated or null.
+The width follows the logarithm of the number of items, so that a bucket of chance meetings stays small. A bucket of more than ``BLOCK`` items is
+dealt into blocks, and each two blocks are compared in a task of their own; so is a component of more than ``CROWD`` shingles. Nothing is capped.
+
+Null text counts as empty; all texts without a word are copies of one another. Ids may be repeated or null, rows repeated; other columns are
+kept, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import chain
 
 import numpy as np
@@ -19,12 +26,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.llm import _common
+from strandline.llm import _common, simhash
 from strandline.llm.simhash import components
 
-WORDS, SEED, BANDS, ROWS, CROWD = 5, 42, 40, 4, 1 << 22
-_FACTORS, _MASKS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
+WORDS, SEED, CROWD = 5, 42, 1 << 22
+#: Bits of a fingerprint, and how many of them are compared; what similarity 0.8 may miss; the radius.
+BITS, PLANES, MISS, RADIUS = 512, 128, 0.003, 38
+#: Probability that a bit of two sets of similarity 0.8 is the same; the narrowest table; items that a table's buckets hold by chance.
+SAME, NARROWEST, CHANCE = 1 - math.acos(1.6 / 1.8) / math.pi, 16, 64
+#: Items of a bucket that one task compares, and the most buckets that are dealt into blocks (a bound of what is broadcast).
+BLOCK, HOT = 4096, 1_000_000
+_FACTORS, _MASKS = np.random.default_rng(SEED).integers(0, 2**64, (2, BITS // 64), np.uint64)
 _FACTORS |= np.uint64(1)
+#: For each byte value, its bits.
+_BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,18 +65,30 @@ def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(hashed, ends[:-1])] if texts else []
 
 
-def keys(sets: list[np.ndarray]) -> np.ndarray:
-    """The keys (sets x ``BANDS``) of sets that aren't empty."""
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprints (sets x 64-bit words) of sets that aren't empty: bytes of the hashes are counted, and bits summed from the counts."""
+    out = np.zeros((len(sets), BITS // 64), np.uint64)
+    if not sets:
+        return out
     flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-    starts, out = np.cumsum(sizes) - sizes, np.empty((len(sets), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(sets), b, np.uint64)
-        for i in range(b * ROWS, (b + 1) * ROWS):
-            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((flat ^ _MASKS[i]) * _FACTORS[i], starts))
-        out[:, b] = key
+    place = np.repeat(np.arange(len(sets)) << 8, sizes)
+    for w in range(BITS // 64):
+        bytes_ = _mixed(_mixed((flat ^ _MASKS[w]) * _FACTORS[w]) * _FACTORS[w]).view(np.uint8).reshape(-1, 8)
+        ones = np.empty((len(sets), 8, 8), np.float32)
+        for k in range(8):
+            ones[:, k] = np.bincount(place + bytes_[:, k], minlength=len(sets) << 8).reshape(len(sets), 256).astype(np.float32) @ _BITS_OF
+        out[:, w] = np.packbits((ones.reshape(len(sets), 64) * 2 > sizes[:, None]), axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
+def tables(items: int) -> list[np.ndarray]:
+    """The bits by which each table sorts that many items."""
+    width = max(NARROWEST, math.ceil(math.log2(max(items, 1) / CHANCE)))
+    count = math.ceil(math.log(1 / MISS) / SAME**width)
+    rng = np.random.default_rng((SEED, width))
+    return [rng.choice(BITS, width, replace=False) for _ in range(count)]
+
+
 def links_in(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Links between sets (that aren't empty) which join all of similarity 0.8 or more: trees, found from each set outwards."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -104,7 +131,7 @@ def links_in(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, th, item (hash of the set of shingles), n (its size) and keys, of doc_id, th and text."""
+    """doc_id, th, item (hash of the set of shingles), n (its size) and fp (its fingerprint; null without shingles), of doc_id, th and text."""
 
     def run(batches):
         import xxhash
@@ -113,19 +140,97 @@ def _marked(docs: DataFrame) -> DataFrame:
             sets = shingles(_common.texts_of(b.column("text")))
             n = np.array([len(s) for s in sets], np.int64)
             items = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            some = [s for s in sets if len(s)]
-            flat = keys(some).view(np.int64).ravel() if some else np.zeros(0, np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(n, BANDS, 0))]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(items), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "th", "item", "n", "keys"])
+            found = iter(fingerprints([s for s in sets if len(s)]))
+            fps = [next(found).tobytes() if k else None for k in n.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(items), pa.array(n), pa.array(fps, pa.binary())], names=["doc_id", "th", "item", "n", "fp"])
+
+    return docs.mapInArrow(run, "doc_id bigint, th bigint, item bigint, n bigint, fp binary")
+
+
+def _tabled(items: DataFrame, picks: list[np.ndarray], one_in: int = 1) -> DataFrame:
+    """key, item, fp (the bits that are compared) of each item in each table; on request of the tables' items one in so many, by their hash."""
+    weights, most = [np.uint64(1) << np.arange(len(p), dtype=np.uint64) for p in picks], 1 << 18
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, max(1, most // len(picks))):
+                b = whole.slice(lo, max(1, most // len(picks)))
+                words = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                bits = np.unpackbits(words, axis=1, bitorder="little")
+                keys = np.stack([_mixed((bits[:, p].astype(np.uint64) @ w) * np.uint64(2 * t + 1) + np.uint64(t)) for t, (p, w) in enumerate(zip(picks, weights, strict=True))], 1)
+                at = pa.array(np.repeat(np.arange(b.num_rows), len(picks)))
+                short = pa.array([x.tobytes() for x in words[:, : PLANES // 8]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column("item").take(at), short.take(at)], names=["k", "item", "fp"])
+
+    some = items.filter(F.pmod(F.xxhash64("item"), F.lit(one_in)) == 0) if one_in > 1 else items
+    return some.select("item", "fp").mapInArrow(run, "k bigint, item bigint, fp binary")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join, in each run of rows of one (k, i, j), what is within the radius."""
+
+    def compared(key: list[np.ndarray], items: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
+        key, items, fps = np.concatenate(key), np.concatenate(items), np.concatenate(fps)
+        sizes = np.diff(np.concatenate([[0], np.flatnonzero(key) + 1, [len(items)]])) if len(items) else np.zeros(0, np.int64)
+        keep = np.repeat(sizes > 1, sizes)
+        items = items[keep]
+        label = simhash.linked(sizes[sizes > 1], fps[keep], RADIUS)
+        apart = label != np.arange(len(items))
+        return pa.RecordBatch.from_arrays([pa.array(items[apart]), pa.array(items[label[apart]])], names=["a", "b"])
+
+    def run(batches):
+        key, items, fps, held, last = [], [], [], 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = np.stack([b.column(c).to_numpy() for c in ("k", "i", "j")], 1)
+            item, fp = b.column("item").to_numpy(), np.frombuffer(b"".join(b.column("fp").to_pylist()), "<u8").reshape(b.num_rows, -1)
+            new = (k[1:] != k[:-1]).any(1)  # whether the next row belongs to another run
+            if items and (k[0] != last).any():
+                key.append(np.ones(1, bool))
+            elif items:
+                key.append(np.zeros(1, bool))
+            if held >= 1 << 15 and ((cuts := np.flatnonzero(new)).size or key[-1][0]):
+                at = 0 if key[-1][0] else int(cuts[0]) + 1  # the run that was begun ends here
+                yield compared([*key[:-1], *([key[-1], new[: at - 1]] if at else [])], [*items, item[:at]], [*fps, fp[:at]])
+                key, items, fps, held = [], [], [], 0
+                item, fp, new = item[at:], fp[at:], new[at:]
+            key.append(new)
+            items.append(item)
+            fps.append(fp)
+            held, last = held + len(item), k[-1]
+        if items:
+            yield compared(key, items, fps)
+
+    # In a bucket the smallest item of a component comes first, so it is the one that the others are linked to.
+    return _few(rows.sortWithinPartitions("k", "i", "j", "item").mapInArrow(run, "a bigint, b bigint"))
+
+
+def _few(links: DataFrame) -> DataFrame:
+    """The same components with fewer links: an item has one at most from each table's buckets; it keeps the least, and the others' ends are linked to that one."""
+    each = links.groupBy("a").agg(F.collect_set("b").alias("b")).select("a", "b", F.array_min("b").alias("m"))
+    ends = F.concat(F.array(F.struct("a", F.col("m").alias("b"))), F.transform(F.filter("b", lambda x: x != F.col("m")), lambda x: F.struct(x.alias("a"), F.col("m").alias("b"))))
+    return each.select(F.explode(ends).alias("e")).select("e.*").distinct()
+
 
-    return docs.mapInArrow(run, "doc_id bigint, th bigint, item bigint, n bigint, keys array<bigint>")
+def _near_items(spark: SparkSession, marked: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) between items whose fingerprints are within the radius and meet in a table."""
+    items = _common.materialize(spark, marked.filter("fp is not null").groupBy("item").agg(F.first("fp").alias("fp")), "near-items")
+    n = items.count()
+    picks = tables(n)
+    # Buckets of more than a block are found in one item of 64; at most HOT of them can be so large, as there are only n * tables rows.
+    large = max(block, 64 * n * len(picks) // (32 * HOT))
+    counted = _tabled(items, picks, 64).groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, large // 128))
+    hot = counted.select("k", F.ceil(F.col("n") * 64 / block).cast("int").alias("blocks"))
+    rows = _tabled(items, picks).join(F.broadcast(hot), "k", "left").withColumn("mine", F.coalesce(F.pmod(F.xxhash64("item", "k"), F.col("blocks")), F.lit(0)).cast("int"))
+    other = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+    dealt = rows.select("k", "item", "fp", "mine", F.explode(other).alias("other")).select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "item", "fp")
+    return _met(dealt.repartition("k", "i", "j"))
 
 
-def _links(spark: SparkSession, slim: DataFrame, marked: DataFrame, crowd: int) -> DataFrame:
+def _links(spark: SparkSession, slim: DataFrame, marked: DataFrame, crowd: int, block: int) -> DataFrame:
     """Links (a, b) between items that join all of similarity 0.8 or more."""
-    keyed = marked.select("item", F.explode("keys").alias("k")).distinct()
-    shared = keyed.groupBy("k").agg(F.min("item").alias("b"), F.count("*").alias("n")).filter("n > 1").select("k", "b")
-    stars = components(spark, keyed.join(shared, "k").select(F.col("item").alias("a"), "b"))
+    stars = components(spark, _near_items(spark, marked, block))
     member = stars.select(F.col("a").alias("item"), F.col("b").alias("part")).unionAll(stars.select(F.col("b").alias("item"), F.col("b").alias("part")).distinct())
     one = marked.join(member, "item").groupBy("item", "part").agg(F.min("th").alias("th"), F.max("n").alias("n"))
     blocks = one.groupBy("part").agg(F.ceil(F.sum("n") / F.lit(crowd)).cast("int").alias("blocks"))
@@ -143,23 +248,24 @@ def _links(spark: SparkSession, slim: DataFrame, marked: DataFrame, crowd: int)
     return dealt.groupBy("part", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def grouped(spark: SparkSession, docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def grouped(spark: SparkSession, docs: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """doc_id, th (hash of the text) and root (item that stands for the component) of every document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     marked = _common.materialize(spark, _marked(slim), "near")
-    stars = components(spark, _links(spark, slim.select("th", "text"), marked, crowd))
+    stars = components(spark, _links(spark, slim.select("th", "text"), marked, crowd, block))
     return marked.join(stars.select(F.col("a").alias("item"), F.col("b").alias("root")), "item", "left").select("doc_id", "th", F.coalesce("root", "item").alias("root"))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """The documents without the near copies: of each component the row of the smallest id stays (null is the largest), of rows that share it one.
 
     Ids needn't be unique: rows of one id whose texts lie in different components are different documents.
     """
-    found = grouped(spark, docs, crowd)
+    found = grouped(spark, docs, crowd, block)
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k")).select("k.*").distinct()
-    chosen = chosen.select(F.col("doc_id").alias("__chosen"), F.col("th").alias("__th"))
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64("text")})
-    kept = marked.join(chosen, (marked["__th"] == chosen["__th"]) & marked["__id"].eqNullSafe(chosen["__chosen"]), "left_semi")
-    first = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__th").orderBy("text"))).filter("__n = 1")
-    return first.select(docs.columns)
+    its_id, its_th, number, c_id, c_th = _common.free_names(docs, 5)
+    chosen = chosen.select(F.col("doc_id").alias(c_id), F.col("th").alias(c_th))
+    marked = docs.withColumns({its_id: F.col("doc_id").cast("long"), its_th: F.xxhash64("text")})
+    kept = marked.join(chosen, (F.col(its_th) == F.col(c_th)) & F.col(its_id).eqNullSafe(F.col(c_id)), "left_semi")
+    first = kept.withColumn(number, F.row_number().over(Window.partitionBy(its_id, its_th).orderBy("text"))).filter(F.col(number) == 1)
+    return first.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -52,10 +52,33 @@ def test_links_in(texts):
     assert label.tolist() == components(some).tolist()
 
 
-@pytest.mark.parametrize("crowd", [near.CROWD, 2000])
-def test_one_of_each_group_stays(spark, texts, crowd):
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r.doc_id for r in near.keep_one(spark, docs, crowd).collect()) == sorted(set(components(texts).tolist()))
+@pytest.mark.parametrize(("crowd", "block"), [(near.CROWD, near.BLOCK), (2000, 4)])
+def test_one_of_each_group_stays(spark, texts, crowd, block):
+    docs = spark.createDataFrame([(i, t, "kept", 7, "mine") for i, t in enumerate(texts)], "doc_id long, text string, __own0 string, __id long, __th string")
+    got = near.keep_one(spark, docs, crowd, block)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(components(texts).tolist()))
+    assert {tuple(r)[2:] for r in got.collect()} == {("kept", 7, "mine")}
+
+
+def test_fingerprints_equal_plain_ones():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 5, 300)]
+    got = near.fingerprints(sets)
+    for s, words in zip(sets, got, strict=True):
+        for w in (0, near.BITS // 64 - 1):
+            hashes = [int(x) for x in near._mixed(near._mixed((s ^ near._MASKS[w]) * near._FACTORS[w]) * near._FACTORS[w])]
+            assert int(words[w]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_pairs_of_similarity_0_8_meet_within_the_radius():
+    """Sets of 90 shingles, 80 of them shared: the least similarity that counts."""
+    rng, picks = np.random.default_rng(7), near.tables(50_000)
+    x = rng.integers(0, 2**63, (2000, 100)).astype(np.uint64)
+    a, b = near.fingerprints([np.unique(r[:90]) for r in x]), near.fingerprints([np.unique(np.append(r[:80], r[90:])) for r in x])
+    bits = np.unpackbits((a ^ b).view(np.uint8), axis=1, bitorder="little")
+    far = bits[:, : near.PLANES].sum(1)
+    meets = np.any([~bits[:, p].any(1) for p in picks], axis=0)
+    assert np.mean(meets & (far <= near.RADIUS)) > 0.98
 
 
 def test_one_word_edit_goes(spark):
