@@ -7,7 +7,7 @@ import pytest
 import regex
 import xxhash
 
-from strandline.llm import ann, bpe, flac, packing, pii, queries, simhash, suffix
+from strandline.llm import ann, bpe, flac, langid, packing, pii, quality, queries, simhash, suffix
 
 RNG = np.random.default_rng(0)
 
@@ -21,7 +21,7 @@ def test_bpe_equals_the_library_and_decodes():
     library = tiktoken.Encoding("own", pat_str=queries.split_pattern(), mergeable_ranks=ranks, special_tokens={})
     letters = list(" \n\t\x85\x1cab'sé日本1٣!🙂")
     texts = ["".join(RNG.choice(letters, RNG.integers(0, 30))) for _ in range(3000)] + ["a" * 3000, "ab" * 300 + " " * 99 + "x", "", " ", "Don't stop, we'll go!"]
-    ours = bpe.load(path, queries.split_pattern())
+    ours = bpe.load(path, queries.split_pattern(), at_blanks=True)
     for text, ids in zip(texts, ours.encode(texts), strict=True):
         assert ids.tolist() == library.encode_ordinary(text)
         assert ours.decode(ids) == text.encode()
@@ -85,10 +85,112 @@ def test_flac_linear_predictor():
     assert np.frombuffer(flac.decode([stream])[0][0][2], np.int8).tolist() == x
 
 
+def plain_flac(stream):
+    """Samples of a mono stream of 8 bits, read bit by bit; kinds of subframes that occurred."""
+    at, last, out, seen = 4, False, [], set()
+    while not last:
+        last, size = bool(stream[at] & 0x80), int.from_bytes(stream[at + 1 : at + 4], "big")
+        at += 4 + size
+    while at < len(stream):
+        bits = "".join(f"{b:08b}" for b in stream[at:])
+        pos = 0
+
+        def take(n, signed=False):
+            nonlocal pos
+            v, pos = int(bits[pos : pos + n] or "0", 2), pos + n
+            return v - (1 << n) if signed and n and v >> (n - 1) else v
+
+        assert take(15) == 0x7FFC and take(1) == 0
+        code = take(4)
+        take(12)
+        number = bits[pos : pos + 8].index("0")
+        pos += 8 * max(1, number)
+        size = take(16) + 1 if code == 7 else take(8) + 1 if code == 6 else 256 << (code - 8)
+        take(8 + 1)
+        kind = take(6)
+        take(1)
+        seen.add(kind)
+        if kind == 1:
+            x = [take(8, True) for _ in range(size)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            x = [take(8, True) for _ in range(order)]
+            taps, shift = flac.FIXED[order] if kind < 32 else (), 0
+            if kind >= 32:
+                width, shift = take(4) + 1, take(5)
+                taps = [take(width, True) for _ in range(order)]
+            method, parts = take(2), take(4)
+            for p in range(1 << parts):
+                k = take(4 + method)
+                raw = take(5) if k == (1 << (4 + method)) - 1 else -1
+                for _ in range(size // (1 << parts) - (0 if p else order)):
+                    if raw >= 0:
+                        e = take(raw, True)
+                    else:
+                        top = bits.index("1", pos) - pos
+                        pos += top + 1
+                        u = top << k | take(k)
+                        e = u >> 1 ^ -(u & 1)
+                    x.append(e + (sum(c * v for c, v in zip(taps, reversed(x), strict=False)) >> shift))
+        out += x
+        at += -(-pos // 8) + 2
+    return out, seen
+
+
+def test_flac_against_a_plain_decoder():
+    walk = (np.cumsum(RNG.integers(-3, 4, 9000)) % 256).astype(np.uint8).tobytes()
+    prose = (b"the quick brown fox, that jumps over the lazy dog. " * 60)[:2500]
+    texts, seen = [b"", b"ab" * 40, walk, prose, RNG.integers(0, 256, 700, dtype=np.uint8).tobytes(), b"x" * 5000], set()
+    payloads = [flac.payload_of(t) for t in texts]
+    for p, stream in zip(payloads, flac.encode(payloads), strict=True):
+        samples, kinds = plain_flac(stream)
+        assert bytes(v + 128 for v in samples) == p
+        seen |= kinds
+    assert 1 in seen and 32 + flac.ORDER - 1 in seen and seen & {8, 9, 10}  # plain samples, fitted and fixed predictors
+
+
+def test_flac_without_seek_points():
+    """Frames are found by sync code and checksums where the table lacks, or reaches only some samples."""
+    payload = flac.payload_of(RNG.integers(0, 256, 30_000, dtype=np.uint8).tobytes().replace(b"a", b"\xff\xf8"))
+    stream = flac.encode([payload])[0]
+    table = 4 + 38
+    size = int.from_bytes(stream[table + 1 : table + 4], "big")
+    frames = stream[table + 4 + size :]
+    bare = stream[:4] + b"\x80" + stream[5:table] + frames
+    sparse = stream[:table] + b"\x83" + (18).to_bytes(3, "big") + stream[table + 4 : table + 22] + frames
+    want = flac.decode([stream])[0]
+    for other in (bare, sparse):
+        got = flac.decode([other])[0]
+        assert [(f, x) for f, _, x in got] == [(f, x) for f, _, x in want]
+    for cut in (5, 40, len(bare) // 2, len(bare) - 1):
+        with pytest.raises(ValueError):
+            flac.decode([bare[:cut]])
+
+
+def test_flac_plain_residuals():
+    """A partition whose residuals are stored as they are (the escape code), behind one that is coded."""
+    x = [3, -5, 8, 100, -128, 21, 24, 26] * 8
+    bits = "00" + "0001" + f"{5:04b}" + "".join("0" * (u >> 5) + "1" + f"{u & 31:05b}" for u in ((v << 1) ^ (v >> 31) for v in x[:32])) + "1111" + f"{8:05b}" + "".join(f"{v & 255:08b}" for v in x[32:])
+    body = bytes([8 << 1]) + int(bits + "0" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+    head = bytes([0xFF, 0xF8, 0x74, 0x02, 0x00]) + (len(x) - 1).to_bytes(2, "big")
+    frame = head + bytes([flac.crc8(head)]) + body
+    check = int(flac.crc16(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0])
+    import hashlib
+
+    stream = b"fLaC\x80\x00\x00\x22" + bytes(18) + hashlib.md5(bytes(v & 255 for v in x)).digest() + frame + check.to_bytes(2, "big")
+    assert np.frombuffer(flac.decode([stream])[0][0][2], np.int8).tolist() == x == plain_flac(stream)[0]
+
+
 def test_suffix_array_and_repeats():
     for trial in range(150):
         s = np.append(RNG.integers(1, 2 + trial % 4, RNG.integers(1, 120)), 0)
         assert suffix.suffix_array(s.copy()).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        s = np.append(np.tile(s[:-1], 3), 0)  # names repeat, so that their string is sorted by recursion
+        assert suffix.suffix_array(s.copy()).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    data = RNG.integers(97, 99, 400).astype(np.uint8).tobytes()
+    here, there = RNG.integers(0, 360, 300), RNG.integers(0, 360, 300)
+    plain = [next((k for k in range(40) if data[i + k] != data[j + k]), 40) for i, j in zip(here.tolist(), there.tolist(), strict=True)]
+    assert suffix.common_prefixes(data, here, there, 40).tolist() == plain
     from collections import Counter
 
     for trial in range(60):
@@ -128,6 +230,30 @@ def test_simhash_bits_and_links():
         assert (got == label).all()
 
 
+def test_blocks_are_abandoned():
+    values = np.unique(RNG.integers(0, 2**63, 3000).astype(np.uint64))
+    pairs = [(int(values[i]), int(values[i]) ^ 5 << 20) for i in range(0, 3000, 100)]
+    values = np.unique(np.concatenate([values, np.array([b for _, b in pairs], np.uint64)]))
+    done: list[int] = []
+    left, right = simhash.links_in([values], done=done)
+    assert {frozenset(x) for x in zip(left.tolist(), right.tolist(), strict=True)} == {frozenset(p) for p in pairs}
+    every = 64 * sum(-(-(len(values) - i // 64 * 64) // 64) for i in range(len(values)))  # all planes of all blocks
+    assert sum(done) < every / 3
+    for n, width, radius in ((300, 2, 38), (70, 1, 9), (130, 2, 0)):  # other widths and radii, in two buckets
+        x = RNG.integers(0, 2**63, (n, width)).astype(np.uint64)
+        x[1::3] = x[::3][: len(x[1::3])] ^ np.uint64(2**40 - 2**31)
+        label = simhash.linked(np.array([40, n - 40]), x, radius)
+        apart = np.array([[sum(bin(int(u) ^ int(v)).count("1") for u, v in zip(a, b, strict=True)) > radius for b in x] for a in x])
+        apart[:40, 40:] = apart[40:, :40] = True
+        plain = np.arange(n)
+        while True:
+            new = np.array([plain[~apart[i]].min() for i in range(n)])
+            if (new == plain).all():
+                break
+            plain = new
+        assert label.tolist() == plain.tolist()
+
+
 def test_pii_base_equals_plain_patterns():
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -158,6 +284,180 @@ def test_field_learns_its_examples_and_leaves_prose_alone():
     assert pii.redact(new[0], pii.find(new[:1], field)[0][1]) == "My name is [NAME] and I am here"
 
 
+#: Sentences that the field has never seen, marked like its table.
+HELD_OUT = """
+My name is [name:Greta Lindholm] and I work here
+my name is [name:oscar Brandt] .
+Dear [name:Victor] , many thanks
+dear [name:Amelie Fontaine] , we received it
+Contact [name:Ravi Kapoor] for more
+his name is [name:Samuel Osei] , she wrote
+Regards , [name:Ingrid Solberg]
+signed by [name:Marta Nowak] on tuesday
+Mr . [name:Holloway] agreed
+Dr [name:Yuki Tanaka] came late
+me llamo [name:Pablo Serrano] y
+ich heiße [name:Jonas Vogel] und
+he lives at [address:304 Willow Street] in town
+address : [address:18 Chapel Road]
+ship to [address:7 Harbour Lane] please
+our office is at [address:55 Station Avenue] .
+Adresse : [address:Birkenweg 9]
+visit us at [address:901 River Drive] , room 2
+account number [account:7781230045] is open
+account : [account:55500011122]
+the iban [account:FR7630006000011234567890189] was given
+IBAN : [account:NL91ABNA0417164300]
+passport no . [account:P9876543] expired
+SSN : [account:321-54-9876]
+tax id [account:99887766550]
+token = " [account:0d9f3c55aa71be02c4d8f6a19b7e3350] "
+The committee met in Vienna and agreed on nothing .
+We drove for 40 miles along the old road to the sea
+The account of the journey was short and the name was lost
+In 1998 there were 14 trains and 300 guests
+Version 10.2 has 5 parts and costs 1,200 or more
+THIS IS A NOTICE FOR ALL READERS OF THE PAPER
+Tuesday | Friday | Sunday , and then again
+el perro duerme . la casa es vieja .
+"""
+
+
+def test_field_on_sentences_it_has_not_seen():
+    field, (texts, marks) = pii.train(), pii.parse(HELD_OUT)
+    assert not set(texts) & set(pii.parse()[0])
+    hit, found, wanted = np.zeros(3), np.zeros(3), np.zeros(3)
+    got = [set() for _ in texts]
+    for i, (k, s, e) in field.spans(pii.Tokens(texts)):
+        got[i].add((k - len(pii.BASE), s, e))
+    for a, b in zip(got, marks, strict=True):
+        for k in range(3):
+            x, y = {z for z in a if z[0] == k}, {z for z in b if z[0] == k}
+            hit[k], found[k], wanted[k] = hit[k] + len(x & y), found[k] + len(x), wanted[k] + len(y)
+    precision, recall = hit / found, hit / wanted
+    print(dict(zip(pii.ADDED, zip(precision.round(2).tolist(), recall.round(2).tolist(), strict=True), strict=True)))
+    assert precision.min() >= 0.8 and recall.min() >= 0.8
+    assert not any(got[-8:])
+
+
+def test_field_decoding_and_gradient_against_enumeration():
+    import itertools
+
+    tokens, rng = pii.Tokens(["My name 12", "at 9", "x"]), np.random.default_rng(2)
+    field = pii.Field(np.unique(tokens.hash))
+    for w in (field.shape, field.word, field.step, field.begin):
+        w += rng.normal(size=w.shape)
+    n, scores = len(pii.LABELS), field.emissions(tokens)
+    gold, best, value = rng.integers(0, n, len(scores)), [], 0.0
+    for c, m in zip(tokens.chain.tolist(), tokens.sizes.tolist(), strict=True):
+        paths = {}
+        for path in itertools.product(range(n), repeat=m):
+            paths[path] = field.begin[path[0]] + sum(scores[c + i, y] for i, y in enumerate(path)) + sum(field.step[a, b] for a, b in zip(path, path[1:], strict=False))
+        best += max(paths, key=paths.get)
+        value += paths[tuple(gold[c : c + m].tolist())] - np.log(np.exp(list(paths.values())).sum())
+    assert field.decode(tokens).tolist() == best
+    got, grads = field.likelihood(tokens, gold)
+    assert abs(got - value) < 1e-9
+    for w, g in zip((field.shape, field.word, field.step, field.begin), grads, strict=True):
+        for at in [np.unravel_index(int(np.abs(g).argmax()), g.shape), *(tuple(rng.integers(0, k) for k in w.shape) for _ in range(10))]:
+            w[at] += 1e-5
+            up = field.likelihood(tokens, gold)[0]
+            w[at] -= 2e-5
+            down = field.likelihood(tokens, gold)[0]
+            w[at] += 1e-5
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-5
+
+
+def test_spans_that_overlap_none():
+    for _ in range(300):
+        draw = lambda n: [(0, s, s + int(RNG.integers(1, 6))) for s in RNG.integers(0, 30, n).tolist()]
+        spans, others = draw(6), draw(int(RNG.integers(0, 6)))
+        assert pii.apart(spans, others) == [x for x in spans if not any(s < x[2] and x[1] < e for _, s, e in others)]
+
+
+def test_quality_gradient_and_score_against_plain_ones():
+    rng = np.random.default_rng(3)
+    vectors, layer, bias = rng.normal(size=(20, 4)), rng.normal(size=(2, 4)), rng.normal(size=2)
+    ids, share = np.array([1, 5, 7]), np.array([0.5, 0.25, 0.25])
+    _, error, hidden, back = quality.loss(ids, share, 1, vectors, layer, bias)
+    for w, g in ((layer, error[:, None] * hidden[None, :]), (bias, error), (vectors, np.zeros((20, 4)))):
+        g = g if w is not vectors else np.array([share[ids.tolist().index(i)] * back if i in ids else np.zeros(4) for i in range(20)])
+        for at in np.ndindex(w.shape):
+            w[at] += 1e-6
+            up = quality.loss(ids, share, 1, vectors, layer, bias)[0]
+            w[at] -= 2e-6
+            down = quality.loss(ids, share, 1, vectors, layer, bias)[0]
+            w[at] += 1e-6
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-6
+    values, texts = rng.normal(size=256), ["", "a", "ab  ab\tc", "é x é x", "same same same", " lead"]
+    got = quality.score(texts, values, 0.3)
+    for t, p in zip(texts, got.tolist(), strict=True):
+        found, n = [], 0
+        for kind, _ in quality.features([t], 256):
+            found += [values[i] for i in kind.tolist() if i < 256]
+            n += int((kind < 256).sum())
+        words = t.split()
+        assert n == len(words) + max(0, len(words) - 1) + sum(max(0, len(t) - k + 1) for k in (1, 2, 3, 4))
+        assert abs(p - 1 / (1 + np.exp(-(sum(found) / max(1, n) + 0.3)))) < 1e-12
+
+
+def test_language_against_plain_bayes():
+    train = [("en", "the cat sat"), ("en", "a dog, the end"), ("fr", "le chat là"), ("fr", "un chien")]
+    rng = np.random.default_rng(4)
+    logs, priors = np.log(rng.dirichlet(np.ones(1 << 10), 2)), np.log([0.4, 0.6])
+    for text in ["", "12 !", *(t for _, t in train), "THE Là 3 x", "a" * 50]:
+        total = priors.copy()
+        s = "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        for n in langid.ORDERS:
+            for i in range(len(s) - n + 1):
+                if any(c.isalpha() for c in s[i : i + n]):
+                    column = int(langid.grams([text], 1 << 10)[0][n - 1][i])
+                    total += logs[:, column]
+        found, p = langid.score([text], ["en", "fr"], logs, priors)
+        want = np.exp(total - total.max())
+        if any(c.isalpha() for c in text):
+            assert found[0] == ["en", "fr"][int(total.argmax())] and abs(p[0] - want.max() / want.sum()) < 1e-9
+        else:
+            assert (found[0], p[0]) == ("und", 0.0)
+
+
+def test_nnls_against_a_grid():
+    kinds, counts = np.array([[0, 1, 1], [0, 1, 1], [1, 0, 0]]), np.array([[2.0, 0.0, 0.0], [1.0, 1.0, 0.0], [3.0, 0.0, 0.0]])
+    matrix = np.array([[2.0, 1.0, 0.0], [0.0, 1.0, 3.0]])  # what the columns say, as a matrix
+    grid = np.stack(np.meshgrid(*[np.arange(0, 5.01, 0.1)] * 3), -1).reshape(-1, 3)
+    for target in (np.array([4.0, 3.0]), np.array([1.0, 0.0]), np.array([5.0, 9.0])):
+        active, values = packing.nnls(kinds, counts, target, np.ones(2))
+        x = np.zeros(3)
+        x[active] = values
+        assert (x >= 0).all() and ((matrix @ x - target) ** 2).sum() <= ((grid @ matrix.T - target) ** 2).sum(1).min() + 1e-6
+
+
+def test_packing_wastes_little():
+    lengths = RNG.integers(1, 3000, 5000).tolist() + [4096] * 20
+    ends = packing.edges(4096)
+    bins, n = np.unique(np.searchsorted(ends, lengths), return_counts=True)
+    plan = packing.plan(dict(zip(bins.tolist(), n.tolist(), strict=True)))
+    sequences = max(s + k // each for _, _, k, each, s in plan)
+    assert sum(lengths) / (4096 * sequences) > 0.97
+
+
+def test_long_pieces_and_other_patterns():
+    import tiktoken
+
+    path = queries.tokenizer_file(queries.RANKS)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pattern = "[A-Za-z]|[^A-Za-z]+"
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["Hello  big world 12", "a b", "", "1" * 300 + "x"]
+    for text, ids in zip(texts, bpe.load(path, pattern).encode(texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text)
+    ours, whole = bpe.load(path, queries.split_pattern(), True), tiktoken.Encoding("own", pat_str=queries.split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    texts = ["".join(RNG.choice(list("abcde"), n)) for n in (129, 300, 1000, 3000, 4096, 4097, 9000)] + ["a" * 5000, "=" * 700]
+    for text, ids in zip(texts, ours.encode(texts), strict=True):
+        assert ids.tolist() == whole.encode_ordinary(text)
+
+
 def test_tree_search_finds_leaves_until_enough():
     x = RNG.normal(size=(2000, 16))
     forest = ann.fit(x, 16, 3)

@@ -66,9 +66,23 @@ def test_shards(spark, docs, none, rows):
     assert sharding.shard_documents(spark, none, 5).count() == 0
 
 
+def plain_feature(payload):
+    x = [b - 128 for b in payload]
+    return f"energy={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))};peak={max(map(abs, x))}"
+
+
 def test_flac(docs, none, rows):
-    got = flac.digests(docs).collect()
-    assert Counter((r.doc_id, r.payload_sha256) for r in got) == Counter((i, hashlib.sha256(flac.payload_of((t or "").encode())).hexdigest()) for i, t, *_ in rows)
+    got, want = Counter(), Counter()
+    for r in flac.digests(docs).collect():
+        got[r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature] += 1
+        assert [x.first_sample for x in r.blocks] == list(range(0, r.payload_bytes, 4096)) and sum(x.samples for x in r.blocks) == r.payload_bytes
+    for i, t, *_ in rows:
+        data = (t or "").encode()
+        payload = flac.payload_of(data)
+        assert len(payload) % 64 == 0 and payload.startswith(data) and not payload[len(data) :].strip(b"\0") and 0 <= len(payload) - len(data) <= 64
+        stream = flac.encode([payload])[0]
+        want[i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), plain_feature(payload)] += 1
+    assert got == want
     assert flac.digests(none).count() == 0
     media = flac.to_media(docs.select("doc_id", F.col("text").cast("binary").alias("data")))
     blocks = flac.pcm_blocks(media).orderBy("doc_id", "block").filter("doc_id = 57").collect()
@@ -89,14 +103,26 @@ def brute_repeats(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("crowd", [64, 1])
-def test_suffix(spark, docs, none, rows, crowd, monkeypatch):
+@pytest.mark.parametrize(("crowd", "crowded"), [(512, 2048), (1, 2048), (1, 1)])
+def test_suffix(spark, docs, none, rows, crowd, crowded, monkeypatch):
     monkeypatch.setattr(suffix, "CROWD", crowd)
+    monkeypatch.setattr(suffix, "CROWDED", crowded)
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removed_spans(spark, docs).collect())
     assert got == Counter((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows]), strict=True))
     assert suffix.removed_spans(spark, none).count() == 0
 
 
+def test_suffix_of_crowds_and_runs(spark):
+    """A passage in more contexts than an anchor's shard takes, runs and periods, and a text that is cut into pieces."""
+    passage = prose(50)
+    texts = [prose(3) + " " + passage + " " + prose(3) for _ in range(600)] + [None, "", "x" * 3000, "x" * 199 + "y", "ab" * 1000, "abc" * 500, passage[:190] + "z" * 50]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert len(suffix.segments(["x".encode() * 3000])[0]) == 1
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removed_spans(spark, table).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+    assert got[0][1] >= 200
+
+
 def test_quality(spark, docs, none):
     good = spark.createDataFrame([(i, int(i < 30), 0) for i in range(50)] + [(3, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.predictions(spark, docs, good).collect()
@@ -163,24 +189,48 @@ def test_pii(spark, docs, none):
     assert pii.detect(spark, none, field).count() == 0
 
 
+def brute_neighbours(ids, x, k):
+    """query_id: (vec_id, score) of its k nearest; an id stands for all its vectors."""
+    out, s = {}, np.array([[(a * b).sum() for b in x] for a in x])
+    for q in sorted({i for i in ids if i % 20 == 0}):
+        best = {}
+        for i in np.flatnonzero(ids == q):
+            for j in np.flatnonzero(ids != q):
+                best[ids[j]] = max(best.get(ids[j], -np.inf), s[i, j])
+        out[q] = sorted(best.items(), key=lambda y: (-y[1], y[0]))[:k]
+    return out
+
+
 def test_neighbours(spark):
+    assert ann.leaves(900) >= 16 and ann.leaves(500) >= 16 and ann.leaves(1) == 1
     x = RNG.normal(size=(900, 12)).astype(np.float32)
     x[500:800] = x[500]
     table = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 0), (901, [0.0] * 12, 0), (902, [float("nan")] + [1.0] * 11, 0), (903, [1.0], 0), (None, [1.0] * 12, 0)]
     got = ann.neighbours(spark, spark.createDataFrame(table, "vec_id long, embedding array<float>, score int"), lambda v: v % 20 == 0, k=20).collect()
-    scores = x.astype(float)
     found, exact = Counter(r.query_id for r in got), 0
     assert set(found) == set(range(0, 900, 20)) and set(found.values()) == {20}
-    for q in range(0, 900, 20):
-        s = (scores[q] * scores).sum(1)
-        best = sorted((v for v in range(900) if v != q), key=lambda v: (-s[v], v))[:20]
-        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
-        assert mine == sorted(mine, key=lambda v: (-s[v], v))
-        exact += len({*best} & {*mine})
+    brute = brute_neighbours(np.arange(900), x.astype(float), 20)
+    for q, best in brute.items():
+        mine = [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert mine == sorted(mine, key=lambda y: (-y[1], y[0])) and len({v for v, _ in mine}) == 20
+        exact += len({v for v, _ in best} & {v for v, _ in mine})
     assert exact / (45 * 20) >= 0.9
     assert ann.neighbours(spark, spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda v: v % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Rows given twice, ids with two vectors, and fewer candidates than k, with all leaves searched."""
+    x = RNG.normal(size=(60, 6))
+    ids = np.concatenate([np.arange(50), [40, 40, 7, 7, 20, 3, 3, 3, 3, 3]])
+    x[50:52], x[52:54] = x[40], x[7]  # the same rows again; 20 and 3 have several vectors
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    for k in (5, 100):
+        got = ann.neighbours(spark, table, lambda v: v % 20 == 0, k=k, share=1.0).collect()
+        mine = {q: [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in (0, 20, 40)}
+        for q, best in brute_neighbours(ids, x, k).items():
+            assert [v for v, _ in mine[q]] == [v for v, _ in best] and np.allclose([s for _, s in mine[q]], [s for _, s in best])
+
+
 def test_pipeline(spark, docs, none, rows, tmp_path):
     """Each stage against a plain version, on what the stage before it kept."""
     model = langid.train(docs)
@@ -196,6 +246,11 @@ def test_pipeline(spark, docs, none, rows, tmp_path):
     assert sum(len(r[1].encode()) for r in now) - sum(len(r.text.encode()) for r in cut.collect()) == sum(gone.values())
     clean = corpus_pipeline.privacy(spark, cut, "")
     assert not any("a.b@c.org" in r.text for r in clean.collect()) and clean.columns == docs.columns
+    odd = docs.select("doc_id", "text", "lang", *(F.concat(F.lit("mine"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in ("__own0", "__OWN1", "__language", "__likely", "__id", "__th", "__n", "__u1", "__u2", "__spans")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, "")
+        kept_too = odd.filter("doc_id is not null").collect()
+        assert kept_too and all(v == f"mine{r.doc_id}" for r in kept_too for v in tuple(r)[3:])
     path = tmp_path / "sf"
     docs.write.parquet(str(path / "documents.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(path)).collect()} == {r[0] for r in now}
