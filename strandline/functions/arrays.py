@@ -158,7 +158,28 @@ def subsequences(a: Column, length: int, stride: int = 1) -> Column:
 
 
 def cumulative(a: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(a)), lambda n: total(F.slice(a, 1, n)))
+    """Running sums, in one walk over the array."""
+    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("sum"))
+    walked = F.aggregate(a, start, lambda s, x: F.struct(F.concat(s["out"], F.array(s["sum"] + x)).alias("out"), (s["sum"] + x).alias("sum")))
+    return walked["out"]
+
+
+def windows_nd(a: Column, rows: int, cols: int, height: int, width: int, step: tuple[int, int] = (1, 1), flatten: bool = True) -> Column:
+    """All windows of ``height`` x ``width`` of a matrix that is given row by row, themselves row by row; flat, or as arrays of rows."""
+    down, along = F.sequence(F.lit(0), F.lit(rows - height), F.lit(step[0])), F.sequence(F.lit(0), F.lit(cols - width), F.lit(step[1]))
+    if rows < height or cols < width:
+        return F.slice(F.array(a), 1, 0)
+    part = lambda i, j: F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.slice(a, (i + r) * cols + j + 1, width))
+    each = F.flatten(F.transform(down, lambda i: F.transform(along, lambda j: part(i, j))))
+    return F.transform(each, F.flatten) if flatten else each
+
+
+def blurred(a: Column, weights: list[float], reach: int) -> Column:
+    """Correlation with centred weights (nothing beyond the ends), over the largest result within ``reach``, at least 1."""
+    half, n = len(weights) // 2, F.size(a)
+    soft = F.transform(a, lambda x, i: sum((F.coalesce(F.get(a, i + k - half), F.lit(0.0)) * w for k, w in enumerate(weights)), F.lit(0.0)))
+    around = lambda s, i: F.array_max(F.slice(s, F.greatest(i - reach, F.lit(0)) + 1, F.least(i + reach + 1, n) - F.greatest(i - reach, F.lit(0))))
+    return let(soft, lambda s: F.transform(s, lambda x, i: x / F.greatest(F.lit(1.0), around(s, i))))
 
 
 def window_weights(kind: str, n: int, alpha: float = 0.54, sigma: float = 0.4) -> list[float]:

@@ -74,6 +74,28 @@ def dtw_rows(a: np.ndarray, b: np.ndarray, radius: int, cost: Callable = lambda
     return before[:, m]
 
 
+def envelopes(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest values within ``radius`` of each place, of each row."""
+    padded = lambda fill: np.pad(x, ((0, 0), (radius, radius)), constant_values=fill)
+    windows = lambda a: np.lib.stride_tricks.sliding_window_view(a, 2 * radius + 1, axis=1)
+    return windows(padded(np.inf)).min(2), windows(padded(-np.inf)).max(2)
+
+
+def warping_example(a: Column, radius: int) -> Column:
+    """(z, low, high, order): what a search by warping keeps of an example: its z-form, the envelope of that, and the places in the order in which a standard normal
+    value is least likely to lie within it."""
+    from strandline.functions.arrays import let, normal_cdf
+
+    def whole(z: Column) -> Column:
+        low, high = envelope(z, radius)
+        ends = F.struct(z.alias("z"), low.alias("low"), high.alias("high"))
+        likely = lambda e: F.zip_with(e["low"], e["high"], lambda x, y: normal_cdf(y) - normal_cdf(x))
+        order = lambda e: F.transform(F.array_sort(F.transform(likely(e), lambda p, i: F.struct(F.round(p, 12).alias("p"), i.alias("i")))), lambda s: s["i"])
+        return let(ends, lambda e: F.struct(e["z"].alias("z"), e["low"].alias("low"), e["high"].alias("high"), order(e).alias("order")))
+
+    return let(normalize(a, "z"), whole)
+
+
 def dtw(radius: int, cost: Callable = lambda x, y: (x - y) ** 2):
     """A vectorized function of two array columns: squared point costs by default, warped within a band."""
 

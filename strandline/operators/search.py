@@ -346,6 +346,151 @@ def recall(found: DataFrame, truth: DataFrame, at: list[int]) -> DataFrame:
     return hit.select(F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.coalesce((F.col("rank") <= r).cast("double"), F.lit(0.0)).alias("h")) for r in at))).alias("x")).groupBy(F.col("x.r").alias("r")).agg(F.avg("x.h").alias("recall"))
 
 
+def pruned_radius_join(spark: SparkSession, data: DataFrame, queries: DataFrame, centroids: DataFrame, radius_squared: float, fraction: float) -> DataFrame:
+    """qid, vec_id, dist of the vectors below a squared distance, among those in the cells nearest to each query."""
+    from strandline.functions.distances import l2_squared
+
+    n = centroids.count()
+    ranked = knn_join(spark, centroids.select(F.col("cell").cast("long").alias("vec_id"), F.col("centroid").alias("embedding")), queries, probes(n, fraction))
+    wanted = ranked.select("qid", F.col("vec_id").cast("int").alias("cell")).join(queries, "qid")
+    dist = l2_squared(F.col("embedding").cast("array<double>"), F.col("q").cast("array<double>"))
+    return assign_cells(data, centroids).join(wanted, "cell").select("qid", "vec_id", dist.alias("dist")).filter(F.col("dist") < radius_squared)
+
+
+def first_centroids(data: DataFrame, k: int, seed: int | None = None) -> DataFrame:
+    """cell, centroid: ``k`` different vectors to start from: those of the smallest ids, or drawn by a hash of their values."""
+    rows = data.filter("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("centroid"))
+    one = rows.groupBy("centroid").agg(F.min("vec_id").alias("vec_id"))
+    order = [F.xxhash64(F.lit(seed), "centroid"), F.col("vec_id")] if seed is not None else [F.col("vec_id")]
+    first = one.orderBy(*order).limit(k)
+    return first.withColumn("cell", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int")).select("cell", "centroid")  # k rows
+
+
+def within_cells(data: DataFrame, centroids: DataFrame) -> float:
+    """Sum of squared distances of vectors to their cells' centroids."""
+    from strandline.functions.distances import l2_squared
+
+    met = assign_cells(data, centroids).join(F.broadcast(centroids), "cell")  # one row for each cell
+    return float(met.agg(F.coalesce(F.sum(l2_squared(F.col("embedding").cast("array<double>"), F.col("centroid").cast("array<double>"))), F.lit(0.0))).first()[0])
+
+
+def kmeans(data: DataFrame, k: int, rounds: int = 10, seed: int | None = None, start: DataFrame | None = None) -> DataFrame:
+    """cell, centroid after at most ``rounds`` rounds, or as soon as the total distance stays the same; k = 1 is the mean. An empty cell keeps its centroid."""
+    centroids, before = start if start is not None else first_centroids(data, k, seed), None
+    for _ in range(1 if k == 1 else rounds):
+        centroids = lloyd(data, centroids)
+        if k > 1 and rounds > 3:  # a look at the total costs a scan
+            now = within_cells(data, centroids)
+            if before is not None and now >= before * (1 - 1e-12):
+                break
+            before = now
+    return centroids
+
+
+def kmeans_minibatch(data: DataFrame, k: int, batch: int = 1024, steps: int = 50, seed: int = 0, chain: int = 200, subspaces: bool = False) -> DataFrame:
+    """cell, centroid by k-means on small batches of a bounded sample: starts by Markov chains over it (a vector is the likelier the further it lies
+    from the starts so far), or, on request, as combinations of sqrt(k) centroids of each half of the dimensions; each step moves the centroids
+    towards their part of a batch by rates that fall with their number of vectors."""
+    spark, bound = data.sparkSession, max(batch * steps, 20 * k)
+    n = data.count()
+    some = data.filter("embedding is not null").filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, bound / max(n, 1)) * (1 << 20)) + 1)
+    x = np.array([r["embedding"] for r in sorted(some.select("vec_id", "embedding").collect(), key=lambda r: r["vec_id"])], float)
+    rng = np.random.default_rng(seed)
+    if not len(x):
+        return spark.createDataFrame([], "cell int, centroid array<double>")
+
+    def chained(x: np.ndarray, k: int) -> np.ndarray:
+        c = x[[rng.integers(len(x))]]
+        near = ((x - c[0]) ** 2).sum(1)
+        while len(c) < k:
+            at = rng.integers(0, len(x), chain)
+            here = at[0]
+            for j in at[1:]:
+                if near[here] <= 0 or rng.random() < near[j] / near[here]:
+                    here = j
+            c = np.concatenate([c, x[[here]]])
+            near = np.minimum(near, ((x - x[here]) ** 2).sum(1))
+        return c
+
+    if subspaces:
+        root, half = int(round(k**0.5)), x.shape[1] // 2
+        if root * root != k:
+            raise ValueError("starts by halves need a square number of cells")
+        left, right = chained(x[:, :half], root), chained(x[:, half:], root)
+        c = np.concatenate([np.repeat(left, root, 0), np.tile(right, (root, 1))], 1)
+    else:
+        c = chained(x, k)
+    seen = np.zeros(len(c))
+    for _ in range(steps):
+        part = x[rng.integers(0, len(x), min(batch, len(x)))]
+        near = _nearest_rows(part, c)
+        n_new = np.bincount(near, minlength=len(c))
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, part)
+        seen += n_new
+        hit = n_new > 0
+        c[hit] += (sums[hit] - n_new[hit, None] * c[hit]) / seen[hit, None]
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cell int, centroid array<double>")
+
+
+class Warped(Nearest):
+    """The k nearest by dynamic time warping within a band: the two lower bounds of a pair decide which pairs are warped at all."""
+
+    def __init__(self, k: int, radius: int, not_self: bool = False, extra: str = "", bound: float = np.inf):
+        super().__init__(k, "l2sq", not_self, extra=extra)
+        self.radius, self.bound = radius, bound
+
+    def start(self, ids, q):
+        kept = super().start(ids, q)
+        kept["worst"][:] = self.bound
+        return kept
+
+    def meet(self, kept, ids, q, vec, x, more):
+        from strandline.functions.distances import dtw_rows, envelopes
+
+        if not len(x):
+            return iter(())
+        low, high = envelopes(x, self.radius)
+        for i, v in enumerate(q):
+            own = np.flatnonzero(vec != ids[i]) if self.not_self else np.arange(len(x))
+            l, h = envelopes(v[None], self.radius)
+            far = lambda a, lo, hi: (np.maximum(np.maximum(a - hi, lo - a), 0) ** 2).sum(1)
+            least = np.maximum(far(x[own], l, h), far(v[None], low[own], high[own])) * (1 - 1e-12)
+            order = own[np.argsort(least, kind="stable")]
+            least = np.sort(least, kind="stable")
+            done, step = 0, max(2 * self.k, 16) if np.isfinite(self.k) else len(order)
+            while done < len(order) and least[done] <= kept["worst"][i]:
+                upto = min(len(order), done + step)
+                some = order[done:upto][least[done:upto] <= kept["worst"][i]]
+                d = dtw_rows(np.tile(v, (len(some), 1)), x[some], self.radius)
+                fine = d <= kept["worst"][i]
+                self._merge(kept, np.full(int(fine.sum()), i), vec[some[fine]], d[fine], [m.take(pa.array(some[fine])) for m in more])
+                done, step = upto, min(4 * step, 1024)
+        return iter(())
+
+
+def warped_knn_join(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int, radius: int, exclude_self: bool = False, normalized: bool = False, carry: str | None = None, block: int = BLOCK) -> DataFrame:
+    """qid, rank, vec_id, dist: the k nearest by squared-cost dynamic time warping within a band; on request of the z-forms of both."""
+    from strandline.functions import arrays
+
+    if normalized:
+        data = data.withColumn("embedding", arrays.normalize(F.col("embedding").cast("array<double>"), "z"))
+        queries = queries.withColumn("q", arrays.normalize(F.col("q").cast("array<double>"), "z"))
+    extra = f", `{carry}` {dict(data.dtypes)[carry]}" if carry else ""
+    found = meet(spark, data, queries, Warped(k, radius, exclude_self, extra), extra=(carry,) if carry else (), block=block)
+    return rank_within(found, "qid", [F.col("dist"), F.col("vec_id")], k).select("qid", "rank", "vec_id", "dist", *([carry] if carry else []))
+
+
+def warped_within(spark: SparkSession, data: DataFrame, queries: DataFrame, bound: float, radius: int, block: int = BLOCK) -> DataFrame:
+    """qid, vec_id, dist of all pairs whose warped distance is at most ``bound``."""
+    return meet(spark, data, queries, Warped(1 << 40, radius, bound=bound), block=block)
+
+
+def classify_warped(spark: SparkSession, examples: DataFrame, queries: DataFrame, radius: int = 1, exclude_self: bool = False, normalized: bool = False) -> DataFrame:
+    """qid, label of the nearest example by warping."""
+    return warped_knn_join(spark, examples, queries, 1, radius, exclude_self, normalized, "label").select("qid", "label")
+
+
 def grouped_cells(data: DataFrame, fine: DataFrame) -> DataFrame:
     """``data`` (with cell) with the nearest of its cell's own ``fine`` centroids (cell, sub, centroid): sub, ties to the smaller one."""
     models: dict = {}

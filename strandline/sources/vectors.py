@@ -59,7 +59,7 @@ def read_labelled_series(spark: SparkSession, path: str) -> DataFrame:
     """series, label, values: archive text in which each line is a whole-number label and then the values, between commas or white space."""
     parts = F.split(F.trim("value"), r"[,\s]+")
     rows = spark.read.text(path).filter(F.trim("value") != "").withColumn("series", F.monotonically_increasing_id())
-    return rows.select("series", parts[0].cast("double").cast("int").alias("label"), F.transform(F.slice(parts, 2, 1_000_000), lambda x: x.cast("double")).alias("values"))
+    return rows.select("series", parts[0].cast("double").cast("int").alias("label"), F.transform(F.filter(parts, lambda x, i: i > 0), lambda x: x.cast("double")).alias("values"))
 
 
 def read_recording(spark: SparkSession, path: str, sep: str = ",", sentinel: float | None = None, clip: tuple[float, float] | None = None, columns: list[str] | None = None) -> DataFrame:
