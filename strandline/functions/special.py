@@ -44,7 +44,7 @@ def _erfc_far(a: np.ndarray) -> np.ndarray:
 
 def erfc_values(x: np.ndarray) -> np.ndarray:
     """One less the error function, without loss far from 0."""
-    return np.where(x >= 3, _erfc_far(np.maximum(x, 3.0)), 1 - erf_values(x))
+    return np.where(x >= 2, _erfc_far(np.maximum(x, 2.0)), 1 - erf_values(x))
 
 
 def lgamma_values(x: np.ndarray) -> np.ndarray:

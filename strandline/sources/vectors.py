@@ -83,7 +83,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def composite_labels(df: DataFrame, first: tuple[str, ...], then: str, within: int, name: str) -> DataFrame:
     """Annotations (series, start, end, label) with one more for each ``first`` that a ``then`` follows within some samples."""
-    w = Window.partitionBy("series").orderBy("start")
+    w = Window.partitionBy("series").orderBy("start", "end", "label")
     pairs = df.withColumns({"_l": F.lead("label").over(w), "_s": F.lead("start").over(w), "_e": F.lead("end").over(w)})
     hit = pairs.filter(F.col("label").isin(*first) & (F.col("_l") == then) & (F.col("_s") - F.col("end") <= within))
     return df.unionByName(hit.select("series", "start", F.col("_e").alias("end"), F.lit(name).alias("label")))
@@ -92,7 +92,7 @@ def composite_labels(df: DataFrame, first: tuple[str, ...], then: str, within: i
 def profiler_times(spark: SparkSession, path: str) -> DataFrame:
     """name, trial, ms from lines like ``name (10x5): 1.2 (3.4/s), 1.3 (3.2/s)``."""
     lines = spark.read.text(path).filter(F.col("value").rlike(r"\(\d+x\d+\):"))
-    tail = F.regexp_extract_all("value", F.lit(r"([0-9.]+) \("), 1)
+    tail = F.regexp_extract_all("value", F.lit(r"([0-9.]+) \([^)x]*/s\)"), 1)
     return lines.select(F.trim(F.regexp_extract("value", r"^(.*?)\s*\(\d+x\d+\):", 1)).alias("name"), F.posexplode(tail).alias("trial", "ms")).withColumn("ms", F.col("ms").cast("double"))
 
 
