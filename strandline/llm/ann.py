@@ -107,8 +107,8 @@ def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.nd
 
 
 def top(members: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best members: row of the query, id, and inner product, always summed in the same order."""
-    rough, most = queries @ members.T, k
+    """For each query at least its k best members: row of the query, id, and inner product, always summed in the same order."""
+    rough, most, single = queries @ members.T, k, len(np.unique(ids)) == len(ids)
     while True:  # where ids are repeated, the first k rows may be too few
         if len(ids) > most:
             least = np.partition(rough, len(ids) - most, axis=1)[:, len(ids) - most]
@@ -116,6 +116,8 @@ def top(members: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tu
         else:
             q, m = (x.ravel() for x in np.indices(rough.shape))
         score = np.add.reduce(queries[q] * members[m], axis=1)
+        if single:  # a few more than k at most; whoever merges them cuts them off
+            return q, ids[m], score
         keep = best(q, ids[m], score, k)
         if len(ids) <= most or np.bincount(q[keep], minlength=len(queries)).min(initial=k) >= k:
             return q[keep], ids[m[keep]], score[keep]
@@ -198,10 +200,16 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, t
 
     def rerank(batches):
         now, x, ids, held = None, [], [], [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        parts, many, full = [], 0, [np.zeros(0, np.int64), np.zeros(0)]  # what is not merged yet; queries with enough results, and the least of these
 
         def out():
+            held[:] = [np.concatenate(c) for c in zip(held, *parts, strict=True)] if parts else held
+            parts.clear()
             keep = best(*held, k + 1)
             held[:] = [h[keep] for h in held]
+            asked, n = np.unique(held[0], return_counts=True)
+            last = np.cumsum(n) - 1  # rows are by query and falling score
+            full[:] = [asked[n == k + 1], held[2][last[n == k + 1]]]
 
         for b in batches:
             cell, block, asks, id_ = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "asks", "id"))
@@ -219,13 +227,20 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, t
                 if len(x) > 1:
                     x, ids = [np.concatenate(x)], [np.concatenate(ids)]
                 for s in range(lo, hi if x else lo, 512):
-                    got = top(x[0], ids[0], v[s : min(hi, s + 512)], k + 1)
-                    held[:] = [np.concatenate([h, g]) for h, g in zip(held, (id_[s + got[0]], got[1], got[2]), strict=True)]
-                    if len(held[0]) > HELD:
+                    q, m, score = top(x[0], ids[0], v[s : min(hi, s + 512)], k + 1)
+                    q = id_[s + q]
+                    if len(full[0]):
+                        at = np.minimum(np.searchsorted(full[0], q), len(full[0]) - 1)
+                        fine = (full[0][at] != q) | (score >= full[1][at])
+                        q, m, score = q[fine], m[fine], score[fine]
+                    parts.append((q, m, score))
+                    many += len(q)
+                    if many > HELD // 4:
                         out()
-                        if len(held[0]) > HELD // 2:
+                        many = 0
+                        if len(held[0]) > HELD:
                             yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], names=["id", "vec_id", "score"])
-                            held[:] = [h[:0] for h in held]
+                            held[:], full[:] = [h[:0] for h in held], [f[:0] for f in full]
         out()
         yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], names=["id", "vec_id", "score"])
 
