@@ -145,23 +145,24 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     many = np.diff(np.append(begins, len(part)))
     first_part = np.arange(len(begins)) % (1 << PARTS) == 0
-    cost, chosen = [], []
+    # The kind by the bits that its partitions' means tell, its parameters by the bits themselves: the best of two near the logarithm of the mean.
+    guess, means = [], []
     for u, order in zip(kinds, orders.tolist(), strict=True):
         coded = many - np.where(first_part, order, 0)
-        mean = np.maximum(np.add.reduceat(u, begins, dtype=np.int64) / many, 1e-9)
-        at = np.clip(np.floor(np.log2(mean)), 0, 13).astype(np.int64)
-        tries = np.stack([np.clip(at + d, 0, 14) for d in (-1, 0, 1)])
-        bits = np.stack([np.add.reduceat(u >> k.astype(np.int32)[part], begins, dtype=np.int64) + coded * (k + 1) for k in tries])  # samples without a residual have 0
-        best = bits.argmin(0)
-        chosen.append(tries[best, np.arange(len(best))])
-        cost.append(bits.min(0).reshape(-1, 1 << PARTS).sum(1) + 6 + (4 << PARTS) + 8 * order)
-    cost = np.stack(cost) + extra[:, None]
-    kind = cost.argmin(0)
-    plain = cost.min(0) >= 8 * sizes
+        mean = np.maximum(np.add.reduceat(u, begins, dtype=np.int64) / np.maximum(coded, 1), 1e-9)
+        means.append(mean)
+        guess.append((coded * (1.5 + np.maximum(0, np.log2(mean)))).reshape(-1, 1 << PARTS).sum(1) + 8 * order)
+    kind = (np.stack(guess) + extra[:, None]).argmin(0)
     order, more = orders[kind], extra[kind]
-    rice = np.stack(chosen).reshape(4, -1, 1 << PARTS)[kind, np.arange(len(kind))].ravel()
     u = np.choose(kind[frame], kinds)
-    body = np.where(plain, 1 + sizes, 1 - (-cost.min(0) // 8))
+    coded = many - np.where(first_part, order[frame[begins]], 0)
+    best = np.clip(np.floor(np.log2(np.stack(means)[kind[frame[begins]], np.arange(len(begins))])), 0, 13).astype(np.int64)
+    tries = np.stack([np.clip(best + d, 0, 14) for d in (-1, 0)])
+    bits = np.stack([np.add.reduceat(u >> k.astype(np.int32)[part], begins, dtype=np.int64) + coded * (k + 1) for k in tries])  # samples without a residual have 0
+    rice = tries[bits.argmin(0), np.arange(len(begins))]
+    cost = bits.min(0).reshape(-1, 1 << PARTS).sum(1) + 6 + (4 << PARTS) + 8 * order + more
+    plain = cost >= 8 * sizes
+    body = np.where(plain, 1 + sizes, 1 - (-cost // 8))
     heads = []
     for n, size in zip(number.tolist(), sizes.tolist(), strict=True):
         head = bytes([0xFF, 0xF8, (0xC0 if size == 4096 else 0x70) | 4, 0x02]) + _number(n) + (b"" if size == 4096 else (size - 1).to_bytes(2, "big"))
