@@ -72,5 +72,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_rp_forest, op2_byte_bpe, op3_byte_shards, op4_flac, op5_suffix_dedup, op6_quality, op7_packing, op8_language, op9_simhash, op10_pii)
 }
-#: None of these can be said in SQL; their tests hold them against brute force, round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {}
+#: Every window of 200 bytes as hexadecimal text, those that stand twice, the runs that they cover, and what is left between the runs.
+_OP5 = """with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+ n as (select r, doc_id, h, length(h) // 2 as n from d),
+ w as (select r, i, substring(h, 2 * i - 1, 400) as s from n, unnest(range(1, greatest(n - 198, 1))) t(i)),
+ twice as (select s from w group by s having count(*) > 1),
+ hits as (select r, i, case when i > coalesce(lag(i) over (partition by r order by i) + 200, 0) then 1 else 0 end as new from w join twice using (s)),
+ runs as (select r, min(i) as a, max(i) + 199 as z from (select r, i, sum(new) over (partition by r order by i) as k from hits) group by r, k),
+ cuts as (select r, coalesce(lag(z) over (partition by r order by a), 0) + 1 as x, a - 1 as y from runs union all select n.r, coalesce(max(z), 0) + 1, any_value(n) from n left join runs on n.r = runs.r group by n.r),
+ kept as (select cuts.r, string_agg(substring(h, 2 * x - 1, 2 * (y - x + 1)), '' order by x) as k from cuts join n on n.r = cuts.r where y >= x group by cuts.r),
+ sums as (select r, sum(z - a + 1)::bigint as n_removed, count(*) as n_spans from runs group by r)
+ select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, ''))) as kept_sha256 from n left join sums using (r) left join kept using (r)"""
+#: The others can't be said in SQL (learned or fitted models, rank tables, hashes that SQL lacks, the order of partitions); their tests hold them against
+#: brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": _OP5}
