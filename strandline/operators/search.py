@@ -7,6 +7,7 @@ grows with the queries. What is kept of each block (the k best so far, say) leav
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -529,6 +530,51 @@ def two_level_knn_join(spark: SparkSession, data: DataFrame, queries: DataFrame,
     return rank_within(found, "qid", [F.col("dist"), F.col("vec_id")], k).select("qid", "rank", "vec_id", "dist")
 
 
+class Index:
+    """A search made of parts: what is done to vectors first (``prepare``, learned from the data), what is done to queries, the join, and what is done to its rows.
+
+    ``prepare`` takes the data and gives two functions of a DataFrame: for the data (column embedding) and for queries (column q). ``fit_seconds`` and
+    ``query_seconds`` tell how long fitting took and the last search that was collected by ``timed``.
+    """
+
+    def __init__(self, spark: SparkSession, data: DataFrame, prepare=None, join=None, finish=None):
+        began = time.time()
+        own, theirs = prepare(data) if prepare else (lambda df: df, lambda df: df)
+        self.spark, self.data, self.queries_as, self.join, self.finish = spark, own(data), theirs, join or knn_join, finish or (lambda df: df)
+        self.fit_seconds, self.query_seconds = time.time() - began, 0.0
+
+    def knn(self, queries: DataFrame, k: int, **options) -> DataFrame:
+        return self.finish(self.join(self.spark, self.data, self.queries_as(queries), k, **options))
+
+    def radius(self, queries: DataFrame, radius_squared: float, **options) -> DataFrame:
+        return self.finish(radius_join(self.spark, self.data, self.queries_as(queries), radius_squared, **options))
+
+    def timed(self, found: DataFrame) -> list:
+        """The rows of a search, which are few enough to be collected; their time is kept."""
+        began = time.time()
+        rows = found.collect()
+        self.query_seconds = time.time() - began
+        return rows
+
+
+def by_variance(data: DataFrame):
+    """A ``prepare`` for ``Index``: dimensions by falling variance, so that sums of differences grow early."""
+    from strandline.operators import vectors
+
+    order = [r["dim"] for r in vectors.variance_order(data).orderBy("place").collect()]
+    moved = lambda df, c: df.withColumn(c, F.transform(F.array(*(F.lit(d) for d in order)), lambda d: F.get(F.col(c), d)))
+    return (lambda df: moved(df, "embedding")), (lambda df: moved(df, "q"))
+
+
+def less_means(data: DataFrame):
+    """A ``prepare`` for ``Index``: data and queries less the means of the data."""
+    from strandline.operators import vectors
+
+    mean = F.array(*(F.lit(float(m)) for m in vectors.column_moments(data)[0]))
+    moved = lambda df, c: df.withColumn(c, F.zip_with(F.col(c).cast("array<double>"), mean, lambda x, m: x - m))
+    return (lambda df: moved(df, "embedding")), (lambda df: moved(df, "q"))
+
+
 class ProjectionIndex:
     """Vectors in bins of their principal axes. A range query meets only the bins of the first axis that it reaches (an equi-join); the other axes
     bound the distance from below before it is computed. Fitted on moments of all rows, so its model has a fixed size."""

@@ -13,7 +13,8 @@ from strandline.plans import search_queries as Q
 from strandline.plans import series_queries as T
 from strandline.plans._register import Register, table
 from strandline.plans.model_queries import _summed, _sums
-from strandline.sources import recordings, vectors
+from strandline.operators import search
+from strandline.sources import catalog, recordings, vectors
 
 register = Register()
 QUERIES, ORACLE_SQL = register.queries, register.sql
@@ -163,3 +164,34 @@ def s12_first_of_each(spark, d):
     marks = T._series(spark, d).select("series", F.col("t").alias("start"), F.col("k").alias("label"))
     return recordings.first_of_each(marks, 2, T._kinds(spark, d)[0]).select("series", "start")
 
+
+
+@register("select label, count(*) as n, min(size)::bigint as least, max(size)::bigint as most from (select 1 as label, 30 as size from range(0, 4) union all select 0, 30 from range(0, 5)) group by label")
+def s19_named_labelled_set(spark, d):
+    """Stretches of a series with planted shapes, at most four instances of them, cut to 30 values."""
+    rows = catalog.load(spark, "planted_triangle", fewest=2, most=5, longest=30).filter("label = 0 or series < 8")
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("values")).cast("long").alias("least"), F.max(F.size("values")).cast("long").alias("most"))
+
+
+_DECIMATED = "list_transform(range(-40, 41), lambda k: case when k = 0 then 1.0 else sin(pi() * k / 2) / (pi() * k / 2) end * (0.54 - 0.46 * cos(2 * pi() * (k + 40) / 80)))"
+
+
+@register(f"with {_V}, f as (select list_transform(w, lambda x: x / list_sum(w)) as w from (select {_DECIMATED} as w)), o as (select vec_id, i, list_sum([w[k + 41] * e[greatest(1, least(64, 2 * i + 1 + k))] for k in range(-40, 41)]) as x from v, f, range(0, 32) r(i)) select vec_id, round(sum(x), 6) as total, round(sum(x * x), 6) as squares from o group by vec_id")
+def p22_decimated(spark, d):
+    """Every second value after a low-pass filter, with the ends held."""
+    made = recordings.decimate(Q._data(spark, d).select("vec_id", "embedding"), 2, "embedding")
+    return made.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squares"))
+
+
+@register(f"{Q._PAIRS} " + Q._TOP.format(order="dist", where="where qid <> vec_id", k=4))
+def n09_index_of_parts(spark, d):
+    """Dimensions by variance first, then the abandoning scan."""
+    index = search.Index(spark, Q._data(spark, d), search.by_variance)
+    return Q._out(index.knn(Q._queries(spark, d), 4, exclude_self=True, how="abandon"))
+
+
+@register(f"{Q._PAIRS} select qid, vec_id, dist from p where dist < 1.3")
+def n10_index_radius(spark, d):
+    """Vectors and queries less the means, which leaves distances as they are."""
+    found = search.Index(spark, Q._data(spark, d), search.less_means).radius(Q._queries(spark, d), 1.3)
+    return found.select("qid", "vec_id", F.round("dist", 6).alias("dist"))

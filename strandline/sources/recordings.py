@@ -178,6 +178,24 @@ def read_archive(spark: SparkSession, root: str, name: str) -> dict[str, DataFra
     return {part.lower(): vectors.read_labelled_series(spark, f"{root}/{name}/{name}_{part}") for part in ("TRAIN", "TEST")}
 
 
+def archive_sets(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """name, bytes of the sets below an archive's root, from their training files; on request only those of at most ``most`` bytes."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*_TRAIN").option("recursiveFileLookup", True).load(root).select("path", "length")
+    sets = found.select(F.regexp_extract("path", r"([^/]+)_TRAIN$", 1).alias("name"), F.col("length").alias("bytes"))
+    return sets if most is None else sets.filter(F.col("bytes") <= most)
+
+
+def labelled_series(spark: SparkSession, root: str, name: str, per_series: int = 0) -> DataFrame:
+    """series, label, values of an archive set's training part; on request ``per_series`` instances of a label joined to one longer series each."""
+    rows = read_archive(spark, root, name)["train"]
+    if not per_series:
+        return rows
+    number = F.row_number().over(Window.partitionBy("label").orderBy("series")) - 1
+    grouped = rows.withColumn("part", F.floor(number / per_series)).groupBy("label", "part")
+    joined = grouped.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("series", "values"))), lambda s: s["values"])).alias("values"))
+    return joined.select(F.concat_ws("-", "label", "part").alias("series"), "label", "values")
+
+
 def archive_size(series: DataFrame) -> DataFrame:
     """n, length, elements: what decides whether a set counts as small or tiny."""
     return series.agg(F.count("*").alias("n"), F.max(F.size("values")).alias("length"), F.sum(F.size("values")).alias("elements"))

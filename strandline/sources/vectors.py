@@ -38,6 +38,22 @@ def read_vecs(spark: SparkSession, path: str, kind: str | None = None, limit: in
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row long, embedding array<float>")
 
 
+def read_vecs_split(spark: SparkSession, path: str, dim: int, kind: str | None = None) -> DataFrame:
+    """vec_id, embedding of ``read_vecs`` files whose vectors have ``dim`` components: all records are of one length, so files are read in pieces, whatever their
+    size. vec_id counts the records in the order of files and places."""
+    kind = kind or path.rstrip("/*").rsplit(".", 1)[-1]
+    dtype, width = _KINDS[kind]
+
+    def decoded(rows):
+        for record, i in rows:
+            if int.from_bytes(record[:4], "little") != dim:
+                raise ValueError("vectors of different lengths")
+            yield i, np.frombuffer(record, dtype, dim, 4).astype(float).tolist()
+
+    records = spark.sparkContext.binaryRecords(path, 4 + dim * width)  # the one reader of fixed records that Spark has is an RDD
+    return spark.createDataFrame(records.zipWithIndex().mapPartitions(decoded), "vec_id long, embedding array<double>")
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """row, embedding: white-space text for ``.txt``, NumPy's format otherwise (one array for each file)."""
     if path.endswith(".txt"):
