@@ -12,7 +12,8 @@ bounded number of bins, reaches the driver. There,
 The plan is a table of runs: of bin b, the pieces ranked r0 to r1 go to slots of consecutive sequences. Pieces get their rank within their
 bin from counts of chunks and bins, so no bin, however common, is gathered anywhere. Offsets come from sums within a sequence.
 
-Null text counts as empty: its sequence of ids is the closing id alone. Ids may be null or repeated: a piece's place never depends on them.
+Null text counts as empty: its sequence of ids is the closing id alone. Ids may be null or repeated, rows too: a piece's place never depends on them.
+A very long text is cut into as many windows as it fills; other columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations

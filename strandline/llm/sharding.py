@@ -5,7 +5,9 @@ are summed up across the table; a row's place in the global sequence of bytes is
 that sequence cut at equal targets. Nothing is sorted or dealt out by a key, so hot sources or copies can't weigh on one task.
 
 A row counts its UTF-8 bytes plus ``OVERHEAD`` (null text: none). A row lies in the shard in which its middle byte lies, so shards differ
-from the mean by at most one row. Null ids, repeated rows and other columns do no harm; an empty table gives no rows.
+from the mean by at most one row; a very long text may fill more than a shard, and its neighbours are then empty. Rows follow one another as they
+are read, by partition and place in it: the same files cut into other partitions give other shards, of the same balance. Ties don't
+arise, as nothing is compared. Null ids, repeated rows and other columns do no harm; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ once; a block is abandoned once all of them, the fingerprint itself aside, have
 alternating large-star and small-star steps over tables in the shared folder, until nothing changes.
 
 Null text counts as empty; texts without words have fingerprint zero and are linked like any other. Ids may be repeated or null; a component's
-id is its smallest id that is not null. Other columns are ignored; an empty table gives no rows.
+id is its smallest id that is not null; rows of one id whose texts lie in different components each get their own. Other columns are ignored,
+whatever their names; an empty table gives no rows. A batch holds about a MiB, or one text that is longer, and takes about 100 bytes for each word.
 """
 
 from __future__ import annotations

@@ -64,6 +64,14 @@ def test_shards(spark, docs, none, rows):
         mine = sorted(r.slot for r in got if r.shard == k)
         assert mine == list(range(len(mine)))
     assert sharding.shard_documents(spark, none, 5).count() == 0
+    # the same by hand, over the rows as they are read
+    table = docs.select("doc_id", "text").collect()
+    sizes = np.array([len((t or "").encode()) + 16 for _, t in table])
+    middle = np.cumsum(sizes) * 2 - sizes
+    shard = np.minimum(4, middle * 5 // (2 * sizes.sum()))
+    slot = np.arange(len(table)) - np.searchsorted(shard, shard)
+    want = Counter((i, int(n), zlib.crc32((t or "").encode()), "bytes", int(k), int(j), None) for (i, t), n, k, j in zip(table, sizes, shard, slot, strict=True))
+    assert Counter(map(tuple, got)) == want
 
 
 def plain_feature(payload):
