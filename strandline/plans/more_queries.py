@@ -38,9 +38,12 @@ def h08_circulant_sketch(spark, d):
     return sketches.project(Q._data(spark, d).select("vec_id", "embedding"), planes).select("vec_id", sketches.sign_of(F.col("p"), 32).alias("bits"))
 
 
-@register()
+_SUPERBIT = sketches.superbit_planes(64, 32, 8)  # drawn from a fixed seed
+
+
+@register(f"with {_V}, p as (select * from (values {', '.join(f'({i}, {row.tolist()})' for i, row in enumerate(_SUPERBIT))}) t(i, w)) select vec_id, sum((list_inner_product(e, w) > 0)::bigint << i)::bigint as bits from v, p group by vec_id")
 def h11_superbit_sketch(spark, d):
-    return sketches.project(Q._data(spark, d).select("vec_id", "embedding"), sketches.superbit_planes(64, 32, 8)).select("vec_id", sketches.sign_of(F.col("p"), 32).alias("bits"))
+    return sketches.project(Q._data(spark, d).select("vec_id", "embedding"), _SUPERBIT).select("vec_id", sketches.sign_of(F.col("p"), 32).alias("bits"))
 
 
 @register()

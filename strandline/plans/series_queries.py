@@ -23,7 +23,8 @@ def _ranges(spark, d, kind):
 
 
 def _kinds(spark, d):
-    return sorted(r[0] for r in table(spark, d, "events").select("event_type").distinct().collect())
+    """The first and the last kind of event."""
+    return list(table(spark, d, "events").agg(F.min("event_type"), F.max("event_type")).first())
 
 
 _S = "s as (select user_id as series, row_number() over (partition by user_id order by ts, event_id) - 1 as t, value as x, event_type as k, event_id, ts from events)"
