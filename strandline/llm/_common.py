@@ -47,7 +47,9 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def free_names(df: DataFrame, count: int) -> list[str]:
@@ -116,12 +118,12 @@ def training_rows(df: DataFrame, bound: int, doc_id: str = "doc_id") -> DataFram
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written; it does so when the driver collects its garbage."""
+    """Let Spark drop the shuffle files of steps whose results are written: it does so only once the driver has collected its garbage, which on a quiet
+    driver may be long after an operator with many steps has filled the disks."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete an intermediate table that ``materialize`` wrote and nothing reads any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _delete(spark, path)
+    """Delete an intermediate table that ``materialize`` gave and nothing reads any more."""
+    _delete(spark, df._written_to)

@@ -263,9 +263,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, crowd: int = CROWD, block: in
     """
     found = grouped(spark, docs, crowd, block)
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k")).select("k.*").distinct()
-    its_id, its_th, number, c_id, c_th = _common.free_names(docs, 5)
-    chosen = chosen.select(F.col("doc_id").alias(c_id), F.col("th").alias(c_th))
-    marked = docs.withColumns({its_id: F.col("doc_id").cast("long"), its_th: F.xxhash64("text")})
-    kept = marked.join(chosen, (F.col(its_th) == F.col(c_th)) & F.col(its_id).eqNullSafe(F.col(c_id)), "left_semi")
-    first = kept.withColumn(number, F.row_number().over(Window.partitionBy(its_id, its_th).orderBy("text"))).filter(F.col(number) == 1)
+    its_id, its_th, its_key, number, c_id, c_th, c_key = _common.free_names(docs, 7)
+    # Joined and numbered by one hash of id and text, so that the texts move once; within it, ids and texts themselves decide, by comparisons that
+    # Spark doesn't take for further keys. A null id counts as -1 there, which its hash tells from that number.
+    known = lambda c: F.coalesce(c, F.lit(-1).cast("long"))
+    chosen = chosen.select(known(F.col("doc_id")).alias(c_id), F.col("th").alias(c_th), F.xxhash64("doc_id", "th").alias(c_key))
+    marked = docs.withColumns({its_id: F.col("doc_id").cast("long"), its_th: F.xxhash64("text")}).withColumn(its_key, F.xxhash64(its_id, its_th)).withColumn(its_id, known(F.col(its_id)))
+    same = lambda a, b: (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
+    kept = marked.join(chosen, (F.col(its_key) == F.col(c_key)) & same(its_th, c_th) & same(its_id, c_id), "left_semi")
+    first = kept.withColumn(number, F.row_number().over(Window.partitionBy(its_key, its_th, its_id).orderBy("text"))).filter(F.col(number) == 1)
     return first.select(*(F.col(f"`{c}`") for c in docs.columns))
