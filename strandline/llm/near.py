@@ -29,9 +29,9 @@ from pyspark.sql.window import Window
 from strandline.llm import _common, simhash
 from strandline.llm.simhash import components
 
-WORDS, SEED, CROWD = 5, 42, 1 << 22
+WORDS, SEED, CROWD = 5, 42, 1 << 20
 #: Bits of a fingerprint, and how many of them are compared; what similarity 0.8 may miss; the radius.
-BITS, PLANES, MISS, RADIUS = 512, 128, 0.003, 38
+BITS, PLANES, MISS, RADIUS = 512, 128, 0.0005, 38
 #: Probability that a bit of two sets of similarity 0.8 is the same; the narrowest table; items that a table's buckets hold by chance.
 SAME, NARROWEST, CHANCE = 1 - math.acos(1.6 / 1.8) / math.pi, 16, 64
 #: Items of a bucket that one task compares, and the most buckets that are dealt into blocks (a bound of what is broadcast).
