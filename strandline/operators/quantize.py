@@ -185,17 +185,28 @@ class TableNearest(search.Nearest):
         super().__init__(k, metric)
 
     def meet(self, kept, ids, q, vec, x, more):
-        codes, sign = x.astype(np.int64), -1.0 if self.metric == "dot" else 1.0
-        luts = sign * q.reshape(len(q), codes.shape[1], -1) if len(codes) else q
-        for lo in range(0, len(ids) if len(codes) else 0, 64):
-            part = luts[lo : lo + 64]
-            d = np.zeros((len(part), len(codes)))
-            for m in range(codes.shape[1]):
-                d += np.take(part[:, m], codes[:, m], axis=1)
-            d, worst = np.round(d, 12), kept["worst"][lo : lo + 64]
-            bound = worst if len(codes) <= self.k else np.minimum(worst, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
-            i, j = np.nonzero(d <= bound[:, None])
-            self._merge(kept, i + lo, vec[j], d[i, j], [])
+        """Sums in single precision bound what may be among the k; only that is summed again in double precision."""
+        codes = x.astype(np.int64)
+        if not len(codes):
+            return iter(())
+        if "tables" not in kept:  # an entry of all queries lies together
+            kept["luts"] = (-1.0 if self.metric == "dot" else 1.0) * q.reshape(len(q), codes.shape[1], -1)
+            kept["tables"] = np.ascontiguousarray(kept["luts"].transpose(1, 2, 0), dtype=np.float32)
+            kept["off"] = 1e-6 * codes.shape[1] * float(np.abs(kept["tables"]).max(initial=0)) + 1e-12
+        luts, tables, off = kept["luts"], kept["tables"], kept["off"]
+        step = max(256, (1 << 19) // max(1, len(q)))
+        for lo in range(0, len(codes), step):
+            part = codes[lo : lo + step]
+            total = tables[0][part[:, 0]]
+            for m in range(1, part.shape[1]):
+                total += tables[m][part[:, m]]
+            d = np.ascontiguousarray(total.T)
+            bound = kept["worst"] if len(part) <= self.k else np.minimum(kept["worst"], np.partition(d, self.k - 1, axis=1)[:, self.k - 1].astype(float) + off)
+            i, j = np.nonzero(d <= (bound + off)[:, None])
+            exact = np.zeros(len(i))
+            for m in range(part.shape[1]):
+                exact += luts[i, m, part[j, m]]
+            self._merge(kept, i, vec[lo + j], np.round(exact, 12), [])
         return iter(())
 
 
