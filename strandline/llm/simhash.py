@@ -28,6 +28,8 @@ from strandline.llm import _common
 WORDS, SEED, RADIUS, BUCKET = 3, 42, 2, 256
 #: Planes between two looks at what can be abandoned, and comparisons (a fingerprint with a word of 64 others) that are held at once.
 EVERY, MEETINGS = 8, 1 << 18
+#: Shingles of a text whose bits are held at once.
+LONG = 1 << 16
 _PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
 
@@ -35,8 +37,12 @@ def fingerprints(texts: list[str], words: int = WORDS, seed: int = SEED) -> np.n
     """The fingerprint of each text, as unsigned 64-bit integers."""
     import xxhash
 
-    digest, hashes, n = xxhash.xxh64_intdigest, [], []
-    for text in texts:
+    digest, hashes, n, late = xxhash.xxh64_intdigest, [], [], {}
+
+    def ones_of(some: list[int]) -> np.ndarray:
+        return np.unpackbits(np.array(some, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+    for i, text in enumerate(texts):
         parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, and only ASCII white space
         data = b" ".join(parts)
         if len(parts) <= words:
@@ -44,14 +50,19 @@ def fingerprints(texts: list[str], words: int = WORDS, seed: int = SEED) -> np.n
             hashes += [digest(data, seed)] if parts else []
             continue
         ends = np.cumsum([len(p) + 1 for p in parts])
-        starts = np.concatenate([[0], ends[: -words]]).tolist()
-        hashes += [digest(data[s:e], seed) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
+        starts, stops = np.concatenate([[0], ends[:-words]]), ends[words - 1 :] - 1
+        if len(starts) > LONG:  # a long text's bits are summed in stretches
+            late[i] = sum(ones_of([digest(data[s:e], seed) for s, e in zip(starts[lo : lo + LONG].tolist(), stops[lo : lo + LONG].tolist(), strict=True)]).sum(0, dtype=np.int64) for lo in range(0, len(starts), LONG)) * 2 > len(starts)
+            n.append(0)
+            continue
+        hashes += [digest(data[s:e], seed) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
         n.append(len(parts) - words + 1)
     out, counts = np.zeros(len(texts), np.uint64), np.array(n, np.int64)
+    for i, bits in late.items():
+        out[i] = np.packbits(bits, bitorder="little").view("<u8")[0]
     if not hashes:
         return out
-    some = np.flatnonzero(counts)
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    some, bits = np.flatnonzero(counts), ones_of(hashes)
     ends = np.cumsum(counts[some])
     ones = np.stack([bits[e - c : e].sum(0, dtype=np.int64) for e, c in zip(ends.tolist(), counts[some].tolist(), strict=True)])
     out[some] = np.packbits(ones * 2 > counts[some][:, None], axis=1, bitorder="little").view("<u8").ravel()

@@ -200,7 +200,7 @@ def test_suffix_array_and_repeats():
         assert suffix.repeated(parts, 8).tolist() == [n[w] > 1 for w in windows]
 
 
-def test_simhash_bits_and_links():
+def test_simhash_bits_and_links(monkeypatch):
     def plain(text):
         words = text.encode().lower().split()
         shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)] * bool(words)
@@ -209,6 +209,8 @@ def test_simhash_bits_and_links():
 
     texts = ["", "a", "a b", "A b c", " x  y z\tq é", "w " * 50, *(" ".join(RNG.choice(["ab", "Cd", "é", "f"], 12)) for _ in range(30))]
     assert simhash.fingerprints(texts).tolist() == [plain(t) for t in texts]
+    monkeypatch.setattr(simhash, "LONG", 4)  # long texts in stretches
+    assert simhash.fingerprints(texts).tolist() == [plain(t) for t in texts]
     for n in (2, 63, 64, 65, 200):
         seeds, values = RNG.integers(0, 2**63, max(1, n // 20)), set()
         while len(values) < n:

@@ -239,6 +239,26 @@ def test_neighbours_of_repeated_ids(spark):
             assert [v for v, _ in mine[q]] == [v for v, _ in best] and np.allclose([s for _, s in mine[q]], [s for _, s in best])
 
 
+def test_texts_longer_than_a_batch(spark):
+    """A text of two MiB between short ones, whole in every operator that takes texts one by one."""
+    long = "".join(prose(30) + "\n" for _ in range(14_000)) + "write to a.b@c.org"
+    assert len(long) > 2 * (1 << 20)
+    table = spark.createDataFrame([(1, "short", "en"), (2, long, "en"), (3, None, None), (4, prose(20), "en"), (6, prose(20, AUTRES), "fr"), (7, prose(20, AUTRES), "fr")], "doc_id long, text string, lang string").coalesce(1)
+    data = long.encode()
+    one = lambda df: df.filter("doc_id = 2").first()
+    r = one(flac.digests(table))
+    assert (r.n_bytes, r.payload_sha256) == (len(data), hashlib.sha256(flac.payload_of(data)).hexdigest()) and r.blocks[-1].first_sample == (r.payload_bytes - 1) // 4096 * 4096
+    assert one(bpe.digests(table, queries.tokenizer_file(queries.RANKS), queries.split_pattern(), True)).decoded_sha256 == hashlib.sha256(data).hexdigest()
+    assert one(simhash.clusters(spark, table)).fingerprint == f"{int(simhash.fingerprints([long])[0]):016x}"
+    r = one(pii.detect(spark, table))
+    assert (r.n_email, r.spans.split(",")[0]) == (1, f"email:{len(long) - 9}:{len(long)}")
+    assert 0 <= one(quality.predictions(spark, table, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int"))).score <= 1
+    assert one(langid.predictions(spark, table)).lang_pred == "en"
+    assert one(sharding.shard_documents(spark, table, 3)).size == len(data) + 16
+    r = one(suffix.removed_spans(spark, table))
+    assert r.n_bytes == len(data)
+
+
 def test_pipeline(spark, docs, none, rows, tmp_path):
     """Each stage against a plain version, on what the stage before it kept."""
     model = langid.train(docs)
