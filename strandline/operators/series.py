@@ -108,3 +108,19 @@ def detrend(df: DataFrame, x: str = "x") -> DataFrame:
     """resid: the value less the least-squares line of its series; slope is the line's."""
     line = df.groupBy("series").agg(F.regr_slope(x, "t").alias("slope"), F.regr_intercept(x, "t").alias("level"))
     return df.join(line, "series").withColumn("resid", F.col(x) - F.col("level") - F.col("slope") * F.col("t")).drop("level")
+
+
+def unique_counts(df: DataFrame, value: str, within: str) -> DataFrame:
+    """value, n, groups: how often each value occurs, and in how many groups. Values are counted by group first, so that a task sends one row for each pair."""
+    each = df.groupBy(value, within).agg(F.count("*").alias("_n"))
+    return each.groupBy(value).agg(F.sum("_n").alias("n"), F.count(within).alias("groups"))
+
+
+def unique_places(df: DataFrame, value: str, within: str, place: str) -> DataFrame:
+    """within, value, places: where each value stands in its group, in order."""
+    return df.groupBy(within, value).agg(F.array_sort(F.collect_list(place)).alias("places"))
+
+
+def dense_rows(df: DataFrame, by: str, name: str, value: str, names: list[str]) -> DataFrame:
+    """A row for each group with a column for each name: sums of its values, null where there are none."""
+    return df.groupBy(by).pivot(name, names).agg(F.sum(value))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions import arrays as A
-from strandline.operators import intervals
+from strandline.operators import intervals, series
 from strandline.plans._register import Register, table
 
 register = Register()
@@ -111,7 +111,7 @@ def t06_top_k(spark, d):
 @register("select word, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(string_split(lower(text), ' ')) as word from documents) where word <> '' group by word")
 def a11_unique_words(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ", -1)).alias("word")).filter("word <> ''")
-    return words.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return series.unique_counts(words, "word", "doc_id").withColumnRenamed("groups", "docs")
 
 
 @register(f"with {_A} select l_orderkey, pos::bigint as pos, round(total, 4) as total from (select l_orderkey, unnest(range(0, len(a) - 1)) as pos, unnest(list_transform(range(1, len(a)), lambda i: a[i] + a[i + 1])) as total from o)")

@@ -200,8 +200,8 @@ def a11_first_places(spark, d):
 
 @register(f"with {_S}, g as (select series, t, k, lead(k) {_W}) as k2 from s) select series, k || '|' || k2 as gram, array_to_string(list(t order by t), ',') as places from g where k2 is not null group by all")
 def a12_ngram_places(spark, d):
-    grams = series.ngrams(T._series(spark, d), 2, "k").groupBy("series", F.concat_ws("|", "gram").alias("gram"))
-    return grams.agg(F.array_join(F.array_sort(F.collect_list("t")), ",").alias("places"))
+    grams = series.ngrams(T._series(spark, d), 2, "k").withColumn("gram", F.concat_ws("|", "gram"))
+    return series.unique_places(grams, "gram", "series", "t").withColumn("places", F.array_join("places", ","))
 
 
 @register("select vec_id from embeddings order by vec_id limit 9 offset 100")

@@ -166,7 +166,7 @@ def a19_group_filter(spark, d):
 @register("select user_id, sum(value) filter (event_type = k0.a) as first_kind, sum(value) filter (event_type = k0.b) as last_kind from events, (select min(event_type) as a, max(event_type) as b from events) k0 group by user_id")
 def p26_dense_rows(spark, d):
     kinds = _kinds(spark, d)
-    out = table(spark, d, "events").groupBy("user_id").pivot("event_type", [kinds[0], kinds[-1]]).agg(F.sum("value"))
+    out = series.dense_rows(table(spark, d, "events"), "user_id", "event_type", "value", [kinds[0], kinds[-1]])
     return out.select("user_id", F.col(kinds[0]).alias("first_kind"), F.col(kinds[-1]).alias("last_kind"))
 
 
