@@ -42,10 +42,32 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, so a lost executor costs no recomputation."""
+#: Rows of an Arrow batch where texts are read and where rows are narrow (Spark's own number), and bytes that a Parquet writer holds before it lets go of
+#: them: all of these weigh on an executor next to its heap.
+TEXT_ROWS, NARROW_ROWS, ROW_GROUP = 1000, 10_000, 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts(df: DataFrame) -> DataFrame:
+    """``df``, whose texts are about to be sent to Python: its session makes small Arrow batches from now on, unless it was given a number of its own."""
+    if df.sparkSession.conf.get(_BATCH) == str(NARROW_ROWS):
+        df.sparkSession.conf.set(_BATCH, str(TEXT_ROWS))
+    return df
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str, rows: int = NARROW_ROWS) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, so a lost executor costs no recomputation.
+
+    rows: of an Arrow batch while it is written, unless the session was given a number of its own.
+    """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if before in (str(TEXT_ROWS), str(NARROW_ROWS)):
+            spark.conf.set(_BATCH, str(rows))
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path

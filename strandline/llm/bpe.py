@@ -249,7 +249,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out:
             ids = pa.array(bpe.encode(_common.texts_of(b.column(text))), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in kinds), ids], names=[*(n for n, _ in kinds), out])
 
-    return docs.select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (out, "array<int>")]))
+    return _common.texts(docs).select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (out, "array<int>")]))
 
 
 def detokenize(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -262,7 +262,7 @@ def detokenize(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out:
             got = [bpe.decode(np.array(x or [], np.int32)) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in kinds), pa.array(got, pa.binary())], names=[*(n for n, _ in kinds), out])
 
-    return rows.select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (out, "binary")]))
+    return _common.texts(rows).select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (out, "binary")]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, at_blanks: bool = False) -> DataFrame:
@@ -278,4 +278,4 @@ def digests(docs: DataFrame, path: str, pattern: str, at_blanks: bool = False) -
                 rows["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield _common.table(rows | {"doc_id": b.column("doc_id")}, SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _common.texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

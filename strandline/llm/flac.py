@@ -458,7 +458,7 @@ def to_media(rows: DataFrame, data: str = "data", out: str = "media") -> DataFra
             got = encode([payload_of(x or b"") for x in b.column(data).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in kinds), pa.array(got, pa.binary())], names=[*(n for n, _ in kinds), out])
 
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (out, "binary")]))
+    return _common.texts(rows).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (out, "binary")]))
 
 
 def pcm_blocks(rows: DataFrame, media: str = "media") -> DataFrame:
@@ -474,7 +474,7 @@ def pcm_blocks(rows: DataFrame, media: str = "media") -> DataFrame:
             columns = [pa.array([y[c] for y in flat], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([*(b.column(n).take(at) for n, _ in kinds), *columns], names=[*(n for n, _ in kinds), "block", "first_sample", "stream_offset", "pcm"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, ("block", "int"), ("first_sample", "bigint"), ("stream_offset", "bigint"), ("pcm", "binary")]))
+    return _common.texts(rows).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, ("block", "int"), ("first_sample", "bigint"), ("stream_offset", "bigint"), ("pcm", "binary")]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

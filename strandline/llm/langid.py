@@ -77,7 +77,7 @@ def counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.where(at == buckets, -1, at).astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    return rows.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return _common.texts(rows).select("lang", F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, buckets: int = BUCKETS, bound: int = TRAINING_ROWS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nd
             langs, likely = score(_common.texts_of(b.column("text")), *shared.value)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in kinds), pa.array(langs, pa.string()), pa.array(likely)], names=[*(n for n, _ in kinds), *names])
 
-    return docs.select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (names[0], "string"), (names[1], "double")]))
+    return _common.texts(docs).select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, (names[0], "string"), (names[1], "double")]))
 
 
 def lettered(docs: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def lettered(docs: DataFrame) -> DataFrame:
         for b in _common.slices(batches):
             yield b.filter(pa.array([any(map(str.isalpha, t)) for t in _common.texts_of(b.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _common.texts(docs).mapInArrow(run, docs.schema)
 
 
 def predictions(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ def _links(spark: SparkSession, slim: DataFrame, marked: DataFrame, crowd: int,
 def grouped(spark: SparkSession, docs: DataFrame, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """doc_id, th (hash of the text) and root (item that stands for the component) of every document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    marked = _common.materialize(spark, _marked(slim), "near")
+    marked = _common.materialize(spark, _marked(slim), "near", _common.TEXT_ROWS)
     stars = components(spark, _links(spark, slim.select("th", "text"), marked, crowd, block))
     return marked.join(stars.select(F.col("a").alias("item"), F.col("b").alias("root")), "item", "left").select("doc_id", "th", F.coalesce("root", "item").alias("root"))
 

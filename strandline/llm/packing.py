@@ -168,7 +168,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, wit
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return _common.texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def combinations(sizes: np.ndarray, window: int, slack: float = 0.01) -> tuple[np.ndarray, np.ndarray]:

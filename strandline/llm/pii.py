@@ -483,7 +483,7 @@ def detect(spark: SparkSession, docs: DataFrame, field: Field | None = None) ->
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return _common.texts(slim).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def scrub(spark: SparkSession, docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -499,4 +499,4 @@ def scrub(spark: SparkSession, docs: DataFrame, field: Field | None = None) -> D
             new = pa.array([t if ok else None for t, ok in zip(clean, valid, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if n == "text" else b.column(n) for n in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return _common.texts(docs).mapInArrow(run, docs.schema)

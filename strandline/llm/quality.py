@@ -139,7 +139,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, floa
             got = score(_common.texts_of(b.column("text")), *shared.value)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n, _ in kinds), pa.array(got)], names=[*(n for n, _ in kinds), "score"])
 
-    return docs.select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, ("score", "double")]))
+    return _common.texts(docs).select(*(n for n, _ in kinds)).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*kinds, ("score", "double")]))
 
 
 def predictions(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

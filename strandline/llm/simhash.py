@@ -258,7 +258,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def _grouped(spark: SparkSession, docs: DataFrame, words: int, seed: int, radius: int) -> DataFrame:
     """doc_id, th (hash of the text), fp, root (fingerprint that stands for the component), component_id of every document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    marked = _common.materialize(spark, add_fingerprint(slim, words, seed), "simhash")
+    marked = _common.materialize(spark, add_fingerprint(slim, words, seed), "simhash", _common.TEXT_ROWS)
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = components(spark, links(spark, classes.select("fp"), radius))
     rooted = classes.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")

@@ -350,7 +350,7 @@ def _segments_of(keyed: DataFrame, length: int) -> DataFrame:
 
 def _candidates(spark: SparkSession, keyed: DataFrame, length: int) -> DataFrame:
     """Segments whose anchor occurs more than once; alone: whether all segments of the anchor are the same text."""
-    every = _common.materialize(spark, _segments_of(keyed, length), "suffix-segments")
+    every = _common.materialize(spark, _segments_of(keyed, length), "suffix-segments", _common.TEXT_ROWS)
     which = F.struct("d", "e")
     shared = every.groupBy("a").agg(F.sum("n").alias("n"), F.min(which).alias("lo"), F.max(which).alias("hi")).filter("n > 1").select("a", (F.col("lo") == F.col("hi")).alias("alone"))
     shared = _common.materialize(spark, shared, "suffix-anchors")
@@ -472,7 +472,7 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataF
     open_ = kinds.filter("not alone").select("a", "n", "r.*")
     crowds = open_.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD).select("a", F.lit(True).alias("crowd"))
     wanted = open_.join(crowds, "a", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
-    shown = _common.materialize(spark, _with_bytes(keyed, wanted, length), "suffix-shards")
+    shown = _common.materialize(spark, _with_bytes(keyed, wanted, length), "suffix-shards", _common.TEXT_ROWS)
     _common.release(spark)
     pieces, others = _crowds(spark, shown.filter("crowd"), length)
     plain = shown.filter("not crowd").select("a", "u1", "u2", "first", "segment", "n")
@@ -508,7 +508,7 @@ def removed_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) ->
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>")
+    return _common.texts(rows).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>")
 
 
 def scrub(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -537,4 +537,4 @@ def scrub(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFra
                 new.append(_kept(data, cut).decode())
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return _common.texts(rows).mapInArrow(run, docs.schema)
