@@ -55,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the whole table of documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = _common.materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = _common.materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}", _common.TEXT_ROWS)
     return STAGES[-1][1](spark, docs, sf_dir)
