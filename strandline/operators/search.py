@@ -167,15 +167,25 @@ def rough(x: np.ndarray, q: np.ndarray, metric: str) -> tuple[np.ndarray, float]
     return (products, off) if metric == "dot" else (nq[:, None] + nx[None] - 2 * products, off)
 
 
+def rounded(d: np.ndarray, digits: int) -> np.ndarray:
+    """To so many decimals, halves away from zero, as databases round."""
+    scaled = d * 10.0**digits
+    whole = np.trunc(scaled)
+    return (whole + np.where(np.abs(scaled - whole) >= 0.5, np.sign(scaled), 0)) / 10.0**digits
+
+
 class Nearest(Kernel):
     """The k nearest of each query: a product of matrices bounds them, and what may be among the k is computed exactly.
 
+    digits: distances count as equal if they are so at that many decimals.
     how: ``product``; ``naive`` computes every pair by differences; ``abandon`` adds up dimensions in the order of falling variance, a stretch at a time, and
     leaves a pair as soon as it is beyond the k-th best so far.
     """
 
-    def __init__(self, k: int, metric: str = "l2sq", not_self: bool = False, how: str = "product", extra: str = ""):
-        self.k, self.metric, self.not_self, self.how = k, metric, not_self, how
+    def __init__(self, k: int, metric: str = "l2sq", not_self: bool = False, how: str = "product", extra: str = "", digits: int | None = None):
+        self.k, self.metric, self.not_self, self.how, self.digits = k, metric, not_self, how, digits
+        #: How much farther than the k-th best a pair may lie and still equal it when rounded.
+        self.slack = 0.0 if digits is None else 1.01 * 10.0**-digits
         self.schema = Kernel.schema + extra
 
     def start(self, ids, q):
@@ -195,13 +205,13 @@ class Nearest(Kernel):
                 at = order[lo : lo + 16]
                 step = np.abs(q[i][:, at] - x[j][:, at]) if self.metric == "l1" else (q[i][:, at] - x[j][:, at]) ** 2
                 total += step.sum(1)
-                near = np.flatnonzero(total <= worst[i] * (1 + 1e-9))
+                near = np.flatnonzero(total <= worst[i] * (1 + 1e-9) + self.slack)
                 i, j, total = i[near], j[near], total[near]
             return i, j
         d, off = rough(x, q, self.metric)
         d = -d if self.metric == "dot" else d
         bound = worst if len(x) <= self.k + 1 else np.minimum(worst, np.partition(d, self.k + self.not_self - 1, axis=1)[:, self.k + self.not_self - 1])
-        return np.nonzero(d <= bound[:, None] + 2 * off)
+        return np.nonzero(d <= bound[:, None] + 2 * off + self.slack)
 
     def meet(self, kept, ids, q, vec, x, more):
         if len(x):
@@ -211,6 +221,7 @@ class Nearest(Kernel):
                 if self.not_self:
                     i, j = (a[vec[j] != ids[i]] for a in (i, j))
                 d = exact_pairs(x, q, i, j, self.metric)
+                d = d if self.digits is None else rounded(d, self.digits)
                 self._merge(kept, i, vec[j], -d if self.metric == "dot" else d, [m.take(pa.array(j)) for m in more])
         return iter(())
 
@@ -262,13 +273,13 @@ def rank_within(df: DataFrame, part: str, order: list[Column], k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn_join(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", exclude_self: bool = False, block: int = BLOCK, how: str = "product", carry: str | None = None) -> DataFrame:
+def knn_join(spark: SparkSession, data: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq", exclude_self: bool = False, block: int = BLOCK, how: str = "product", carry: str | None = None, digits: int | None = None) -> DataFrame:
     """qid, rank, vec_id, dist: the k nearest vectors of each query (largest inner products for ``dot``), ties to the smaller id.
 
-    data: vec_id, embedding, and a column to ``carry`` along on request; queries: qid, q. A task keeps its k best of each query, so only these are shuffled.
+    data: vec_id, embedding, and a column to ``carry`` along on request; queries: qid, q. With ``digits``, distances are rounded before they are ranked. A task keeps its k best of each query, so only these are shuffled.
     """
     extra = f", `{carry}` {dict(data.dtypes)[carry]}" if carry else ""
-    found = meet(spark, data, queries, Nearest(k, metric, exclude_self, how, extra), extra=(carry,) if carry else (), block=block)
+    found = meet(spark, data, queries, Nearest(k, metric, exclude_self, how, extra, digits), extra=(carry,) if carry else (), block=block)
     ranked = rank_within(found, "qid", [F.desc("dist") if metric == "dot" else F.col("dist"), F.col("vec_id")], k)
     return ranked.select("qid", "rank", "vec_id", "dist", *([carry] if carry else []))
 
@@ -313,7 +324,7 @@ def probes(cells: int, fraction: float, default: float = 1.0) -> int:
     return cells if share <= 0 else max(1, min(cells, int(share * cells)))
 
 
-def pruned_knn_join(spark: SparkSession, data: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, fraction: float) -> DataFrame:
+def pruned_knn_join(spark: SparkSession, data: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, fraction: float, digits: int | None = None) -> DataFrame:
     """kNN over the cells nearest to each query: an equi-join on the cell, so that tables laid out by cell are pruned."""
     from strandline.functions.distances import l2_squared
 
@@ -321,6 +332,7 @@ def pruned_knn_join(spark: SparkSession, data: DataFrame, queries: DataFrame, ce
     ranked = knn_join(spark, centroids.select(F.col("cell").cast("long").alias("vec_id"), F.col("centroid").alias("embedding")), queries, probes(n, fraction))
     wanted = ranked.select("qid", F.col("vec_id").cast("int").alias("cell")).join(queries, "qid")
     met = assign_cells(data, centroids).join(wanted, "cell").select("qid", "vec_id", l2_squared(F.col("embedding").cast("array<double>"), F.col("q").cast("array<double>")).alias("dist"))
+    met = met if digits is None else met.withColumn("dist", F.round("dist", digits))
     return rank_within(met, "qid", [F.col("dist"), F.col("vec_id")], k).select("qid", "rank", "vec_id", "dist")
 
 
@@ -335,9 +347,9 @@ def lloyd(data: DataFrame, centroids: DataFrame, rounds: int = 1) -> DataFrame:
     return centroids
 
 
-def classify(spark: SparkSession, examples: DataFrame, queries: DataFrame, metric: str = "l2sq", exclude_self: bool = False) -> DataFrame:
+def classify(spark: SparkSession, examples: DataFrame, queries: DataFrame, metric: str = "l2sq", exclude_self: bool = False, digits: int | None = None) -> DataFrame:
     """qid, label of the nearest example (vec_id, embedding, label), the query's own row aside on request; a warped distance goes through ``distances.dtw`` instead."""
-    return knn_join(spark, examples, queries, 1, metric, exclude_self, carry="label").select("qid", "label")
+    return knn_join(spark, examples, queries, 1, metric, exclude_self, carry="label", digits=digits).select("qid", "label")
 
 
 def recall(found: DataFrame, truth: DataFrame, at: list[int]) -> DataFrame:
