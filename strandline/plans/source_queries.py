@@ -58,10 +58,10 @@ def s08_labelled_series(spark, d):
 
 @register("select round(least(80, greatest(20, value)), 4) as value, case when user_id = 7 then null else least(80, greatest(20, user_id))::double end as \"user\" from events")
 def s10_recording(spark, d):
-    """A table of samples without its time column, a sentinel missing, and values clipped."""
+    """A table of samples without its time column, a sentinel of the users missing, and values clipped."""
     path = _folder(spark, "recording")
     table(spark, d, "events").select("event_id", F.round("value", 4), "user_id", F.lit(1)).write.csv(path)
-    read = vectors.read_recording(spark, path, sentinel=7.0, clip=(20.0, 80.0), columns=["at", "value", "user", "null_1"])
+    read = vectors.read_recording(spark, path, sentinel={"user": 7.0}, clip=(20.0, 80.0), columns=["at", "value", "user", "null_1"])
     return read.select("value", "user")
 
 

@@ -78,15 +78,16 @@ def read_labelled_series(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("series", parts[0].cast("double").cast("int").alias("label"), F.transform(F.filter(parts, lambda x, i: i > 0), lambda x: x.cast("double")).alias("values"))
 
 
-def read_recording(spark: SparkSession, path: str, sep: str = ",", sentinel: float | None = None, clip: tuple[float, float] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """A table of samples without its time column; a sentinel is missing (null), columns named ``null*`` go, and values are clipped."""
+def read_recording(spark: SparkSession, path: str, sep: str = ",", sentinel: float | dict[str, float] | None = None, clip: tuple[float, float] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A table of samples without its time column; a sentinel (one for all columns, or by column) is missing (null), columns named ``null*`` go, and values are clipped."""
     df = spark.read.csv(path, sep=sep, inferSchema=True)
     df = df.toDF(*columns) if columns else df.drop(df.columns[0])
     df = df.drop(*[c for c in df.columns if c.startswith("null")])
 
     def clean(c: str) -> Column:
         x = F.col(c).cast("double")
-        x = F.when(x == sentinel, None).otherwise(x) if sentinel is not None else x
+        missing = sentinel.get(c) if isinstance(sentinel, dict) else sentinel
+        x = F.when(x == missing, None).otherwise(x) if missing is not None else x
         return F.when(x.isNotNull(), F.greatest(F.lit(clip[0]), F.least(F.lit(clip[1]), x))) if clip else x
 
     return df.select(*(clean(c).alias(c) for c in df.columns))

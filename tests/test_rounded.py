@@ -1,4 +1,4 @@
-"""Queries against their SQL on tables whose distances are equal only once they are rounded."""
+"""Queries against their SQL on tables whose distances are equal only once they are rounded, and whose samples hold a column's sentinel elsewhere."""
 
 import duckdb
 import numpy as np
@@ -41,3 +41,9 @@ def test_ties_of_rounded_distances(spark, close, name):
 def test_rounded():
     assert search.rounded(np.array([0.5, -0.5, 2.5, 1.4999, -1.5]), 0).tolist() == [1, -1, 3, 1, -2]
     assert search.rounded(np.array([1.23456749, 1.2345675]), 6).tolist() == [1.234567, 1.234568]
+
+
+def test_sentinel_of_one_column(spark, tmp_path):
+    table = pa.table({"event_id": pa.array([0, 1, 2, 3]), "user_id": pa.array([7, 30, 99, 5]), "value": pa.array([50.0, 7.0, 7.00004, 81.0])})
+    pq.write_table(table, tmp_path / "events.parquet")
+    assert (20.0, 30.0) in same(spark, tmp_path, "s10_recording")
