@@ -5,8 +5,10 @@ fingerprint has ``BITS`` bits: a bit is 1 if it is set in over half of its shing
 so their bits differ with a probability of 0.152. A table sorts the items by ``width`` of the bits, drawn for that table; two such sets meet in
 one with a probability of 0.848^width, and there are so many tables that they miss each other in all with one of ``MISS`` at most (sets that are
 more alike far more rarely). What meets is compared over the first ``PLANES`` bits by ``simhash.linked``, bit-sliced and abandoned block by
-block; the radius lies 4.5 deviations above what a similarity of 0.8 gives. Links are joined to components, and each component's texts are
-then compared exactly: the shingles are ordered by rarity in it, and two sets that reach 0.8 meet in the rarest fifth of both.
+block; the radius lies 4.5 deviations above what a similarity of 0.8 gives. An item meets the more others by chance, the larger the table is, so
+there are as many planes as keep these out: with half as many, chance links made one component of a large part of the items. Links are joined to
+components, and each component's texts are then compared exactly: the shingles are ordered by rarity in it, and two sets that reach 0.8 meet in
+the rarest fifth of both.
 
 The width follows the logarithm of the number of items, so that a bucket of chance meetings stays small. A bucket of more than ``BLOCK`` items is
 dealt into blocks, and each two blocks are compared in a task of their own; so is a component of more than ``CROWD`` shingles. Nothing is capped.
@@ -29,9 +31,9 @@ from pyspark.sql.window import Window
 from strandline.llm import _common, simhash
 from strandline.llm.simhash import components
 
-WORDS, SEED, CROWD = 5, 42, 1 << 20
+WORDS, SEED, CROWD = 5, 42, 1 << 19
 #: Bits of a fingerprint, and how many of them are compared; what similarity 0.8 may miss; the radius.
-BITS, PLANES, MISS, RADIUS = 512, 128, 0.0005, 38
+BITS, PLANES, MISS, RADIUS = 512, 256, 0.0005, 65
 #: Probability that a bit of two sets of similarity 0.8 is the same; the narrowest table; items that a table's buckets hold by chance.
 SAME, NARROWEST, CHANCE = 1 - math.acos(1.6 / 1.8) / math.pi, 16, 64
 #: Items of a bucket that one task compares, and the most buckets that are dealt into blocks (a bound of what is broadcast).
@@ -133,6 +135,7 @@ def links_in(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _marked(docs: DataFrame) -> DataFrame:
     """doc_id, th, item (hash of the set of shingles), n (its size) and fp (its fingerprint; null without shingles), of doc_id, th and text."""
 
+    @_common.task
     def run(batches):
         import xxhash
 
@@ -151,6 +154,7 @@ def _tabled(items: DataFrame, picks: list[np.ndarray], one_in: int = 1) -> DataF
     """key, item, fp (the bits that are compared) of each item in each table; on request of the tables' items one in so many, by their hash."""
     weights, most = [np.uint64(1) << np.arange(len(p), dtype=np.uint64) for p in picks], 1 << 18
 
+    @_common.task
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, max(1, most // len(picks))):
@@ -178,6 +182,7 @@ def _met(rows: DataFrame) -> DataFrame:
         apart = label != np.arange(len(items))
         return pa.RecordBatch.from_arrays([pa.array(items[apart]), pa.array(items[label[apart]])], names=["a", "b"])
 
+    @_common.task
     def run(batches):
         key, items, fps, held, last = [], [], [], 0, None
         for b in batches:

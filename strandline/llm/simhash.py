@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from strandline.llm import _common
 
 WORDS, SEED, RADIUS, BUCKET = 3, 42, 2, 256
-#: Planes between two looks at what can be abandoned, and comparisons (a fingerprint with a word of 64 others) that are held at once.
-EVERY, MEETINGS = 8, 1 << 18
+#: Planes between two looks at what can be abandoned; comparisons (a fingerprint with a word of 64 others) and pairs found that are held at once.
+EVERY, MEETINGS, FOUND = 8, 1 << 18, 1 << 19
 #: Shingles of a text whose bits are held at once.
 LONG = 1 << 16
 _PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
@@ -173,8 +173,12 @@ def linked(sizes: np.ndarray, values: np.ndarray, radius: int = RADIUS, done: li
         at = word[row] + np.arange(len(row)) - np.repeat(ends[lo:hi] - meets[lo:hi] - (ends[lo] - meets[lo]), meets[lo:hi])
         own = at == word[row]
         settled = unused[at] | np.where(own, ~np.uint64(0) >> (np.uint64(63) - lane[row].astype(np.uint64)), np.uint64(0))
-        q, j = _pairs(near(planes, values[row], at, settled, radius, done))
-        if len(q):
+        masks = near(planes, values[row], at, settled, radius, done)
+        some = np.flatnonzero(masks)
+        part = np.cumsum(np.bitwise_count(masks[some]), dtype=np.int64) // FOUND  # where most are alike, 64 pairs of each comparison
+        for these in np.split(some, np.flatnonzero(np.diff(part)) + 1) if len(some) else ():
+            q, j = _pairs(masks[these])
+            q = these[q]
             other = starts[owner[row[q]]] + (at[q] - first[owner[row[q]]]) * 64 + j
             label = _forest(np.concatenate([np.arange(n), row[q]]), np.concatenate([label, other]), n)
     return label
